@@ -45,7 +45,7 @@ def _features_sql(base: str, mode: str, frauds: str, source: str = "ranked") ->
     {r6(
         "time_setup_to_txn_seconds=" + setup,
         "time_since_last_device_txn=coalesce((epoch_us(purchase_time) - epoch_us(last)) / 1e6, 99999)",
-        "purchase_deviation_from_device_mean@9=coalesce(abs(CAST(purchase_value AS DOUBLE) - CAST(total AS DOUBLE) / nullif(n, 0)), 0)",
+        f"purchase_deviation_from_device_mean@{9 if base == 'e' else 6}=coalesce(abs(CAST(purchase_value AS DOUBLE) - CAST(total AS DOUBLE) / nullif(n, 0)), 0)",
         "device_lifespan=(epoch_us(purchase_time) - epoch_us(first)) / 1e6",
         f"device_fraud_rate=coalesce(CAST({frauds} AS DOUBLE) / {rate}, 0)",
     )}
@@ -63,8 +63,9 @@ def _ranked(base: str) -> str:
          c AS (PARTITION BY device_id ORDER BY purchase_time, transaction_id ROWS UNBOUNDED PRECEDING))"""
 
 
-def _shown(df):
-    return rounded(df.select("transaction_id", *FEATURES), *DOUBLES)
+def _shown(df, bind="events"):
+    doubles = DOUBLES if bind == "events" else [d.replace("@9", "") for d in DOUBLES]
+    return rounded(df.select("transaction_id", *FEATURES), *doubles)
 
 
 def _with_signup(df):
@@ -78,7 +79,7 @@ def _register_features():
 
             def run(spark, sf, base=base, mode=mode, bind=bind):
                 txns = _with_signup(base(spark, sf))
-                return _shown(ft.device_features(txns, mode, "immediate", size_of(spark, sf, bind)))
+                return _shown(ft.device_features(txns, mode, "immediate", size_of(spark, sf, bind)), bind)
 
             sql = f"WITH {body}, {_ranked(short)} {_features_sql(short, mode, 'frauds')}"
             query(f"device_features_{mode}{tag}", sql)(run)
@@ -101,7 +102,7 @@ def _register_asof():
 
             def run(spark, sf, base=base, bind=bind, days=days):
                 txns = _with_signup(base(spark, sf))
-                return _shown(ft.device_features(txns, "online", label_events(txns, days), size_of(spark, sf, bind)))
+                return _shown(ft.device_features(txns, "online", label_events(txns, days), size_of(spark, sf, bind)), bind)
 
             sql = f"""WITH {body}, {_ranked(short)}, ev AS (
   SELECT device_id, purchase_time AS seen_at, 0 AS kind, transaction_id, 0 AS fraud FROM {short}

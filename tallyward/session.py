@@ -29,6 +29,7 @@ def get_session(app: str = "tallyward", master: str | None = None, partitions: i
         builder = (
             builder.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", os.environ.get("TALLYWARD_DRIVER_MEMORY", "8g"))
         )
     if partitions:
