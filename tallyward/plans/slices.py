@@ -78,7 +78,7 @@ class Cuts:
         """The keys that are cut: at most half of MAX_SLICES rows."""
         width = len(self.keys)
         rows = sorted({p[:width] for p in self.points}, key=repr)
-        schema = ",".join(f"__k{i} {t}" for i, t in enumerate(self.types[:width]))
+        schema = ",".join(f"__key{i} {t}" for i, t in enumerate(self.types[:width]))
         return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -185,21 +185,21 @@ def running(
     if not cuts:
         spec = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         spec = spec.orderBy(*by_order)
-        plain = {f"__w{i}": v.window(spec) for i, v in enumerate(values)}
+        plain = {f"__local{i}": v.window(spec) for i, v in enumerate(values)}
         out = df.select("*", *[c.alias(n) for n, c in plain.items()])
-        return out.select(*df.columns, *[v.merged(F.col(f"__w{i}"), None).alias(v.name) for i, v in enumerate(values)])
+        return out.select(*df.columns, *[v.merged(F.col(f"__local{i}"), None).alias(v.name) for i, v in enumerate(values)])
 
     sliced = df.withColumn(_SLICE, cuts.slice_of(df))
     carry = _carry(sliced, keys, order, values, cuts)
     spec = Window.partitionBy(*keys, _SLICE).orderBy(*by_order)
-    out = sliced.select("*", *[v.window(spec).alias(f"__w{i}") for i, v in enumerate(values)])
-    on = out[_SLICE] == carry["__s"]
+    out = sliced.select("*", *[v.window(spec).alias(f"__local{i}") for i, v in enumerate(values)])
+    on = out[_SLICE] == carry["__part"]
     for i, k in enumerate(keys):
-        on = on & out[k].eqNullSafe(carry[f"__k{i}"])
+        on = on & out[k].eqNullSafe(carry[f"__key{i}"])
     out = out.join(F.broadcast(carry), on, "left")
     return out.select(
         *[out[c] for c in df.columns],
-        *[v.merged(out[f"__w{i}"], carry[f"__c{i}"]).alias(v.name) for i, v in enumerate(values)],
+        *[v.merged(out[f"__local{i}"], carry[f"__carry{i}"]).alias(v.name) for i, v in enumerate(values)],
     )
 
 
@@ -208,17 +208,17 @@ def _carry(sliced: DataFrame, keys, order, values, cuts: Cuts) -> DataFrame:
     rows = sliced
     if keys:
         big = cuts.big_keys(sliced)
-        on = [sliced[k].eqNullSafe(big[f"__k{i}"]) for i, k in enumerate(keys)]
+        on = [sliced[k].eqNullSafe(big[f"__key{i}"]) for i, k in enumerate(keys)]
         rows = sliced.join(F.broadcast(big), on, "left_semi")
     position = F.struct(*[F.col(c) for c in order])
-    totals = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(_SLICE).alias("__s")).agg(
-        *[v.total(position).alias(f"__t{i}") for i, v in enumerate(values)]
+    totals = rows.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col(_SLICE).alias("__part")).agg(
+        *[v.total(position).alias(f"__total{i}") for i, v in enumerate(values)]
     )
-    names = [f"__k{i}" for i in range(len(keys))]
+    names = [f"__key{i}" for i in range(len(keys))]
     spec = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
-    spec = spec.orderBy("__s")
+    spec = spec.orderBy("__part")
     return totals.select(
-        *names, "__s", *[v.carried(F.col(f"__t{i}"), spec).alias(f"__c{i}") for i, v in enumerate(values)]
+        *names, "__part", *[v.carried(F.col(f"__total{i}"), spec).alias(f"__carry{i}") for i, v in enumerate(values)]
     )
 
 
