@@ -132,25 +132,30 @@ def label_event_log(spark, sf):
 _STATE_SQL = """
   SELECT device_id, count(*) AS txn_count, CAST(sum(purchase_value) AS DOUBLE) AS purchase_sum,
     epoch_us(max(purchase_time)) AS last_us, epoch_us(min(purchase_time)) AS first_us,
-    count(DISTINCT ip_address) AS ip_count, min(ip_address) AS ip_min, max(ip_address) AS ip_max,
-    count(DISTINCT source) AS source_count, min(source) AS source_min, max(source) AS source_max"""
+    min(ip_address) AS ip_min, max(ip_address) AS ip_max, min(ip_address) <> max(ip_address) AS ip_mixed,
+    min(source) AS source_min, max(source) AS source_max, min(source) <> max(source) AS source_mixed"""
+_SETS_SQL = """count(DISTINCT ip_address) AS ip_count, count(DISTINCT source) AS source_count,
+  '[' || string_agg(DISTINCT '"' || source || '"', ',' ORDER BY '"' || source || '"') || ']' AS sources"""
 
 
-def _state_shown(state):
+def _state_shown(state, *more):
     return state.select(
         "device_id",
         "txn_count",
         F.col("purchase_sum").cast("double").alias("purchase_sum"),
         F.unix_micros("last_transaction").alias("last_us"),
         F.unix_micros("first_seen").alias("first_us"),
-        *[f"{n}_{s}" for n in ("ip", "source") for s in ("count", "min", "max")],
+        *[f"{n}_{s}" for n in ("ip", "source") for s in ("min", "max", "mixed")],
         "fraud_count",
+        *more,
     )
 
 
-@query("device_state_snapshot", f"WITH {E} {_STATE_SQL}, CAST(0 AS BIGINT) AS fraud_count FROM e GROUP BY device_id")
+@query("device_state_snapshot", f"WITH {E} {_STATE_SQL}, {_SETS_SQL}, CAST(0 AS BIGINT) AS fraud_count FROM e GROUP BY device_id")
 def device_state_snapshot(spark, sf):
-    return _state_shown(ft.device_state(events(spark, sf)))
+    txns = events(spark, sf)
+    state = ft.device_sets(txns, ft.device_state(txns)).withColumn("sources", F.to_json("sources"))
+    return _state_shown(state, "ip_count", "source_count", "sources")
 
 
 @query(

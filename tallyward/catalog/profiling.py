@@ -233,14 +233,14 @@ _DEVICE_SQL = f"""d AS (SELECT device_id, sum(purchase_value) AS total_value, {_
 
 @query("device_value_stats", f"WITH {O}, {_DEVICE_SQL} SELECT device_id, {r6(*_DEVICE)}, count FROM d WHERE std_value > 0")
 def device_value_stats(spark, sf):
-    stats = profile.device_value_stats(orders(spark, sf), size=size_of(spark, sf, "orders"))
+    stats = entities.device_value_stats(orders(spark, sf), size=size_of(spark, sf, "orders"))
     hot = stats.where(F.col("std_value") > 0)
     return rounded(hot, *_DEVICE).orderBy(F.desc("max_value"), F.desc("std_value"))
 
 
 @query("value_by_device_count", f"WITH {O}, {_DEVICE_SQL} SELECT count, {r6('mean_std_value@4=avg(std_value)')} FROM d GROUP BY count")
 def value_by_device_count(spark, sf):
-    stats = profile.device_value_stats(orders(spark, sf), size=size_of(spark, sf, "orders"))
+    stats = entities.device_value_stats(orders(spark, sf), size=size_of(spark, sf, "orders"))
     return rounded(profile.mean_by(stats, "count", "std_value"), "mean_std_value", places=4)
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.columns import ratio
 from tallyward.operators.profile import risk_table
-from tallyward.plans.joins import attach, fits_broadcast
+from tallyward.plans.joins import attach, fits_broadcast, measured
 from tallyward.plans.slices import Over, running
-from tallyward.session import broadcast_rows
+from tallyward.session import broadcast_rows, settle
 
 _ID = "transaction_id"
 
@@ -107,7 +107,8 @@ def _walk(txns: DataFrame, ranges: DataFrame, ip: str, size: int | None) -> Data
 
 def lookup(df: DataFrame, table: DataFrame, key: str, size: int | None = None) -> DataFrame:
     """Left join to a table with one row per key."""
-    if fits_broadcast(table):
+    table, small = measured(table)
+    if small:
         return df.join(F.broadcast(table), key, "left")
     return attach(df, table, [key], [_ID], size=size)
 
@@ -134,6 +135,7 @@ def add_gdp_imputed(df: DataFrame, gdp: DataFrame, aliases: DataFrame, exclude:
     when the sheet lacks the target; only the rest is imputed. The rules are worked out once per
     country, then looked up.
     """
+    gdp = settle(gdp)  # read three times below
     own = gdp.select("country", F.col("gdp").alias("__own"), F.lit(True).alias("__in_sheet"))
     target = gdp.select(F.col("country").alias("target"), F.col("gdp").alias("__target"))
     via = aliases.join(target, "target", "left").select("country", "__target", F.lit(True).alias("__aliased"))

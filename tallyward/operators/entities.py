@@ -1,13 +1,17 @@
-"""Summaries of a device or an IP over its whole history."""
+"""Summaries of a device or an IP over its whole history.
+
+The waiting times, their medians and the distinct counts all come from orderings of the same groups,
+so a summary is one exchange and several sorts, followed by one aggregation without another exchange.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.columns import mean_of, ratio, seconds_between
 from tallyward.operators.features import purchase_gap
-from tallyward.plans.slices import quantiles
+from tallyward.plans.slices import Over, quantile_of, ranked_for, running
 
 _ID = "transaction_id"
 
@@ -17,16 +21,56 @@ def summarize_entity(df: DataFrame, entity: str, size: int | None = None) -> Dat
     if entity not in ("device_id", "ip_address"):
         raise ValueError("entity must be 'device_id' or 'ip_address'")
     other, reach = ("ip_address", "unique_ips") if entity == "device_id" else ("device_id", "unique_device_ids")
-    rows = df.where(F.col(entity).isNotNull())
-    rows = purchase_gap(rows, entity, name="__gap", size=size).withColumn("__setup", seconds_between("signup_time", "purchase_time"))
-    base = rows.groupBy(entity).agg(
-        F.count("is_fraud").alias("transactions"),
-        F.sum("is_fraud").cast("long").alias("frauds"),
-        mean_of("purchase_value").alias("mean_purchase_val"),
-        F.stddev_samp(F.col("purchase_value").cast("double")).alias("purchase_val_std"),
+    rows = df.where(F.col(entity).isNotNull()).select(
+        F.col(entity).alias("__e"),
+        _ID,
+        "purchase_time",
+        F.col("user_id").alias("__user"),
+        F.col(other).alias("__other"),
+        "purchase_value",
+        "is_fraud",
+        seconds_between("signup_time", "purchase_time").alias("__setup"),
+    )
+    rows = purchase_gap(rows, "__e", name="__gap", size=size)
+    rows = ranked_for(rows, ["__e"], "__gap", _ID, "gap", size, derived=True)
+    rows = ranked_for(rows, ["__e"], "__setup", _ID, "setup", size, derived=True)
+    for c in ("__user", "__other"):
+        rows = running(rows, ["__e"], [c, _ID], [Over(f"{c}_prev", "last", F.col(c), "before")], size, derived=True)
+    return (
+        rows.groupBy(F.col("__e").alias(entity))
+        .agg(
+            F.count("is_fraud").alias("transactions"),
+            F.sum("is_fraud").cast("long").alias("frauds"),
+            _new("__user").alias("unique_users"),
+            _new("__other").alias(reach),
+            mean_of("purchase_value").alias("mean_purchase_val"),
+            F.stddev_samp(F.col("purchase_value").cast("double")).alias("purchase_val_std"),
+            quantile_of("__setup", "setup", 0.5).alias("median_time_between_signup_and_purchase"),
+            quantile_of("__gap", "gap", 0.5).alias("median_time_between_purchase"),
+        )
+        .withColumn("fraud_rate", ratio("frauds", "transactions"))
+    )
+
+
+def _new(c: str) -> Column:
+    """Distinct values of a sorted column: those unlike the one before."""
+    return F.count(F.when(~F.col(c).eqNullSafe(F.col(f"{c}_prev")), F.col(c)))
+
+
+def device_value_stats(df: DataFrame, key: str = "device_id", size: int | None = None) -> DataFrame:
+    """Sum, mean, median, ends, spread and number of a device's values, in one exchange."""
+    rows = df.where(F.col(key).isNotNull()).select(key, _ID, "purchase_value")
+    value = F.col("purchase_value").cast("double")
+    return (
+        ranked_for(rows, [key], "purchase_value", _ID, "v", size)
+        .groupBy(key)
+        .agg(
+            F.sum("purchase_value").alias("total_value"),
+            mean_of("purchase_value").alias("mean_value"),
+            quantile_of("purchase_value", "v", 0.5).alias("median_value"),
+            F.min(value).alias("min_value"),
+            F.max(value).alias("max_value"),
+            F.stddev_samp(value).alias("std_value"),
+            F.count("purchase_value").alias("count"),
+        )
     )
-    reached = rows.groupBy(entity).agg(F.count_distinct("user_id").alias("unique_users"), F.count_distinct(other).alias(reach))
-    setup = quantiles(rows, [entity], "__setup", {"median_time_between_signup_and_purchase": 0.5}, size, tie=_ID)
-    gap = quantiles(rows, [entity], "__gap", {"median_time_between_purchase": 0.5}, size, tie=_ID)
-    out = base.join(reached, entity).join(setup, entity, "left").join(gap, entity, "left")
-    return out.withColumn("fraud_rate", ratio("frauds", "transactions"))

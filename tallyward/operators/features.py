@@ -105,18 +105,18 @@ def device_features(
 def device_state(txns: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """State of every device after all of ``txns``: what an online scorer starts from.
 
-    One row of constant size per device. Times are the extremes, so no order is needed. Of the sets of
-    IPs and sources only their size, ends and "holds NULL" are kept, which is all the features ask
-    for; the members themselves are ``device_members``.
+    One row of constant size per device from one aggregation. Times are the extremes, so no order is
+    needed. Of the sets of IPs and sources only the ends and "holds NULL" are kept, which is all the
+    features ask for; the members themselves are ``device_members``.
     """
     sets = []
     for c, name in (("ip_address", "ip"), ("source", "source")):
-        gone = F.max(F.col(c).isNull().cast("int"))
+        gone = F.max(F.col(c).isNull().cast("int")) == 1
         sets += [
-            (F.count_distinct(c) + gone).cast("long").alias(f"{name}_count"),
             F.min(c).alias(f"{name}_min"),
             F.max(c).alias(f"{name}_max"),
-            (gone == 1).alias(f"{name}_null"),
+            gone.alias(f"{name}_null"),
+            ((F.min(c) != F.max(c)) | (gone & F.min(c).isNotNull())).alias(f"{name}_mixed"),
         ]
     state = txns.groupBy("device_id").agg(
         F.count(F.lit(1)).alias("txn_count"),
@@ -125,6 +125,7 @@ def device_state(txns: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         F.min(_TIME).alias("first_seen"),
         *sets,
     )
+    state = state.withColumns({f"{n}_mixed": F.coalesce(f"{n}_mixed", F.lit(False)) for n in ("ip", "source")})
     if labels is None:
         return state.withColumn("fraud_count", F.lit(0).cast("long"))
     frauds = (
@@ -141,19 +142,19 @@ def device_members(txns: DataFrame, col: str) -> DataFrame:
 
 
 def device_sets(txns: DataFrame, state: DataFrame, limit: int = 1000) -> DataFrame:
-    """``state`` with its sets as arrays, the export form, for devices of up to ``limit`` members.
+    """``state`` with the size of its sets, and as arrays (the export form) those of up to ``limit`` members.
 
     A larger set stays NULL here and is read from ``device_members``, which is complete.
     """
     for c, name, count in (("ip_address", "ip_addresses", "ip_count"), ("source", "sources", "source_count")):
-        fits = state.where(F.col(count) <= limit).select("device_id")
+        members = device_members(txns, c)
+        counts = members.groupBy("device_id").agg(F.count(F.lit(1)).alias(count))
         arrays = (
-            device_members(txns, c)
-            .join(fits, "device_id", "left_semi")
+            members.join(counts.where(F.col(count) <= limit).select("device_id"), "device_id", "left_semi")
             .groupBy("device_id")
             .agg(F.array_sort(F.collect_list(c)).alias(name))
         )
-        state = state.join(arrays, "device_id", "left")
+        state = state.join(counts, "device_id", "left").join(arrays, "device_id", "left")
     return state
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.columns import ratio
 from tallyward.plans.slices import Over, running
+from tallyward.session import settle
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
 
@@ -37,7 +38,7 @@ def classification_report(df: DataFrame, label: str = "is_fraud", prediction: st
 
     A measure whose denominator is empty is 0. The accuracy row has its value in ``f1``.
     """
-    per = _per_class(df, label, prediction)
+    per = settle(_per_class(df, label, prediction))  # a row per class, read four times below
     shown = ["precision", "recall", "f1"]
     none = F.lit(None).cast("double")
     total = F.sum("support")
@@ -67,19 +68,17 @@ def confusion_matrix(df: DataFrame, label: str = "is_fraud", prediction: str = "
 def binary_metrics(df: DataFrame, label: str = "is_fraud", prediction: str = "predicted_class", score: str = "fraud_probability", size: int | None = None) -> DataFrame:
     """accuracy, precision, recall, f1 of class 1, area under ROC, average precision; one row.
 
-    Both areas come from one descending walk over distinct scores: a negative is beaten by the
+    The counts are those of the distinct scores, so everything is one pass over the rows. Both areas come from one descending walk over distinct scores: a negative is beaten by the
     positives above it and by half of those it ties with; average precision weighs the precision at
     each score by its share of the positives.
     """
     y, p = F.col(label) == 1, F.col(prediction) == 1
-    hit = F.count(F.when(y & p, 1))
-    plain = df.agg(
-        ratio(F.count(F.when(F.col(label) == F.col(prediction), 1)), F.count(F.lit(1))).alias("accuracy"),
-        F.coalesce(ratio(hit, F.count(F.when(p, 1))), F.lit(0.0)).alias("precision"),
-        F.coalesce(ratio(hit, F.count(F.when(y, 1))), F.lit(0.0)).alias("recall"),
-    ).withColumn("f1", F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
     vals = df.groupBy((-F.col(score)).alias("__s")).agg(
-        F.count(F.when(y, 1)).alias("__pos"), F.count(F.when(~y, 1)).alias("__neg")
+        F.count(F.when(y, 1)).alias("__pos"),
+        F.count(F.when(~y, 1)).alias("__neg"),
+        F.count(F.when(y & p, 1)).alias("__hit"),
+        F.count(F.when(p, 1)).alias("__flagged"),
+        F.count(F.when(F.col(label) == F.col(prediction), 1)).alias("__right"),
     )
     walk = running(
         vals,
@@ -93,10 +92,15 @@ def binary_metrics(df: DataFrame, label: str = "is_fraud", prediction: str = "pr
         size,
         derived=True,
     )
-    pos, neg = F.sum("__pos"), F.sum("__neg")
+    pos, neg, hit = F.sum("__pos"), F.sum("__neg"), F.sum("__hit")
     won = F.sum(F.col("__neg").cast("double") * (F.col("__above") + F.col("__pos") / 2))
     precise = F.sum(F.col("__pos") * ratio(F.col("__tp"), F.col("__tp") + F.col("__fp")))
-    areas = walk.agg(
-        ratio(won, pos.cast("double") * neg.cast("double")).alias("roc_auc"), ratio(precise, pos).alias("pr_auc")
+    row = walk.agg(
+        ratio(F.sum("__right"), pos + neg).alias("accuracy"),
+        F.coalesce(ratio(hit, F.sum("__flagged")), F.lit(0.0)).alias("precision"),
+        F.coalesce(ratio(hit, pos), F.lit(0.0)).alias("recall"),
+        ratio(won, pos.cast("double") * neg.cast("double")).alias("roc_auc"),
+        ratio(precise, pos).alias("pr_auc"),
     )
-    return plain.select("*", areas.select("roc_auc").scalar().alias("roc_auc"), areas.select("pr_auc").scalar().alias("pr_auc"))
+    f1 = F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return row.withColumn("f1", f1).select(*METRICS)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions.columns import age_group, mean_of, ratio, seconds_between, with_time_parts
-from tallyward.plans.joins import attach, fits_broadcast
+from tallyward.plans.joins import attach, measured
 from tallyward.plans.slices import Over, quantiles, running
 
 _ID = "transaction_id"
@@ -82,10 +82,11 @@ def shares_within(df: DataFrame, group: str, col: str, size: int | None = None)
 
 def counts_by_key(df: DataFrame, keys: Sequence[str] = ("user_id", "device_id", "ip_address"), size: int | None = None) -> DataFrame:
     """Next to each row, how many rows share its user, device and IP."""
+    out = df
     for k in keys:
         counts = df.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias(f"transactions_by_{k}"))
-        df = attach(df, counts, [k], [_ID], size=size)
-    return df
+        out = attach(out, counts, [k], [_ID], size=size, source=df)
+    return out
 
 
 def risk_table(df: DataFrame, *keys: str) -> DataFrame:
@@ -114,7 +115,7 @@ def device_ip_consistency(df: DataFrame, size: int | None = None) -> DataFrame:
         F.count_distinct("ip_address").alias("ip_by_device"), F.count(F.lit(1)).alias("users_by_device_id")
     )
     out = attach(df, per_ip, ["ip_address"], [_ID], size=size)
-    out = attach(out, per_device, ["device_id"], [_ID], size=size)
+    out = attach(out, per_device, ["device_id"], [_ID], size=size, source=df)
     pair = (F.col("devices_by_ip") == 1) & (F.col("ip_by_device") == 1)
     single = (F.col("users_by_ip_address") == 1) & (F.col("users_by_device_id") == 1)
     return out.withColumns({"device_ip_consistency": pair, "device_ip_user_consistency": pair & single})
@@ -149,19 +150,6 @@ def repeated_pairs(df: DataFrame, a: str = "device_id", b: str = "ip_address", m
     )
 
 
-def device_value_stats(df: DataFrame, key: str = "device_id", size: int | None = None) -> DataFrame:
-    value = F.col("purchase_value").cast("double")
-    stats = df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.sum("purchase_value").alias("total_value"),
-        mean_of("purchase_value").alias("mean_value"),
-        F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"),
-        F.stddev_samp(value).alias("std_value"),
-        F.count("purchase_value").alias("count"),
-    )
-    return stats.join(quantiles(df, [key], "purchase_value", {"median_value": 0.5}, size, tie=_ID), key, "left")
-
-
 def mean_by(table: DataFrame, by: str, col: str, name: str | None = None) -> DataFrame:
     """Second-level mean, for example the mean fraud rate of devices by their number of transactions."""
     return table.groupBy(by).agg(F.avg(col).alias(name or f"mean_{col}"))
@@ -169,9 +157,9 @@ def mean_by(table: DataFrame, by: str, col: str, name: str | None = None) -> Dat
 
 def box_summary(df: DataFrame, by: str, col: str, size: int | None = None) -> DataFrame:
     """Quartiles, and whiskers at the last value within 1.5 IQR of the box, per group of ``by``."""
-    box = _fences(df, by, col, size)
+    box, small = measured(_fences(df, by, col, size))
     value = F.col(col).cast("double")
-    inside = _with_box(df, box, by, size).where((value >= F.col("low")) & (value <= F.col("high")))
+    inside = _with_box(df, box, small, by, size).where((value >= F.col("low")) & (value <= F.col("high")))
     ends = inside.groupBy(by).agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
     return box.select(by, "q1", "median", "q3").join(ends, by, "left")
 
@@ -180,7 +168,7 @@ def iqr_outliers(df: DataFrame, by: str, col: str, size: int | None = None) -> D
     """Rows strictly outside the 1.5 IQR fences of their group."""
     value = F.col(col).cast("double")
     outside = (value < F.col("low")) | (value > F.col("high"))
-    rows = _with_box(df, _fences(df, by, col, size), by, size)
+    rows = _with_box(df, *measured(_fences(df, by, col, size)), by, size)
     return rows.groupBy(by).agg(F.sum(F.when(outside, 1).otherwise(0)).alias("outliers"))
 
 
@@ -191,9 +179,9 @@ def _fences(df: DataFrame, by: str, col: str, size: int | None) -> DataFrame:
     )
 
 
-def _with_box(df: DataFrame, box: DataFrame, by: str, size: int | None) -> DataFrame:
+def _with_box(df: DataFrame, box: DataFrame, small: bool, by: str, size: int | None) -> DataFrame:
     salt = [_ID] if _ID in df.columns else df.columns
-    return df.join(F.broadcast(box), by) if fits_broadcast(box) else attach(df, box, [by], salt, "inner", size)
+    return df.join(F.broadcast(box), by) if small else attach(df, box, [by], salt, "inner", size)
 
 
 def month_baselines(df: DataFrame, size: int | None = None) -> DataFrame:
@@ -271,9 +259,9 @@ def deviation_by_group(df: DataFrame, group: str | None = None, size: int | None
     """Each value minus the mean and the median of its group (by default its age class)."""
     if group is None:
         df, group = df.withColumn("age_group", age_group()), "age_group"
-    stats = group_levels(df, group, size)
+    stats, small = measured(group_levels(df, group, size))
     value = F.col("purchase_value").cast("double")
-    if fits_broadcast(stats):
+    if small:
         out = df.join(F.broadcast(stats), group, "left")
     else:
         out = attach(df, stats, [group], [_ID], size=size)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions.columns import ratio
-from tallyward.plans.joins import attach, fits_broadcast
+from tallyward.plans.joins import attach, measured
 from tallyward.plans.slices import Over, running
 
 ALTERNATIVES = ("two-sided", "less", "greater")
@@ -89,7 +89,8 @@ def kde(
         (F.col("low") - cut * h).alias("start"),
         ((F.col("high") - F.col("low") + 2 * cut * h) / (points - 1)).alias("step"),
     )
-    if fits_broadcast(stats):
+    stats, small = measured(stats)
+    if small:
         joined = vals.join(F.broadcast(stats), group)
     else:
         joined = attach(vals, stats, [group], ["__v"], "inner")

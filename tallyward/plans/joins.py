@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.plans.slices import MAX_SLICES, SAMPLE_PER_SLICE, SEED
-from tallyward.session import broadcast_rows, group_rows
+from tallyward.session import broadcast_rows, group_rows, settle
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -17,6 +17,12 @@ def fits_broadcast(df: DataFrame) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def measured(table: DataFrame) -> tuple[DataFrame, bool]:
+    """The table computed once, and whether it is small enough to broadcast."""
+    table = settle(table)
+    return table, fits_broadcast(table)
+
+
 def heavy_keys(df: DataFrame, keys: Sequence[str], size: int | None = None) -> DataFrame | None:
     """Keys with more rows than one task should take, and a number of salts for each.
 
@@ -49,15 +55,17 @@ def attach(
     salt: Sequence[str],
     how: str = "left",
     size: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table``, which has at most one row per key.
 
     Heavy keys of ``rows`` are spread over salts (a hash of the ``salt`` columns, so a retried task
     makes the same choice) and only their few ``table`` rows are repeated. The join type is left to
-    the optimizer, which broadcasts ``table`` where its measured size allows.
+    the optimizer, which broadcasts ``table`` where its measured size allows. ``source`` is a cheaper
+    table with the same keys to look for heavy ones in.
     """
     keys = list(keys)
-    heavy = heavy_keys(rows, keys, size)
+    heavy = heavy_keys(rows if source is None else source, keys, size)
     if heavy is None:
         return rows.join(table, keys, how)
     heavy = heavy.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], "__salts")

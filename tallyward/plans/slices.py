@@ -278,47 +278,39 @@ def precedes(df: DataFrame, order: Sequence[str], cut: tuple | None, inclusive:
     return result
 
 
-def quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    col: str,
-    probs: dict[str, float],
-    size: int | None = None,
-    tie: str | None = None,
+def ranked_for(
+    df: DataFrame, by: Sequence[str], col: str, tie: str, name: str, size: int | None = None, derived: bool = False
 ) -> DataFrame:
+    """``df`` with each row's place among the non-NULL values of its group, for ``quantile_of``.
+
+    Several of these on the same ``by`` share one exchange: only the sort differs.
+    """
+    values = [Over(f"__below_{name}", "count", F.col(col), "before"), Over(f"__all_{name}", "count", F.col(col), "group")]
+    return running(df, by, [col, tie], values, size, derived)
+
+
+def quantile_of(col: str, name: str, p: float, n: Column | None = None) -> Column:
+    """Aggregate: the interpolated quantile of a group of ranked rows (``n`` rows stand in one)."""
+    value, below, total = F.col(col).cast("double"), F.col(f"__below_{name}"), F.col(f"__all_{name}")
+    last = below + (F.lit(1) if n is None else n) - 1
+    at = F.lit(float(p)) * (total - 1)
+    low, high = F.floor(at), F.ceil(at)
+
+    def held(x: Column) -> Column:
+        return F.max(F.when(value.isNotNull() & (below <= x) & (x <= last), value))
+
+    return held(low) + (held(high) - held(low)) * F.max(F.when(value.isNotNull(), at - low))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float], size: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group, NULL values skipped.
 
     Equal values are counted together before the shuffle, so a group as large as the table costs no
-    more than its distinct values. ``tie`` (a unique column) skips that step: for many small groups
-    of mostly distinct values it saves an exchange.
+    more than its distinct values. For many small groups, ``ranked_for`` and ``quantile_of`` save
+    that exchange.
     """
     by = list(by)
-    rows = df.where(F.col(col).isNotNull())
-    if tie:
-        vals = rows.select(*by, F.col(col), F.col(tie).alias("__tie"), F.lit(1).cast("long").alias("__n"))
-        order = [col, "__tie"]
-    else:
-        vals = rows.groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
-        order = [col]
-    ranked = running(
-        vals,
-        by,
-        order,
-        [Over("__below", "sum", F.col("__n"), "before"), Over("__all", "sum", F.col("__n"), "group")],
-        size,
-        derived=not tie,
-    )
-    value = F.col(col).cast("double")
-    hits, aggs, outs = F.lit(False), [], []
-    for i, (name, p) in enumerate(probs.items()):
-        at = F.lit(float(p)) * (F.col("__all") - 1)
-        low, high = F.floor(at), F.ceil(at)
-        holds = lambda x: (F.col("__below") <= x) & (x < F.col("__below") + F.col("__n"))
-        hits = hits | holds(low) | holds(high)
-        aggs += [
-            F.max(F.when(holds(low), value)).alias(f"__l{i}"),
-            F.max(F.when(holds(high), value)).alias(f"__h{i}"),
-            F.max(at - low).alias(f"__f{i}"),
-        ]
-        outs.append((F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * F.col(f"__f{i}")).alias(name))
-    return ranked.where(hits).groupBy(*by).agg(*aggs).select(*by, *outs)
+    vals = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
+    n = F.col("__n")
+    ranked = running(vals, by, [col], [Over("__below_v", "sum", n, "before"), Over("__all_v", "sum", n, "group")], size, derived=True)
+    return ranked.groupBy(*by).agg(*[quantile_of(col, "v", p, n).alias(name) for name, p in probs.items()])

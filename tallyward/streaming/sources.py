@@ -82,9 +82,9 @@ def tagged_events(txns: DataFrame, labels: DataFrame | None = None, seeds: DataF
             "last_transaction",
             "first_seen",
             F.col("ip_min").alias("ip_address"),
-            (F.col("ip_count") > 1).alias("ip_mixed"),
+            "ip_mixed",
             F.col("source_min").alias("source"),
-            (F.col("source_count") > 1).alias("source_mixed"),
+            "source_mixed",
             "fraud_count",
         )
         out = out.unionByName(_as_events(seeded))

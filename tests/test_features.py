@@ -131,12 +131,13 @@ def test_recent_count_with_cut_groups(make, spark):
 
 def test_state_and_members(make):
     df = make([(1, "d", 0, 1.5, "web", 5, 0), (2, "d", 9, 2.0, "app", None, 1), (3, "e", 4, 7.0, "web", 6, 0)])
-    state = rows_by(ft.device_state(df, label_events(df)), "device_id", "txn_count", "purchase_sum", "ip_count", "ip_null", "source_count", "fraud_count", "last_transaction")
-    assert state["d"][:6] == (2, 3.5, 2, True, 2, 1)
-    assert state["e"][:6] == (1, 7.0, 1, False, 1, 0)
+    state = rows_by(ft.device_state(df, label_events(df)), "device_id", "txn_count", "purchase_sum", "ip_mixed", "ip_null", "source_mixed", "fraud_count", "last_transaction")
+    assert state["d"][:6] == (2, 3.5, True, True, True, 1)
+    assert state["e"][:6] == (1, 7.0, False, False, False, 0)
     assert state["d"][6].replace(tzinfo=None) - state["e"][6].replace(tzinfo=None) == dt.timedelta(seconds=5)
-    sets = rows_by(ft.device_sets(df, ft.device_state(df)), "device_id", "sources")
-    assert sets == {"d": ["app", "web"], "e": ["web"]}
+    sets = rows_by(ft.device_sets(df, ft.device_state(df)), "device_id", "sources", "ip_count")
+    assert sets == {"d": (["app", "web"], 2), "e": (["web"], 1)}
+    assert rows_by(ft.device_sets(df, ft.device_state(df), 1), "device_id", "sources", "source_count") == {"d": (None, 2), "e": (["web"], 1)}
     assert ft.device_members(df, "ip_address").count() == 3
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyward.operators.splits import row_slice, time_split
 from tallyward.plans.components import connected_components
 from tallyward.plans.joins import attach
-from tallyward.plans.slices import Over, cut_points, global_rank, quantiles, row_at, running
+from tallyward.plans.slices import Over, cut_points, global_rank, quantile_of, quantiles, ranked_for, row_at, running
 from tallyward.session import GROUP_ROWS
 
 
@@ -70,15 +70,18 @@ def test_global_rank_and_row_at(spark, limit):
     assert row_at(df, ["t", "id"], 300) is None
 
 
-@pytest.mark.parametrize("tie", [None, "id"])
-def test_quantiles(spark, limit, tie):
+def test_quantiles(spark, limit):
     df, rows = skewed(spark)
     probs = {"q1": 0.25, "mid": 0.5, "q9": 0.9}
-    got = rows_by(quantiles(df, ["k"], "t", probs, tie=tie), "k", *probs)
+    got = rows_by(quantiles(df, ["k"], "t", probs), "k", *probs)
     for k in {r[1] for r in rows}:
         vals = [r[2] for r in rows if r[1] == k]
         assert got[k] == pytest.approx(tuple(np.quantile(vals, list(probs.values()))))
-    whole = quantiles(df, [], "v", probs, tie=tie).first()
+    ranked = ranked_for(df, ["k"], "v", "id", "v")
+    got = rows_by(ranked.groupBy("k").agg(*[quantile_of("v", "v", p).alias(n) for n, p in probs.items()]), "k", *probs)
+    for k in {r[1] for r in rows}:
+        assert got[k] == pytest.approx(tuple(np.quantile([r[3] for r in rows if r[1] == k], list(probs.values()))))
+    whole = quantiles(df, [], "v", probs).first()
     assert tuple(whole) == pytest.approx(tuple(np.quantile([r[3] for r in rows], list(probs.values()))))
 
 
