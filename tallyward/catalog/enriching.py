@@ -122,7 +122,7 @@ def time_split(spark, sf):
     f"WITH {_RANKED} SELECT transaction_id, pos < CAST(floor(0.8 * (n // 2)) AS BIGINT) AS is_train FROM k WHERE pos <= n // 2",
 )
 def initial_rows_split(spark, sf):
-    """Half of the table, the last test row included twice over: the slice ends on the row at the bound."""
+    """Train and test within the first rows of a table; the test part keeps the row at the bound as well."""
     rows, n = orders(spark, sf), size_of(spark, sf, "orders")
     train, test = splits.time_split(rows, 0.8, initial_rows=n // 2, inclusive_end=True, size=n)
     return train.select("transaction_id", F.lit(True).alias("is_train")).unionByName(test.select("transaction_id", F.lit(False).alias("is_train")))

@@ -327,14 +327,15 @@ def linear_scores(spark, sf):
 
 @query(
     "prediction_with_label",
-    f"""{_SCORED}, l AS (SELECT transaction_id, is_fraud FROM e WHERE transaction_id % 3 <> 0)
+    f"""{_SCORED}, l AS (SELECT transaction_id, is_fraud FROM e WHERE purchase_time + to_days(3) <= (SELECT max(purchase_time) FROM e))
 SELECT transaction_id, device_id, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS predicted_class, {r6('fraud_probability=prob')},
   l.is_fraud AS true_label FROM s JOIN e USING (transaction_id) LEFT JOIN l USING (transaction_id)""",
 )
 def prediction_with_label(spark, sf):
-    """Every third transaction has no label yet."""
+    """Labels take three days; the last transactions have none yet."""
     txns = events(spark, sf)
-    labels = label_events(txns.where(F.col("transaction_id") % 3 != 0))
+    now = txns.agg(F.max("purchase_time").alias("t")).scalar()
+    labels = label_events(txns, 3).where(F.col("arrival_time") <= now)
     scored = scored_events(spark, sf).select("transaction_id", "device_id", "predicted_class", "fraud_probability")
     return rounded(join_labels(scored, labels), "fraud_probability")
 
@@ -346,3 +347,14 @@ def prediction_with_label(spark, sf):
 def signup_to_purchase(spark, sf):
     out = events(spark, sf).select("transaction_id", seconds_between("signup_time", "purchase_time").alias("seconds"))
     return rounded(out, "seconds")
+
+
+@query(
+    "features_beside_label",
+    f"WITH {E}, {_ranked('e')}, f AS ({_features_sql('e', 'online', '0')}) SELECT f.*, e.is_fraud FROM f JOIN e USING (transaction_id)",
+)
+def features_beside_label(spark, sf):
+    """Features and label from two tables, put side by side on the transaction id."""
+    txns = events(spark, sf)
+    feats = ft.device_features(txns.drop("is_fraud"), "online", None, size_of(spark, sf, "events"))
+    return _shown(feats).join(txns.select("transaction_id", "is_fraud"), "transaction_id")

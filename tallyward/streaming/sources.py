@@ -18,26 +18,39 @@ EVENT = (
 )
 
 
+# What a trigger may read. It bounds what one busy device can bring to the task that folds it; history
+# larger than that belongs in the batch features, whose snapshot then seeds the stream.
+BYTES_PER_TRIGGER = 1 << 30
+
+
 def file_stream(
-    spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, kind: str = "parquet", only: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema,
+    files: int | None = None,
+    kind: str = "parquet",
+    only: str | None = None,
+    limit: int | None = BYTES_PER_TRIGGER,
 ) -> DataFrame:
-    """New files of a folder; ``only`` is a pattern their names must match."""
+    """New files of a folder, up to ``files`` or ``limit`` bytes a trigger; ``only`` is a pattern of names."""
     reader = spark.readStream.schema(schema).format(kind)
     if only:
         reader = reader.option("pathGlobFilter", only)
     if kind == "csv":
         reader = reader.option("header", "true")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    elif limit:
+        reader = reader.option("maxBytesPerTrigger", str(limit))
     return reader.load(path)
 
 
-def transaction_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    return file_stream(spark, path, TRANSACTION, files_per_trigger)
+def transaction_files(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    return file_stream(spark, path, TRANSACTION, files)
 
 
-def label_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    return file_stream(spark, path, LABEL, files_per_trigger)
+def label_files(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    return file_stream(spark, path, LABEL, files)
 
 
 def kafka_topic(spark: SparkSession, servers: str, topic: str, offsets_per_trigger: int = 5_000_000) -> DataFrame:

@@ -91,7 +91,7 @@ def test_seeded_stream_continues_the_batch(make, spark, tmp_path):
     old, new = txns.where(F.col("purchase_time") < cut), txns.where(F.col("purchase_time") >= cut)
     state = device_state(old, label_events(old))
     state.select("*").write.parquet(f"{tmp_path}/seeds")
-    seeds = file_stream(spark, f"{tmp_path}/seeds", spark.read.parquet(f"{tmp_path}/seeds").schema)
+    seeds = file_stream(spark, f"{tmp_path}/seeds", spark.read.parquet(f"{tmp_path}/seeds").schema, limit=None)
     write(new, TRANSACTION, f"{tmp_path}/txns")
     write(label_events(new), LABEL, f"{tmp_path}/labels")
     run(spark, tmp_path, seeds)
@@ -147,3 +147,32 @@ def test_reads(make, spark):
     assert rows_by(latest_labels(labels), "transaction_id", "true_label") == {"3": 1}
     assert result(df, labels, "3").first()["true_label"] == 1
     assert result(df, labels, "77").count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import tallyward.__main__ as cli
+
+    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    rnd = random.Random(6)
+    head = "user_id,signup_time,purchase_time,purchase_value,device_id,source,browser,sex,age,ip_address,is_fraud\n"
+    rows = [
+        f"{i},2015-01-01 00:00:00,{T0 + dt.timedelta(minutes=i):%Y-%m-%d %H:%M:%S},{rnd.randrange(10, 60) + 40 * (i % 3 == 0)},d{i % 9},SEO,Chrome,M,30,{i % 5}.5,{int(i % 3 == 0)}\n"
+        for i in range(120)
+    ]
+    (tmp_path / "p.csv").write_text(head + "".join(rows))
+    monkeypatch.setitem(cli.train.__globals__["GRIDS"], "logistic_regression", {"C": [1.0], "max_iter": [10]})
+    cli.main(["train", str(tmp_path / "p.csv"), "--resampling", "random_undersampling", "--initial-rows", "100", "--save", str(tmp_path / "m")])
+    from tallyward.sources.files import read_purchases
+
+    fresh = read_purchases(spark, str(tmp_path / "p.csv")).where("user_id >= 100")
+    write(fresh, TRANSACTION, f"{tmp_path}/txns")
+    write(label_events(fresh), LABEL, f"{tmp_path}/labels")
+    cli.main(["score", f"{tmp_path}/txns", f"{tmp_path}/labels", "--model", str(tmp_path / "m"), "--out", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/check", "--seeds"])
+    recs = job.records(spark, f"{tmp_path}/out")
+    assert recs.count() == 20 and recs.where("true_label is null").count() == 0
+    assert recs.agg(F.min("txn_count")).first()[0] > 10  # histories continue from the training run
+    one = recs.first()["transaction_id"]
+    capsys.readouterr()
+    cli.main(["recent", f"{tmp_path}/out", "-k", "3"])
+    cli.main(["result", f"{tmp_path}/out", one])
+    assert one in capsys.readouterr().out
