@@ -115,11 +115,11 @@ RANGES = """ranges AS (
 def gdp_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier balances by nation as an economy sheet: a row per year, a column per country.
 
-    Every fifth nation is missing. The pivot's columns are the names of the nation table.
+    Every fifth nation is missing. The pivot's columns are the nations that have a supplier.
     """
     nation = table(spark, sf, "nation").where(F.col("n_nationkey") % 5 != 0)
-    names = [r[0] for r in nation.select("n_name").orderBy("n_nationkey").limit(10_000).collect()]
     balance = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    names = [r[0] for r in balance.select("n_name").distinct().orderBy("n_name").limit(10_000).collect()]
     return (
         balance.select("n_name", F.col("s_acctbal").cast(MONEY).alias("b"), F.explode(F.array(F.lit(2014), F.lit(2015))).alias("year"))
         .withColumn("b", F.when(F.col("year") == 2015, F.col("b")).otherwise(-F.col("b")))
