@@ -42,6 +42,8 @@ def device_features(
     """
     if mode not in ("online", "offline"):
         raise ValueError("mode must be 'online' or 'offline'")
+    if isinstance(labels, str) and labels != "immediate":
+        raise ValueError("labels must be None, 'immediate' or a label table")
     base = txns.columns
     by_table = isinstance(labels, DataFrame)
     if by_table:

@@ -264,8 +264,11 @@ def precedes(df: DataFrame, order: Sequence[str], cut: tuple | None, inclusive:
         return F.lit(True)
     result = F.lit(inclusive)
     for name, value in reversed(list(zip(order, cut))):
-        kind = df.schema[name].dataType
-        col, point = F.col(name), F.lit(value)
+        kind, col = df.schema[name].dataType, F.col(name)
+        if value is None:  # NULL sorts first: nothing is below it
+            result = col.isNull() & result
+            continue
+        point = F.lit(value)
         if isinstance(kind, T.TimestampType):
             point = F.timestamp_micros(point)
         elif isinstance(kind, T.TimestampNTZType):
@@ -274,7 +277,7 @@ def precedes(df: DataFrame, order: Sequence[str], cut: tuple | None, inclusive:
             point = F.date_from_unix_date(point)
         else:
             point = point.cast(kind)
-        result = (col < point) | ((col == point) & result)
+        result = col.isNull() | (col < point) | ((col == point) & result)
     return result
 
 

@@ -60,7 +60,7 @@ FEATURES = [
     "device_fraud_rate",
 ]
 
-# Columns that carry identity rather than behaviour; not used for modelling.
+# Columns that carry identity rather than behaviour; not used for modelling.
 UNUSED_FOR_MODELS = [
     "user_id",
     "signup_time",

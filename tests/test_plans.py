@@ -5,6 +5,8 @@ import pytest
 from conftest import rows_by
 from pyspark.sql import functions as F
 
+from tallyward.operators.entities import device_value_stats, summarize_entity
+from tallyward.operators.features import device_features
 from tallyward.operators.splits import row_slice, time_split
 from tallyward.plans.components import connected_components
 from tallyward.plans.joins import attach
@@ -124,3 +126,29 @@ def test_components(spark, limit):
         root[max(a, b)] = min(a, b)
     out = connected_components(spark.createDataFrame(edges, "a int, b int"), spark.createDataFrame([(n,) for n in nodes], "node int"))
     assert rows_by(out, "node", "component") == {n: find(n) for n in nodes}
+
+
+def test_split_keeps_rows_without_a_time(spark, limit):
+    df = spark.createDataFrame([(str(i), None if i < 4 else i) for i in range(12)], "transaction_id string, purchase_time int")
+    ids = lambda d: sorted(int(r[0]) for r in d.select("transaction_id").collect())
+    for share in (0.2, 0.5):
+        train, test = time_split(df, share)
+        assert (ids(train), ids(test)) == (list(range(int(share * 12))), list(range(int(share * 12), 12)))
+
+
+def test_plans_have_one_exchange(spark, tmp_path, capsys):
+    """Features and summaries of a device: one shuffle of the rows, only needed columns read."""
+    df, _ = skewed(spark)
+    rows = df.select(
+        F.col("id").cast("string").alias("transaction_id"), F.col("k").alias("device_id"), F.col("k").alias("user_id"),
+        F.timestamp_seconds("t").alias("purchase_time"), F.timestamp_seconds(F.lit(0)).alias("signup_time"),
+        F.col("v").alias("purchase_value"), F.lit("web").alias("source"), F.col("t").alias("ip_address"),
+        F.lit(0).alias("is_fraud"), F.lit("unread").alias("browser"),
+    )
+    rows.write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    for out in (device_features(rows, "online", "immediate").drop("browser"), summarize_entity(rows, "device_id"), device_value_stats(rows)):
+        out.explain()
+        text = capsys.readouterr().out
+        assert text.count("Exchange hashpartitioning") == 1
+        assert "browser" not in text
