@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyward.llm import decontaminate, imatch, sharding, url_filter
+from tallyward.llm import decontaminate, imatch, near_dups, packing, sharding, substring_dedup, token_counts, toxicity, url_filter, warc
 from tallyward.llm.common import LOWER, UPPER, read
 
 # Fixed values of the URL query: action, host, path.
@@ -133,3 +133,60 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fa
 )
 def op10_imatch(spark, sf_dir):
     return imatch.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def packed(docs):
+    return packing.pack(docs, _tokenizer("byte_bpe_50k.json"))
+
+
+@query("op2_packing")
+def op2_packing(spark, sf_dir):
+    return packed(read(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    return toxicity.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query(
+    "op4_near_duplicates",
+    rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+             ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM t),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+      AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY ALL),
+l AS (SELECT a, b FROM i WHERE 100 * i >= 80 * (na + nb - i)),
+edges AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.x, edges.b FROM reach JOIN edges ON reach.y = edges.a),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+""",
+)
+def op4_near_duplicates(spark, sf_dir):
+    return near_dups.near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@query("op5_warc")
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages"), warc.archive_folder(spark))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark, sf_dir):
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    """Every document with its shortened text and the number of passages taken out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, count="n_removed")

@@ -158,7 +158,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 if out is None:
                     path = f"{base}/part-{task.partitionId():06d}-{len(done):06d}.warc.zst"
                     trial = f"{path}.{task.taskAttemptId()}"
-                    out, records = fs.open_output_stream(trial), 0
+                    out, records = fs.open_output_stream(trial, compression=None), 0
                     at = out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary.value)) + dictionary.value)
                 data = record(row["id"], row["url"], row["payload"].encode(), base32(row["digest"]), row["role"], row["refers"])
                 at += out.write(packer.compress(data))
@@ -187,7 +187,7 @@ def read_archives(files: DataFrame, folder: str, with_payload: bool = True) -> D
         for batch in batches:
             for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows, held, found = [], 0, 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for data in frames(stream.read):
                         f, found = parse(data), found + 1
                         refers = name(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else None
