@@ -10,7 +10,8 @@ Links decide groups, not the list of all pairs, so a large group of copies is no
   if min(c, c') reaches the needed overlap; this exact bound removes most pairs that fall short.
 * In each key's bucket all members are compared with the smallest id; exact links are then joined to groups.
 * Members that are not in the group of their bucket's smallest id are compared with all members of other groups there
-  that pass the bound. So every pair of a bucket is linked, in one group already, or compared exactly.
+  that pass the bound, made sharper by what both share with the smallest id. So every pair of a bucket is linked, in one
+  group already, ruled out by a bound, or compared exactly.
 
 Null and empty texts have an empty set and are linked with nothing. A text of fewer words than a shingle has its whole
 sequence as its one shingle. Rows that repeat an id count as one document if their sets are equal; otherwise each
@@ -78,16 +79,19 @@ def _may_link(na: str, nb: str, ca: str, cb: str, percent: int) -> Column:
     return (F.col(na) + F.col(nb)) * percent <= F.least(ca, cb) * (100 + percent)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their full sets."""
+def _compared(pairs: DataFrame, docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """(a, b, na, nb, shared): sizes and overlap of the full sets of each pair."""
     texts = docs.select(F.col(doc_id).alias("t"), F.col(text).alias("text"))
     ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())
     texts = texts.join(hinted(ends), "t", "left_semi").dropDuplicates(["t"])
     left = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
     sets = both.select("a", "b", shingles("ta", words).alias("sa"), shingles("tb", words).alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return sets.where(shared * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b")
+    return settle(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared")))
+
+
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(F.col("shared") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,18 +115,31 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "do
     leads = members.where(F.col("rep") == F.col("lead")).select("key", F.col("n").alias("na"), F.col("c").alias("ca"))
     stars = members.where(F.col("rep") != F.col("lead")).join(leads, "key").where(_may_link("na", "n", "ca", "c", percent))
     stars = settle(stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-    links = settle(_verified(stars, docs, words, percent, doc_id, text))
+    compared = _compared(stars, docs, words, doc_id, text)
+    links = _linked(compared, percent)
 
     nodes = members.select(F.col("rep").alias("node")).distinct()
     home = connected_components(links, nodes)
-    placed = settle(members.join(home.select(F.col("node").alias("rep"), F.col("component").alias("home")), "rep"))
+    with_lead = compared.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "shared")
+    placed = members.join(home.select(F.col("node").alias("rep"), F.col("component").alias("home")), "rep").join(with_lead, ["lead", "rep"], "left")
+    placed = settle(placed.withColumn("shared", F.when(F.col("rep") == F.col("lead"), F.col("n")).otherwise(F.col("shared"))))
     lead_home = placed.where(F.col("rep") == F.col("lead")).select("key", F.col("home").alias("lead_home"))
     placed = placed.join(lead_home, "key", "left")
-    apart = placed.where(~F.col("home").eqNullSafe(F.col("lead_home"))).select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("home").alias("ha"))
-    others = placed.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("home").alias("hb"))
-    more = apart.join(others, "key").where((F.col("ha") != F.col("hb")) & _may_link("na", "nb", "ca", "cb", percent))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(settle(more), docs, words, percent, doc_id, text))
+    mixed = placed.where(~F.col("home").eqNullSafe(F.col("lead_home"))).select("key").distinct()
+    pool = settle(placed.join(mixed, "key").join(classes.select("rep", "bands"), "rep"))
+    side = lambda x, rest: pool.select("key", F.col("rep").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "c", "home", "shared", "bands")), *rest)
+    apart = side("a", ["lead_home"]).where(~F.col("ha").eqNullSafe(F.col("lead_home")))
+    others = side("b", ["lead"]).where(F.col("b") != F.col("lead"))  # each member has met the lead
+    # what two sets share lies in the lead's set or outside of it; what only one candidate has is not shared
+    within = F.coalesce(F.least("sa", "sb") + F.least(F.col("ca") - F.col("sa"), F.col("cb") - F.col("sb")), F.least("ca", "cb"))
+    enough = (F.col("na") + F.col("nb")) * percent <= F.least(within, "ca", "cb") * (100 + percent)
+    once = F.col("hb").eqNullSafe(F.col("lead_home")) | (F.col("a") < F.col("b"))
+    # a pair counts in the first key that it shares
+    earlier = F.array_position("ba", F.col("key")).cast("int") - 1
+    first = ~F.arrays_overlap(F.slice("ba", F.lit(1), earlier), F.slice("bb", F.lit(1), earlier))
+    more = apart.join(others, "key").where((F.col("ha") != F.col("hb")) & once & enough & first)
+    more = settle(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = links.unionByName(_linked(_compared(more, docs, words, doc_id, text), percent))
 
     merged = connected_components(links, nodes).where(F.col("node") != F.col("component")).select(F.col("node").alias("rep"), "component")
     # a row's class, then the class's group; only classes of several rows and groups of several classes are joined
