@@ -106,8 +106,9 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "do
 
     # shingles, cut to 32 bits, that only one candidate has: a collision can only weaken the bound
     candidates = settle(members.select("rep").distinct())
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(hinted(candidates), "rep", "left_semi").dropDuplicates(["rep"])
-    seen = texts.select("rep", F.explode(F.transform(shingles("text", words), lambda s: (s % 2147483647).cast("int"))).alias("s"))
+    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
+    short = F.transform(shingles("text", words), lambda s: (s % 2147483647).cast("int"))
+    seen = texts.join(hinted(candidates), "rep", "left_semi").dropDuplicates(["rep"]).select("rep", F.explode(short).alias("s"))
     lonely = seen.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
     members = members.join(lonely, "rep", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
     members = settle(members.where(F.col("c") * 100 >= F.col("n") * percent))
@@ -127,6 +128,12 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "do
     placed = placed.join(lead_home, "key", "left")
     mixed = placed.where(~F.col("home").eqNullSafe(F.col("lead_home"))).select("key").distinct()
     pool = settle(placed.join(mixed, "key").join(classes.select("rep", "bands"), "rep"))
+    # the same bound among the members that have met one lead
+    met = settle(pool.select("lead", "rep").distinct())
+    seen = texts.join(hinted(met.select("rep").distinct()), "rep", "left_semi").dropDuplicates(["rep"]).select("rep", short.alias("all"))
+    seen = seen.join(met, "rep").select("lead", "rep", F.explode("all").alias("s"))
+    lonely = seen.groupBy("lead", "s").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("lead", "rep").agg(F.count(F.lit(1)).alias("u"))
+    pool = settle(pool.join(lonely, ["lead", "rep"], "left").withColumn("c", F.least(F.col("c"), F.col("n") - F.coalesce("u", F.lit(0)))).drop("u"))
     side = lambda x, rest: pool.select("key", F.col("rep").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "c", "home", "shared", "bands")), *rest)
     apart = side("a", ["lead_home"]).where(~F.col("ha").eqNullSafe(F.col("lead_home")))
     others = side("b", ["lead"]).where(F.col("b") != F.col("lead"))  # each member has met the lead

@@ -55,7 +55,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = A
         F.collect_set(F.size(F.split("rh", r"\."))).alias("depths"), F.collect_set(F.length("rp")).alias("lengths")
     ).first()
     depths, lengths = sorted(shape["depths"]), sorted(shape["lengths"])
-    row, cut, best = spare(pages, "__host", "__cut", "__best")
+    row, cut, best, h, c = spare(pages, "__host", "__cut", "__best", "__h", "__c")
     whole_path = spare(pages, "__path")[0]
     split = pages.withColumns({row: host_of(F.col(url)), whole_path: path_of(F.col(url))})
     split = split.withColumn(cut, F.substring(whole_path, 1, max(lengths, default=0)))
@@ -75,8 +75,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = A
             F.concat("rh", "rp").alias("rule"),
             F.col("act").alias("act"),
         )
-        decided = fits.groupBy("h", "c").agg(F.max(order).alias(best))
-        split = split.join(decided, (F.col(row) == F.col("h")) & (F.col(cut) == F.col("c")), "left").drop("h", "c")
+        decided = fits.groupBy(F.col("h").alias(h), F.col("c").alias(c)).agg(F.max(order).alias(best))
+        split = split.join(decided, (F.col(row) == F.col(h)) & (F.col(cut) == F.col(c)), "left").drop(h, c)
         rule, verdict = F.col(f"{best}.rule"), F.coalesce(F.col(f"{best}.act"), F.lit(default))
     else:
         rule, verdict = F.lit(None).cast("string"), F.lit(default)
