@@ -94,8 +94,11 @@ class Preprocessor:
 
 
 def class_counts(df: DataFrame, label: str = "is_fraud") -> dict[int, int]:
-    """Rows per class; a label has few values."""
-    return {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().limit(MAX_CATEGORIES).collect()}
+    """Rows per class; a label has few values, and more than MAX_CATEGORIES raise instead of being left out."""
+    rows = df.where(F.col(label).isNotNull()).groupBy(label).count().limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"{label} has more than {MAX_CATEGORIES} classes")
+    return {r[0]: r[1] for r in rows}
 
 
 def with_class_weight(df: DataFrame, label: str = "is_fraud", name: str = "weight") -> DataFrame:
