@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--resampling", default="smote", choices=METHODS)
     t.add_argument("--model", default="logistic_regression", help=f"one of {', '.join(MODELS)}")
     t.add_argument("--label", default="is_fraud")
-    t.add_argument("--initial-rows", type=int, default=50_000)
+    t.add_argument("--initial-rows", type=int, help="train, report and snapshot on the first rows only; without it, on all")
     t.add_argument("--save")
     s = sub.add_parser("score")
     s.add_argument("transactions")
@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--checkpoint", required=True)
     s.add_argument("--seeds", action="store_true", help="start from the device snapshot of the training run")
     s.add_argument("--every", help="trigger interval; without it, take what is there and stop")
+    s.add_argument("--delay", default=job.REPEATS_WITHIN, help="how long after an event a repeat of it is known as one")
     r = sub.add_parser("recent")
     r.add_argument("out")
     r.add_argument("-k", type=int, default=20)
@@ -60,7 +61,7 @@ def main(argv: list[str] | None = None) -> None:
             path = f"{a.model}/device_state"
             seeds = file_stream(spark, path, spark.read.parquet(path).schema, limit=None)
         txns, labels = transaction_files(spark, a.transactions), label_files(spark, a.labels)
-        job.run_stream(txns, labels, job.model_scorer(prep, model), a.out, a.checkpoint, seeds, every=a.every).awaitTermination()
+        job.run_stream(txns, labels, job.model_scorer(prep, model), a.out, a.checkpoint, seeds, a.delay, a.every).awaitTermination()
     elif a.command == "recent":
         recent_results(job.results(spark, a.out), a.k).show(a.k, truncate=False)
     else:

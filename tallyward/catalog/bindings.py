@@ -119,7 +119,9 @@ def gdp_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """
     nation = table(spark, sf, "nation").where(F.col("n_nationkey") % 5 != 0)
     balance = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    names = [r[0] for r in balance.select("n_name").distinct().orderBy("n_name").limit(10_000).collect()]
+    names = [r[0] for r in balance.select("n_name").distinct().orderBy("n_name").limit(10_001).collect()]
+    if len(names) > 10_000:
+        raise ValueError("a sheet with a column per country holds at most 10,000 countries")
     return (
         balance.select("n_name", F.col("s_acctbal").cast(MONEY).alias("b"), F.explode(F.array(F.lit(2014), F.lit(2015))).alias("year"))
         .withColumn("b", F.when(F.col("year") == 2015, F.col("b")).otherwise(-F.col("b")))

@@ -43,17 +43,29 @@ GRIDS = {
         "min_samples_leaf": [2, 5, 10],
         "class_weight": ["balanced"],
     },
+    # 16 of the candidates below, so that tuning without a grid ends
     "boosted_trees": {
-        "n_estimators": [100, 200, 300],
-        "max_depth": [3, 5, 7, 10],
-        "learning_rate": [0.01, 0.05, 0.1],
-        "min_child_weight": [1, 3, 5],
-        "subsample": [0.8, 1.0],
-        "colsample_bytree": [0.8, 1.0],
+        "n_estimators": [100],
+        "max_depth": [3, 7],
+        "learning_rate": [0.05, 0.1],
+        "min_child_weight": [1],
+        "subsample": [0.8],
+        "colsample_bytree": [0.8],
         "scale_pos_weight": [5, 10, 15, 20],
     },
 }
 
+# Every candidate for boosted trees, 1,728 of them, to be passed as ``grid``.
+ALL_BOOSTED = {
+    "n_estimators": [100, 200, 300],
+    "max_depth": [3, 5, 7, 10],
+    "learning_rate": [0.01, 0.05, 0.1],
+    "min_child_weight": [1, 3, 5],
+    "subsample": [0.8, 1.0],
+    "colsample_bytree": [0.8, 1.0],
+    "scale_pos_weight": [5, 10, 15, 20],
+}
+
 
 def _kind(model: str) -> str:
     if model.startswith("logistic"):
@@ -140,7 +152,7 @@ class RiskModel:
     def predict(self, df: DataFrame) -> DataFrame:
         """``predicted_class`` and ``fraud_probability``; a margin classifier has ``fraud_margin`` instead."""
         if self.model is None:
-            raise ValueError("Model must be trained first")
+            raise ValueError("there is no fitted model yet")
         out = self.model.transform(df).withColumn("predicted_class", F.col("__prediction").cast("int"))
         score = "fraud_margin" if self.model_type == "svc" else "fraud_probability"
         source = "rawPrediction" if self.model_type == "svc" else "probability"
@@ -149,7 +161,7 @@ class RiskModel:
     def importance(self, spark: SparkSession, top: int | None = 20, non_zero: bool = False) -> DataFrame:
         """Coefficients by size, or importances; one row per feature."""
         if self.model is None:
-            raise ValueError("Model must be trained first")
+            raise ValueError("there is no fitted model yet")
         fitted = self.model.stages[-1]
         name = "coefficient" if hasattr(fitted, "coefficients") else "importance"
         values = fitted.coefficients if name == "coefficient" else fitted.featureImportances
@@ -245,7 +257,7 @@ def train(
     model: str = "logistic_regression",
     params: dict | None = None,
     save_to: str | None = None,
-    initial_rows: int | None = 50_000,
+    initial_rows: int | None = None,
     train_share: float = 0.8,
     mode: str = "online",
     labels: DataFrame | str | None = None,
@@ -255,6 +267,9 @@ def train(
 ) -> TrainingRun:
     """The offline job: features in time order, split by time, tune and fit, report, snapshot.
 
+    All rows are used. With ``initial_rows`` the whole job, the snapshot included, sees that many of the
+    oldest rows, as if no others had come yet.
+
     The features of the test part continue the device histories of the training part. ``labels=None``
     leaves fraud rates at 0; see ``device_features``. The snapshot carries the frauds of the test
     part, the labels that became known after the fit.

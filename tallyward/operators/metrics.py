@@ -70,14 +70,17 @@ def binary_metrics(df: DataFrame, label: str = "is_fraud", prediction: str = "pr
 
     The counts are those of the distinct scores, so everything is one pass over the rows. Both areas come from one descending walk over distinct scores: a negative is beaten by the
     positives above it and by half of those it ties with; average precision weighs the precision at
-    each score by its share of the positives.
+    each score by its share of the positives. Rows without a score have no place in that walk and count in the
+    other four measures only; rows without a label count nowhere.
     """
-    y, p = F.col(label) == 1, F.col(prediction) == 1
+    y, p, scored = F.col(label) == 1, F.col(prediction) == 1, F.col(score).isNotNull()
     vals = df.groupBy((-F.col(score)).alias("__s")).agg(
-        F.count(F.when(y, 1)).alias("__pos"),
-        F.count(F.when(~y, 1)).alias("__neg"),
+        F.count(F.when(y & scored, 1)).alias("__pos"),
+        F.count(F.when(~y & scored, 1)).alias("__neg"),
+        F.count(label).alias("__rows"),
+        F.count(F.when(y, 1)).alias("__frauds"),
         F.count(F.when(y & p, 1)).alias("__hit"),
-        F.count(F.when(p, 1)).alias("__flagged"),
+        F.count(F.when(p & F.col(label).isNotNull(), 1)).alias("__flagged"),
         F.count(F.when(F.col(label) == F.col(prediction), 1)).alias("__right"),
     )
     walk = running(
@@ -96,9 +99,9 @@ def binary_metrics(df: DataFrame, label: str = "is_fraud", prediction: str = "pr
     won = F.sum(F.col("__neg").cast("double") * (F.col("__above") + F.col("__pos") / 2))
     precise = F.sum(F.col("__pos") * ratio(F.col("__tp"), F.col("__tp") + F.col("__fp")))
     row = walk.agg(
-        ratio(F.sum("__right"), pos + neg).alias("accuracy"),
+        ratio(F.sum("__right"), F.sum("__rows")).alias("accuracy"),
         F.coalesce(ratio(hit, F.sum("__flagged")), F.lit(0.0)).alias("precision"),
-        F.coalesce(ratio(hit, pos), F.lit(0.0)).alias("recall"),
+        F.coalesce(ratio(hit, F.sum("__frauds")), F.lit(0.0)).alias("recall"),
         ratio(won, pos.cast("double") * neg.cast("double")).alias("roc_auc"),
         ratio(precise, pos).alias("pr_auc"),
     )

@@ -60,7 +60,7 @@ class Preprocessor:
 
     def transform(self, df: DataFrame) -> DataFrame:
         if not self.fitted:
-            raise ValueError("Preprocessor must be fitted before transform")
+            raise ValueError("nothing to transform by: call fit or load")
         kept = [c for c in (*self.keep, self.label) if c in df.columns]
         scaled = [((F.col(c).cast("double") - m) / F.lit(s)).alias(c) for c, (m, s) in self.numeric.items()]
         hot = [F.col(c).eqNullSafe(F.lit(v)).cast("int").alias(f"{c}_{v}") for c, vs in self.categories.items() for v in vs]

@@ -69,7 +69,7 @@ def value_counts(df: DataFrame, *cols: str, normalize: bool = False, keep_null:
     counts = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("count"))
     if not normalize:
         return counts
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = counts.agg(F.sum("count").alias("n")).scalar()  # over the same exchange: the rows are read once
     return counts.select(*cols, ratio(F.col("count"), total).alias("share"))
 
 
@@ -282,7 +282,7 @@ def group_levels(df: DataFrame, group: str, size: int | None = None) -> DataFram
 
 def sum_by_class(df: DataFrame, col: str, label: str = "is_fraud") -> DataFrame:
     if col not in df.columns:
-        raise ValueError(f"{col} does not exist in the DataFrame.")
+        raise ValueError(f"no column {col} among {df.columns}")
     return df.groupBy(label).agg(F.sum(col).alias(f"sum_{col}"))
 
 

@@ -20,7 +20,8 @@ METHODS = ("random_undersampling", "enn", "smote", "smoteenn")
 def undersample(df: DataFrame, label: str = "is_fraud", id_col: str = "transaction_id", seed: int = 42) -> DataFrame:
     """Every class at the size of the smallest, drawn without replacement in a repeatable hash order.
 
-    The draw is a filter below the key of the first row left out, so nothing is sorted as a whole.
+    The draw is a filter below the key of the first row left out, so nothing is sorted as a whole. Rows without
+    a label belong to no class and are left out.
     """
     counts = class_counts(df, label)
     least = min(counts.values())
@@ -41,13 +42,17 @@ def minority_of(counts: dict[int, int]) -> int:
 
 
 def edit_neighbours(df: DataFrame, coords: Sequence[str], k: int = 3, label: str = "is_fraud", id_col: str = "transaction_id") -> DataFrame:
-    """Drop rows outside the minority class unless all k nearest rows share their class."""
+    """Drop rows outside the minority class unless all k nearest rows share their class.
+
+    A row that lacks a coordinate has no neighbours to speak against it and stays; one without a label goes.
+    """
     minority = minority_of(class_counts(df, label))
     near = nearest(df, coords, k, id_col, label)
     agree = near.select(id_col, F.transform("neighbours", lambda x: x["label"]).alias("__classes"))
     rows = attach(df, agree, [id_col], [id_col])
-    same = F.forall("__classes", lambda c: c == F.col(label))
-    return rows.where((F.col(label) == minority) | same).select(*df.columns)
+    same = F.forall("__classes", lambda c: c.eqNullSafe(F.col(label)))
+    alone = F.col("__classes").isNull() & F.col(label).isNotNull()
+    return rows.where((F.col(label) == minority) | same | alone).select(*df.columns)
 
 
 def smote(
@@ -81,7 +86,7 @@ def smote(
     pick = F.floor(hash_uniform(seed, "__r") * F.size("__near")).cast("int")
     rows = rows.withColumn("__to", F.get("__near", pick)).withColumn("__gap", hash_uniform(seed + 1, "__r"))
     ends = own.select(F.col("__id").alias("__to"), *[F.col(c).alias(f"__to_{c}") for c in coords])
-    rows = attach(rows.drop("__near"), ends, ["__to"], ["__r"])
+    rows = attach(settle(rows.drop("__near")), ends, ["__to"], ["__r"])  # counted, sampled and joined there
     made = rows.select(
         F.concat(F.lit("synthetic-"), F.col("__r").cast("string")).alias(id_col),
         *[(F.col(c) + F.col("__gap") * (F.col(f"__to_{c}") - F.col(c))).alias(c) for c in coords],

@@ -15,6 +15,9 @@ GROUP_ROWS_DEFAULT = 2_000_000
 BROADCAST_ROWS = "spark.tallyward.broadcastRows"
 BROADCAST_ROWS_DEFAULT = 500_000
 
+# Keeps the state of a stream on disk instead of in the executors' memory.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def get_session(app: str = "tallyward", master: str | None = None, partitions: int | None = None) -> SparkSession:
     builder = (
@@ -25,6 +28,7 @@ def get_session(app: str = "tallyward", master: str | None = None, partitions: i
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     if master:
         builder = (

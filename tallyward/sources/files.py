@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from tallyward.sources.schema import IP_RANGE, PURCHASE_FILE, Columns
 
-NOTEBOOK_NAMES = Columns(transaction_id=None, is_fraud="class")
-
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").csv(path)

@@ -48,7 +48,7 @@ IP_RANGE = T.StructType(
     ]
 )
 
-# The eight features in the order the models take them.
+# The eight features in the order the models take them.
 FEATURES = [
     "txn_count",
     "device_ip_consistency",

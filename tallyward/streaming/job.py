@@ -29,7 +29,8 @@ from tallyward.sources.schema import FEATURES
 from tallyward.streaming.sources import LABELLED, SEED, TXN, tagged_events
 
 BUCKETS = 64
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# How long the id of an event is kept to know a repeat by.
+REPEATS_WITHIN = "1 day"
 
 STATE = (
     "txn_count bigint, purchase_sum double, last_us bigint, first_us bigint, ip double, ip_mixed boolean, "
@@ -121,17 +122,16 @@ def stream_features(
     txns: DataFrame,
     labels: DataFrame | None = None,
     seeds: DataFrame | None = None,
-    delay: str = "10 minutes",
+    delay: str = REPEATS_WITHIN,
 ) -> DataFrame:
     """Feature rows (kind 0) and label rows (kind 1, features blank) as the stream delivers them.
 
-    An event whose (id, kind) came within ``delay`` before is dropped; one older than the watermark
-    is dropped with it.
+    An event is folded when it arrives, however late or out of order. One whose (id, kind) has arrived before
+    is dropped if that was within ``delay`` by the clock of the trigger. The watermark is on that clock, the
+    same for every input and never behind, so no event is too late for it; ids older than it are forgotten.
     """
-    if not txns.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
-        txns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    events = tagged_events(txns, labels, seeds).withWatermark("event_time", delay)
-    events = events.dropDuplicatesWithinWatermark(["transaction_id", "kind"])
+    events = tagged_events(txns, labels, seeds).withColumn("arrived", F.current_timestamp()).withWatermark("arrived", delay)
+    events = events.dropDuplicatesWithinWatermark(["transaction_id", "kind"]).drop("arrived")
     return events.groupBy("device_id").applyInPandasWithState(fold_device, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -159,7 +159,17 @@ def _bucket(c: str = "transaction_id"):
     return F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(BUCKETS)).cast("int")
 
 
+def _run_of(batch: DataFrame) -> str:
+    """The id kept in the stream's checkpoint: the same after a restart, another one for a new checkpoint."""
+    run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not run:
+        raise ValueError("a micro-batch is written by the stream that brought it")
+    return run
+
+
 def write_batch(batch: DataFrame, batch_id: int, path: str, scorer: Scorer) -> None:
+    """Write a micro-batch under its checkpoint's id and its own: only its own repeat replaces it."""
+    run = _run_of(batch)
     scored = scorer(batch)
     on_txn = F.col("kind") == TXN
     out = scored.withColumns(
@@ -172,7 +182,7 @@ def write_batch(batch: DataFrame, batch_id: int, path: str, scorer: Scorer) -> N
         }
     )
     # Rows of one bucket meet in one writer: a bounded number of files per micro-batch.
-    out.repartition("kind", "bucket").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{path}/log/batch={batch_id}")
+    out.repartition("kind", "bucket").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{path}/log/run={run}/batch={batch_id}")
 
 
 def run_stream(
@@ -182,12 +192,13 @@ def run_stream(
     path: str,
     checkpoint: str,
     seeds: DataFrame | None = None,
-    delay: str = "10 minutes",
+    delay: str = REPEATS_WITHIN,
     every: str | None = None,
 ) -> StreamingQuery:
     """Start the scorer; with ``every`` None it takes what is there and stops.
 
-    A restart continues from ``checkpoint``: neither events nor state are applied twice.
+    A restart continues from ``checkpoint``: neither events nor state are applied twice. A new checkpoint
+    adds to the log of ``path`` and leaves what older ones wrote.
     """
     feats = stream_features(txns, labels, seeds, delay)
     writer = feats.writeStream.foreachBatch(lambda b, i: write_batch(b, i, path, scorer)).option("checkpointLocation", checkpoint)
@@ -197,9 +208,9 @@ def run_stream(
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     extra = [T.StructField("predicted_class", T.IntegerType()), T.StructField("fraud_probability", T.DoubleType())]
-    parts = [T.StructField(c, T.IntegerType()) for c in ("kind", "bucket")] + [T.StructField("batch", T.LongType())]
+    parts = [T.StructField(c, T.IntegerType()) for c in ("kind", "bucket")] + [T.StructField("batch", T.LongType()), T.StructField("run", T.StringType())]
     body = [f for f in T.StructType.fromDDL(OUTPUT).fields if f.name != "kind"]
-    return spark.read.schema(T.StructType(body + extra + parts)).parquet(f"{path}/log")
+    return spark.read.schema(T.StructType(body + extra + parts)).parquet(f"{path}/log").drop("run")
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:

@@ -66,11 +66,11 @@ def test_year_sheet(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "p.csv").write_text(
         "user_id,signup_time,purchase_time,purchase_value,device_id,source,browser,sex,age,ip_address,class\n"
-        "22058,2015-02-24 22:55:49,2015-04-18 02:47:11,34,QVPSPJUOCKZAR,SEO,Chrome,M,39,732758368.79972,1\n"
+        "7,2021-01-02 03:04:05,2021-03-04 05:06:07,12,device-a,web,Browser,F,50,1234.5,1\n"
     )
     row = read_purchases(spark, str(tmp_path / "p.csv"), "class").first()
-    assert (row["purchase_value"], row["age"], row["is_fraud"], row["ip_address"]) == (34.0, 39, 1, 732758368.79972)
-    assert row["purchase_time"].year == 2015 and len(row["transaction_id"]) == 32
+    assert (row["purchase_value"], row["age"], row["is_fraud"], row["ip_address"]) == (12.0, 50, 1, 1234.5)
+    assert row["purchase_time"].year == 2021 and len(row["transaction_id"]) == 32
     (tmp_path / "r.csv").write_text("lower_bound_ip_address,upper_bound_ip_address,country\n1,2,X\n")
     assert tuple(read_ip_ranges(spark, str(tmp_path / "r.csv")).first()) == (1.0, 2.0, "X")
     built = []
