@@ -49,7 +49,7 @@ def same(got, want):
 
 
 def test_one_transaction_then_its_label(make, spark, tmp_path):
-    txn = make([("t1", "DEV123", 86400, 100.0, "web", 732758368.79972, 1)])
+    txn = make([("t1", "device-a", 86400, 80.0, "web", 41.5, 1)])
     write(txn, TRANSACTION, f"{tmp_path}/txns")
     write(label_events(txn).limit(0), LABEL, f"{tmp_path}/labels")
     run(spark, tmp_path)
@@ -58,7 +58,7 @@ def test_one_transaction_then_its_label(make, spark, tmp_path):
     rec = job.record(spark, f"{tmp_path}/out", "t1").first()
     assert rec["true_label"] is None and rec["predicted_class"] in (0, 1) and 0 < rec["fraud_probability"] < 1
     write(label_events(txn), LABEL, f"{tmp_path}/labels")
-    second = make([("t2", "DEV123", 86500, 50.0, "web", 732758368.79972, 0)])
+    second = make([("t2", "device-a", 86500, 30.0, "web", 41.5, 0)])
     run(spark, tmp_path)
     assert job.record(spark, f"{tmp_path}/out", "t1").first()["true_label"] == 1
     write(second, TRANSACTION, f"{tmp_path}/txns")
@@ -85,6 +85,34 @@ def test_stream_equals_windows_over_restarts(make, spark, tmp_path):
     assert rows_by(job.records(spark, f"{tmp_path}/out"), "transaction_id", "true_label") == want
 
 
+def run_by_default(spark, tmp, check="check", per_trigger=1):
+    txns, labels = transaction_files(spark, f"{tmp}/txns", per_trigger), label_files(spark, f"{tmp}/labels", per_trigger)
+    job.run_stream(txns, labels, SCORER, f"{tmp}/out", f"{tmp}/{check}").awaitTermination()
+
+
+@pytest.mark.parametrize("days, order", [(1, (0, 1, 2)), (0, (2, 0, 1))])
+def test_nothing_is_too_late(make, spark, tmp_path, days, order):
+    """Labels a day behind, and files out of order, over several triggers at the default delay."""
+    txns = make([(f"t{i:03d}", f"d{i % 3}", 3600 * i, 5.0, "web", 1, i % 2) for i in range(60)])
+    labels = label_events(txns).withColumn("arrival_time", F.timestamp_add("DAY", F.lit(days), "arrival_time"))
+    for i in order:
+        mine = F.floor(F.substring("transaction_id", 2, 3).cast("int") / 20) == i
+        write(txns.where(mine), TRANSACTION, f"{tmp_path}/txns")
+        write(labels.where(mine), LABEL, f"{tmp_path}/labels")
+    run_by_default(spark, tmp_path)
+    got = job.records(spark, f"{tmp_path}/out").select("transaction_id", "true_label").collect()
+    assert len(got) == 60 and dict(map(tuple, got)) == rows_by(txns, "transaction_id", "is_fraud")
+
+
+def test_a_new_checkpoint_keeps_older_results(make, spark, tmp_path):
+    txns = make([(f"t{i}", "d", i, 5.0, "web", 1, 0) for i in range(8)])
+    write(txns.limit(6), TRANSACTION, f"{tmp_path}/txns")
+    write(label_events(txns).limit(0), LABEL, f"{tmp_path}/labels")
+    run_by_default(spark, tmp_path, "one")
+    run_by_default(spark, tmp_path, "two")
+    assert job.results(spark, f"{tmp_path}/out").count() == 12
+
+
 def test_seeded_stream_continues_the_batch(make, spark, tmp_path):
     txns = random_txns(make, 50, 3)
     cut = T0 + dt.timedelta(seconds=1500)
