@@ -140,17 +140,21 @@ ALIASES = {"NATION_5": "NATION_6", "NATION_10": "NATION_999"}
 ALIAS_SQL = "aliases(country, target) AS (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in ALIASES.items()) + ")"
 
 
-def points(spark: SparkSession, sf: str, dims: int = 4) -> DataFrame:
-    """The first dimensions of the embeddings; label 0 is the minority class."""
+DIMS = 64
+COORDS = [f"x{i}" for i in range(DIMS)]
+# Density clusters are compared on four dimensions only: their grid of cells is meant for few.
+PLANE = COORDS[:4]
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings, a column for each dimension; label 0 is the minority class."""
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"),
-        *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(dims)],
+        *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(DIMS)],
         (F.col("label") == 0).cast("int").alias("is_fraud"),
     )
 
 
-DIMS = 4
-COORDS = [f"x{i}" for i in range(DIMS)]
 POINTS = (
     "p AS (SELECT vec_id AS id, "
     + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(DIMS))

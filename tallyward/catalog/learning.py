@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.catalog.bindings import COORDS, POINTS, events, gdp_sheet, orders, points, query, r6, rounded, size_of
-from tallyward.catalog.modelling import _KTH
+from tallyward.catalog.bindings import COORDS, PLANE, POINTS, events, gdp_sheet, orders, points, query, r6, rounded, size_of
+from tallyward.catalog.modelling import kth_sql
 from tallyward.operators import cluster, enrich, learn, neighbours
 from tallyward.operators.features import device_features
 from tallyward.operators.prep import Preprocessor
@@ -17,21 +17,24 @@ from tallyward.sources.schema import FEATURES
 INPUTS = [f for f in FEATURES if f != "device_source_consistency"]
 
 
-@query(
-    "knee_eps",
-    f"""WITH {POINTS}, {_KTH}, r AS (SELECT dist, row_number() OVER (ORDER BY dist, id) AS rank FROM kd),
-b AS (SELECT *, (rank - 1) / ((SELECT count(*) FROM r) - 1) - (dist - (SELECT min(dist) FROM r)) / ((SELECT max(dist) - min(dist) FROM r)) AS bend FROM r)
-SELECT rank, {r6('eps=dist')} FROM b ORDER BY round(bend, 12) DESC, rank LIMIT 1""",
-)
+def _knee_sql(coords) -> str:
+    return f"""{kth_sql(coords)}, r AS (SELECT dist, row_number() OVER (ORDER BY dist, id) AS rank FROM kd),
+b AS (SELECT *, (rank - 1) / ((SELECT count(*) FROM r) - 1) - (dist - (SELECT min(dist) FROM r)) / ((SELECT max(dist) - min(dist) FROM r)) AS bend FROM r)"""
+
+
+_AT_KNEE = "FROM b ORDER BY round(bend, 12) DESC, rank LIMIT 1"
+
+
+@query("knee_eps", f"WITH {POINTS}, {_knee_sql(COORDS)} SELECT rank, {r6('eps=dist')} {_AT_KNEE}")
 def knee_eps(spark, sf):
     return rounded(cluster.knee(neighbours.neighbour_distance(points(spark, sf), COORDS, 5)), "eps")
 
 
-_NEAR = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in COORDS)
+_NEAR = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in PLANE)
 
 
-def _dbscan_sql(eps: float) -> str:
-    return f"""WITH RECURSIVE {POINTS},
+def _dbscan_sql(eps: float | str, before: str = "") -> str:
+    return f"""WITH RECURSIVE {POINTS},{before}
 pr AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt({_NEAR}) <= {eps}),
 core AS (SELECT a AS id FROM pr GROUP BY a HAVING count(*) >= 8),
 link AS (SELECT a, b FROM pr WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
@@ -47,7 +50,7 @@ def _register_dbscan():
     for name, eps in (("dbscan", 0.12), ("dbscan_narrow", 0.08)):
 
         def run(spark, sf, eps=eps):
-            return cluster.dbscan(points(spark, sf), COORDS, eps).select("id", "cluster")
+            return cluster.dbscan(points(spark, sf), PLANE, eps).select("id", "cluster")
 
         query(name, _dbscan_sql(eps))(run)
 
@@ -55,12 +58,15 @@ def _register_dbscan():
 _register_dbscan()
 
 
-@query("dbscan_at_knee")
+@query(
+    "dbscan_at_knee",
+    f"""SELECT cluster, count(*) AS rows FROM ({_dbscan_sql("(SELECT eps FROM knee)", f" {_knee_sql(PLANE)}, knee AS (SELECT dist AS eps {_AT_KNEE}),")}) GROUP BY cluster""",
+)
 def dbscan_at_knee(spark, sf):
     """Sizes of the clusters at the distance the knee gives."""
     rows = points(spark, sf)
-    eps = cluster.dbscan_eps(rows, COORDS)
-    return cluster.dbscan(rows, COORDS, eps).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+    eps = cluster.dbscan_eps(rows, PLANE)
+    return cluster.dbscan(rows, PLANE, eps).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _customers(spark, sf):

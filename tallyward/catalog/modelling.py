@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tallyward.catalog.bindings import COORDS, DIMS, E, O, POINTS, events, orders, points, query, r6, rounded, size_of
+from tallyward.catalog.bindings import COORDS, E, O, POINTS, events, orders, points, query, r6, rounded, size_of
 from tallyward.catalog.history import DOUBLES, INTERCEPT, WEIGHTS, _SCORED, scored_events
 from tallyward.functions.columns import seconds_between
 from tallyward.operators import metrics, neighbours, prep, resample, stats
@@ -71,8 +71,8 @@ def undersample(spark, sf):
     return resample.undersample(events(spark, sf)).select("transaction_id", "is_fraud")
 
 
-def _dist(a: str, b: str) -> str:
-    return "sqrt(" + " + ".join(f"power({a}.{c} - {b}.{c}, 2)" for c in COORDS) + ")"
+def _dist(a: str, b: str, coords=COORDS) -> str:
+    return "sqrt(" + " + ".join(f"power({a}.{c} - {b}.{c}, 2)" for c in coords) + ")"
 
 
 def _enn_sql(src: str, k: int, minority: str) -> str:
@@ -126,11 +126,14 @@ def smote_enn_k4(spark, sf):
     return resample.smote_enn(points(spark, sf), COORDS, 4, 3, id_col="id").select("id")
 
 
-_KTH = f"""d AS (SELECT a.id, {_dist('a', 'b')} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round({_dist('a', 'b')}, 9), b.id) AS n
+def kth_sql(coords=COORDS) -> str:
+    """The distance to the fifth nearest row, the row itself being the first."""
+    dist = _dist("a", "b", coords)
+    return f"""d AS (SELECT a.id, {dist} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round({dist}, 9), b.id) AS n
   FROM p a, p b), kd AS (SELECT id, dist FROM d WHERE n = 5)"""
 
 
-@query("knn_distance", f"WITH {POINTS}, {_KTH} SELECT id, {r6('distance=dist')}, row_number() OVER (ORDER BY dist, id) AS rank FROM kd")
+@query("knn_distance", f"WITH {POINTS}, {kth_sql()} SELECT id, {r6('distance=dist')}, row_number() OVER (ORDER BY dist, id) AS rank FROM kd")
 def knn_distance(spark, sf):
     out = neighbours.neighbour_distance(points(spark, sf), COORDS, 5)
     return rounded(global_rank(out, ["distance", "id"], derived=True), "distance")
