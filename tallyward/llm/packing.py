@@ -15,8 +15,10 @@ long texts are tokenised whole. An empty table gives an empty result. Only the t
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,14 @@ from tallyward.llm.segments import distinct_words, slices
 from tallyward.session import settle
 
 CHUNK_ROWS = 200_000
-MOST_WORDS = 300_000
+# Words that a worker keeps, words encoded at a time, and bytes of text worked on at a time: they bound its memory.
+MOST_WORDS = 150_000
+BLOCK_WORDS = 8192
+SLICE_BYTES = 4 << 20
 # White space around a space: there a word's ids can depend on its neighbours.
-BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANKS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = f"[{BLANKS}]"
+SAFE = re.compile(f"(?<=[^{BLANKS}])(?= [^{BLANKS}])")
 
 
 class WordIds:
@@ -44,19 +51,24 @@ class WordIds:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out = []
+        for a in range(0, len(texts), BLOCK_WORDS):
+            block = self.tokenizer.encode_batch_fast(texts[a : a + BLOCK_WORDS], add_special_tokens=False)
+            out += [np.array(e.ids, dtype=np.uint32) for e in block]
+        return out
 
     def of_words(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
         missing = [w for w in dict.fromkeys(words) if w not in self.known]
         fresh = dict(zip(missing, self.encode(missing)))
-        self.known.update((w, i) for w, i in fresh.items() if len(w) < 64)
-        return [fresh[w] if w in fresh else self.known[w] for w in words]
+        out = [fresh[w] if w in fresh else self.known[w] for w in words]
+        if len(self.known) + len(fresh) > MOST_WORDS:
+            self.known.clear()
+        self.known.update((w, i) for w, i in islice(fresh.items(), MOST_WORDS) if len(w) < 64)
+        return out
 
     def batch(self, texts: pa.Array):
         """The ids of each text, in order. Words are cut before single spaces, where tokens never cross."""
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE_BYTES):
             part = texts.slice(a, b - a)
             offsets, codes, words = distinct_words(part)
             starts = offsets[:-1]
@@ -69,7 +81,7 @@ class WordIds:
             odd = pc.match_substring_regex(part, f"{BLANK} | {BLANK}").to_numpy(zero_copy_only=False)
             for i in range(len(part)):
                 if odd[i]:
-                    yield self.encode([part[i].as_py()])[0]
+                    yield np.concatenate(self.of_words(SAFE.split(part[i].as_py())))
                     continue
                 own = codes[offsets[i] : offsets[i + 1]]
                 n = sizes[own]
