@@ -1,13 +1,17 @@
-"""Repeated passages found by content-defined chunks.
+"""Repeated passages found by runs of words.
 
-A gear hash rolls over the last 16 bytes of the text; a chunk ends after a space at which its value is below a threshold,
-one in ``words_per_chunk`` spaces. Where a chunk ends depends on the bytes just before alone, so the same passage gives
-the same chunks in any surroundings, and an insertion moves no cuts but those next to it. Chunks are compared by digest:
-the document with the smallest id keeps a chunk, it is a duplicate in all others. A run of duplicate chunks with at least
-``min_words`` words is taken out of the text; shorter runs, such as a shared line, stay. Repeats inside one document stay.
+Every run of ``min_words`` consecutive words (a gram) is compared by a digest of its bytes, blanks between the words included
+and those behind the last left out. The document with the smallest id keeps a gram; in all others each word of it is taken
+out with the blanks that follow. So a word goes only as part of ``min_words`` or more in a row that one earlier document has
+in the same order, and every passage of that length goes whole, wherever it stands. Shorter repeats, such as a shared line,
+stay, and so do repeats inside one document.
 
-Null texts are left as they are; empty ones have no chunks. Rows of the same id count as one document. Rows without an id
-lose to any other. A text without spaces is one chunk. All rows and columns are returned, with the text shortened; a
+Grams are many, one a word, so they are looked for in two steps. The anchor of a gram is the least hash of the shorter runs
+in it, and neighbouring grams mostly share theirs. Anchors found in one document alone rule out their grams; only the others
+are made into rows.
+
+Null texts are left as they are; empty ones have no grams. Rows of the same id count as one document. Rows without an id
+lose to any other. A text without spaces is one word. All rows and columns are returned, with the text shortened; a
 document that is repeated altogether keeps an empty text.
 """
 
@@ -16,7 +20,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,81 +27,146 @@ from pyspark.sql.types import StructType
 from tallyward.llm.common import spare
 from tallyward.llm.segments import slices
 
-SPAN = 16
-# One random 16-bit number for each byte value.
-GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
+SLICE_BYTES = 1 << 20
+BLOCK = 1 << 16
 SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\v\f", dtype=np.uint8))
+# One random number for each byte value, and the odd multipliers of the positions of bytes and of words.
+BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+STEP, UNSTEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LEAP, ANCHOR_LEAP = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+UP, DOWN = powers(STEP, BLOCK), powers(UNSTEP, BLOCK)
+
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The values spread over all 64 bits (the finisher of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the bytes from each start up to its end, for each array of ends; the last array reaches furthest."""
+    out, i = [np.zeros(len(starts), dtype=np.uint64) for _ in ends], 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends[-1], base + BLOCK, side="right")))
+        n = int(ends[-1][j - 1]) - base
+        up, down = (UP, DOWN) if n <= BLOCK else (powers(STEP, n), powers(UNSTEP, n))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[data[base : base + n]] * up[:n], dtype=np.uint64)))
+        at = starts[i:j] - base
+        for hashes, to in zip(out, ends):
+            hashes[i:j] = mixed((total[to[i:j] - base] - total[at]) * down[at] + (to[i:j] - starts[i:j]).astype(np.uint64))
+        i = j
+    return out
+
+
+def runs(units: np.ndarray, words: np.ndarray, k: int, leap: np.uint64) -> np.ndarray:
+    """Hashes of k consecutive words: all but the last with the blanks behind them."""
+    n = len(words) - k + 1
+    total = words[k - 1 :].copy()
+    for j in range(k - 2, -1, -1):
+        total = total * leap + units[j : j + n]
+    return mixed(total)
+
+
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values."""
+    span = 1
+    while 2 * span <= width:
+        values, span = np.minimum(values[:-span], values[span:]), 2 * span
+    return np.minimum(values[: len(values) - (width - span)], values[width - span :])
+
+
+def grams(texts: pa.Array, k: int):
+    """Of some texts at a time: (place of the first, bytes, ends of texts, starts of words, first word of each gram, its text, anchor, digest)."""
+    texts = pc.fill_null(texts, "")
+    short = max(1, 2 * k // 5)
+    for a, b in slices(texts, SLICE_BYTES):
+        raw = "".join(texts.slice(a, b - a).to_pylist()).encode()
+        data = np.frombuffer(raw, dtype=np.uint8)
+        edges = np.concatenate(([0], np.cumsum(pc.binary_length(texts.slice(a, b - a)).to_numpy(zero_copy_only=False).astype(np.int64))))
+        blank = SPACES[data]
+        opens, closes = np.ones(len(data) + 1, dtype=bool), np.ones(len(data) + 1, dtype=bool)
+        opens[1:-1] = closes[1:-1] = blank[1:] != blank[:-1]
+        opens[edges] = closes[edges] = True
+        starts = np.flatnonzero(opens[:-1] & ~blank)
+        ends = np.flatnonzero(closes[1:] & ~blank) + 1
+        nexts = np.append(starts[1:], len(data))[: len(starts)]
+        owner = np.searchsorted(edges, starts, side="right") - 1
+        if len(starts) < k:
+            none = np.zeros(0, dtype=np.int64)
+            yield a, raw, edges, starts, none, none, none, none
+            continue
+        words, units = range_hashes(data, starts, ends, nexts)
+        first = np.flatnonzero(owner[: len(owner) - k + 1] == owner[k - 1 :])
+        anchors = least(runs(units, words, short, ANCHOR_LEAP), k - short + 1)
+        yield a, raw, edges, starts, first, owner[first], anchors[first].view(np.int64), runs(units, words, k, LEAP)[first].view(np.int64)
+
+
+def _in_several(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys several documents have, and the smallest id that has them (``first``); rows are moved once."""
+    rows = rows.where(F.col(keys[0]).isNotNull()).repartition(*keys)
+    found = rows.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count_if(F.col("id").isNull()).alias("nameless"))
+    found = found.where((F.col("first") != F.col("last")) | ((F.col("nameless") > 0) & F.col("first").isNotNull()))
+    return rows.join(found.select(*keys, "first"), list(keys))
+
+
+def duplicates(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
+    """(id, marks): the digests of a document's grams that an earlier document has."""
+    kind, of, wanted = dict(docs.dtypes)[doc_id], docs.columns.index(doc_id), docs.columns.index(text)
+    key, shared = spare(docs, "id", "anchors")
+
+    def anchored(batches):
+        for batch in batches:
+            for a, _, _, _, _, owner, anchors, _ in grams(batch.column("text"), min_words):
+                fresh = np.ones(len(anchors), dtype=bool)
+                fresh[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(a + owner[fresh])), pa.array(anchors[fresh])], ["id", "anchor"])
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling hash at every byte: sum of GEAR[byte j back] << j in 16 bits, by doubling the span."""
-    h, span = GEAR[data], 1
-    while span < SPAN:
-        more = h.copy()
-        more[span:] += h[:-span] << np.uint16(span)
-        h, span = more, 2 * span
-    return h
-
-
-def chunk_ends(data: np.ndarray, words_per_chunk: int) -> np.ndarray:
-    """Ends of the chunks of one text, or of several that lie one behind another (their own ends are to be added)."""
-    if not len(data):
-        return np.zeros(0, dtype=np.int64)
-    return np.flatnonzero(SPACES[data] & (gear(data) < (1 << 16) // words_per_chunk)) + 1
-
-
-def chunked(texts: pa.Array, words_per_chunk: int):
-    """(bytes, ends of chunks, digests) of each text."""
-    for a, b in slices(texts):
-        for value in texts.slice(a, b - a):
-            raw = value.as_py().encode() if value.is_valid else b""
-            data = np.frombuffer(raw, dtype=np.uint8)
-            ends = chunk_ends(data, words_per_chunk)
-            ends = ends[ends >= SPAN]  # before, the hash has not seen a whole span
-            if len(data) and (not len(ends) or ends[-1] < len(data)):
-                ends = np.append(ends, len(data))
-            at, digests = 0, []
-            for end in ends.tolist():
-                digests.append(xxhash.xxh64_intdigest(raw[at:end]))
-                at = end
-            yield raw, data, ends, np.array(digests, dtype=np.uint64).view(np.int64)
-
-
-def duplicates(docs: DataFrame, words_per_chunk: int, doc_id: str, text: str) -> DataFrame:
-    """(id, marks): the digests of a document's chunks that an earlier document has."""
-    kind = dict(docs.dtypes)[doc_id]
-
-    def cut(batches):
+    def listed(batches):
         for batch in batches:
-            ids, found = batch.column("id"), list(chunked(batch.column("text"), words_per_chunk))
-            lists = [np.unique(x[3]) for x in found]
-            rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]))], ["id", "digest"])
-
-    chunks = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(cut, f"id {kind}, digest long")
-    first = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
-    later = chunks.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first")))
+            marks = batch.column(batch.num_columns - 1)
+            for a, _, edges, _, _, owner, anchors, digests in grams(batch.column(wanted), min_words):
+                cuts, hit = np.searchsorted(owner, np.arange(len(edges))), np.zeros(len(owner), dtype=bool)
+                for i in range(len(edges) - 1):
+                    own = slice(cuts[i], cuts[i + 1])
+                    hit[own] = np.isin(anchors[own], marks[a + i].values.to_numpy(zero_copy_only=False))
+                ids = batch.column(of).take(pa.array(a + owner[hit]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(digests[hit]), pa.array(anchors[hit].astype(np.int32))], ["id", "digest", "more"])
+
+    anchors = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(anchored, f"id {kind}, anchor long")
+    hits = _in_several(anchors, "anchor").groupBy("id").agg(F.collect_set("anchor").alias(shared)).withColumnRenamed("id", key)
+    # all columns go along, so that the texts moved for this join serve for the last one too
+    found = docs.join(hits, docs[doc_id].eqNullSafe(hits[key])).drop(key)
+    # half of the anchor goes with the digest, 96 bits that tell two grams apart
+    rows = found.mapInArrow(listed, f"id {kind}, digest long, more int")
+    later = _in_several(rows, "digest", "more").where(~F.col("id").eqNullSafe(F.col("first")))
     return later.groupBy("id").agg(F.collect_set("digest").alias("marks"))
 
 
-def spans(data: np.ndarray, ends: np.ndarray, marked: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Byte ranges of the runs of marked chunks that have enough words."""
-    starts = np.concatenate(([0], ends[:-1]))
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], marked, [False])).astype(np.int8)))
+def spans(first: np.ndarray, k: int, starts: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Byte ranges, in the text from lo to hi, of the words in the grams that start at the words ``first``, in their order."""
+    breaks = np.flatnonzero(np.diff(first) > k) + 1
     out = []
-    for a, b in zip(edges[::2], edges[1::2]):
-        lo, hi = int(starts[a]), int(ends[b - 1])
-        blank = SPACES[data[lo:hi]]
-        words = int((~blank & np.concatenate(([True], blank[:-1]))).sum())
-        if words >= min_words:
-            out.append((lo, hi))
+    for group in np.split(first, breaks):
+        a, after = int(group[0]), int(group[-1]) + k
+        begin = int(starts[a]) if a and starts[a - 1] >= lo else lo
+        out.append((begin, min(hi, int(starts[after])) if after < len(starts) else hi))
     return out
 
 
-def remove_repeats(docs: DataFrame, words_per_chunk: int = 6, min_words: int = 20, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 20, doc_id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` without their repeated passages; ``count`` names a column for the number of passages taken out."""
     key, marks = spare(docs, "id", "marks")
-    found = duplicates(docs, words_per_chunk, doc_id, text).select(F.col("id").alias(key), F.col("marks").alias(marks))
+    found = duplicates(docs, min_words, doc_id, text).select(F.col("id").alias(key), F.col("marks").alias(marks))
     joined = docs.join(found, docs[doc_id].eqNullSafe(found[key]), "left").drop(key)
     schema = StructType(list(docs.schema.fields))
     if count:
@@ -110,13 +178,18 @@ def remove_repeats(docs: DataFrame, words_per_chunk: int = 6, min_words: int = 2
             texts, wanted = batch.column(place), batch.column(batch.num_columns - 1)
             hit = np.flatnonzero(wanted.is_valid().to_numpy(zero_copy_only=False))
             new, counts = {}, np.zeros(len(batch), dtype=np.int64)
-            for i, (raw, data, ends, digests) in zip(hit.tolist(), chunked(texts.take(pa.array(hit)), words_per_chunk)):
-                at, kept = 0, []
-                for lo, hi in spans(data, ends, np.isin(digests, wanted[i].values.to_numpy(zero_copy_only=False)), min_words):
-                    kept.append(raw[at:lo])
-                    at, counts[i] = hi, counts[i] + 1
-                if counts[i]:
-                    new[i] = (b"".join(kept) + raw[at:]).decode("utf-8", "replace")
+            for a, raw, edges, starts, first, owner, _, digests in grams(texts.take(pa.array(hit)), min_words):
+                cuts = np.searchsorted(owner, np.arange(len(edges)))
+                for j in range(len(edges) - 1):
+                    i, own = int(hit[a + j]), slice(cuts[j], cuts[j + 1])
+                    marked = first[own][np.isin(digests[own], wanted[i].values.to_numpy(zero_copy_only=False))]
+                    if not len(marked):
+                        continue
+                    at, kept = int(edges[j]), []
+                    for lo, hi in spans(marked, min_words, starts, int(edges[j]), int(edges[j + 1])):
+                        kept.append(raw[at:lo])
+                        at, counts[i] = hi, counts[i] + 1
+                    new[i] = (b"".join(kept) + raw[at : edges[j + 1]]).decode()
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             if new:
                 values = texts.to_pylist()

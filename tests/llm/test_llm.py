@@ -195,6 +195,43 @@ def test_substring_dedup(spark, corners, nothing):
     assert substring_dedup.remove_repeats(corners).count() == len(CORNERS) and substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def plain_repeats(texts, k):
+    """(id, text) rows without the words that are in k words in a row of a text with a smaller id."""
+    def cut(text):
+        return [m.span() for m in re.finditer(r"[^ \t\n\r\v\f]+", text or "")]
+
+    first = {}
+    for i, text in texts:
+        at = cut(text)
+        for j in range(len(at) - k + 1):
+            gram = text[at[j][0] : at[j + k - 1][1]]
+            first[gram] = min(first.get(gram, (i is None, i)), (i is None, i), key=lambda x: (x[0], x[1] or 0))
+    out = []
+    for i, text in texts:
+        at, gone = cut(text), set()
+        for j in range(len(at) - k + 1):
+            if first[text[at[j][0] : at[j + k - 1][1]]] != (i is None, i):
+                gone |= set(range(j, j + k))
+        if gone:
+            opens = [0 if j == 0 and 0 in gone else a for j, (a, _) in enumerate(at)] + [len(text)]
+            text = text[: opens[0]] + "".join(text[opens[j] : opens[j + 1]] for j in range(len(at)) if j not in gone)
+        out.append((i, text))
+    return out
+
+
+def test_substring_dedup_keeps_what_no_one_document_has_in_a_row(spark):
+    # every small piece of 50 to 52 stands in some earlier document, never 20 words of them in one
+    long = prose(7, 300).split()
+    texts = [(i, " ".join(prose(2000 + 100 * i + j, 15) + " " + " ".join(long[s : s + 12]) for j, s in enumerate(range(6 * i, 288, 30)))) for i in range(5)]
+    texts += [(50, " ".join(long)), (8, "go " * 19), (51, "go " * 300), (9, "\n\t" + "lä  la\n" * 400), (52, "x " + "lä  la\n" * 390 + "y")]
+    texts += [(60, prose(60, 80)), (61, prose(61, 20) + " " + " ".join(prose(60, 80).split()[:19]) + " " + prose(62, 9)), (62, prose(60, 80).replace(" ", "  "))]
+    texts += [(7, None), (None, prose(60, 30)), (None, prose(63, 40)), (5, " " + prose(63, 40) + " "), (5, prose(63, 40) + " z")]
+    out = [(r["doc_id"], r["text"]) for r in rows(substring_dedup.remove_repeats(spark.createDataFrame(texts, DOCS)))]
+    by = dict(out)
+    assert by[50] == " ".join(long) and by[51] == "go " * 300 and by[62] == dict(texts)[62]
+    assert sorted(out, key=str) == sorted(plain_repeats(texts, 20), key=str)
+
+
 def test_decontamination(spark, corners, nothing):
     item = prose(5, 25).split()
     docs = spark.createDataFrame([(1, prose(1, 50) + " " + " ".join(item[3:14]).upper() + " " + prose(2, 9)), (2, prose(3, 60)), (3, "short item here"), (4, " ".join(item))], DOCS)
