@@ -232,6 +232,15 @@ def test_substring_dedup_keeps_what_no_one_document_has_in_a_row(spark):
     assert sorted(out, key=str) == sorted(plain_repeats(texts, 20), key=str)
 
 
+def test_substring_dedup_takes_whole_passages(spark):
+    passages = [prose(5000 + n, 20 + n % 40) for n in range(300)]
+    texts = [(2 * n + side, f"{prose(6000 + 2 * n + side, 15)} open{side} {p} shut{side} {prose(7000 + 2 * n + side, 12)}") for n, p in enumerate(passages) for side in (0, 1)]
+    out = {r["doc_id"]: r for r in rows(substring_dedup.remove_repeats(spark.createDataFrame(texts, DOCS), count="cut"))}
+    for n in range(300):
+        assert (out[2 * n]["text"], out[2 * n]["cut"]) == (texts[2 * n][1], 0)
+        assert out[2 * n + 1]["text"] == f"{prose(6001 + 2 * n, 15)} open1 shut1 {prose(7001 + 2 * n, 12)}" and out[2 * n + 1]["cut"] == 1
+
+
 def test_decontamination(spark, corners, nothing):
     item = prose(5, 25).split()
     docs = spark.createDataFrame([(1, prose(1, 50) + " " + " ".join(item[3:14]).upper() + " " + prose(2, 9)), (2, prose(3, 60)), (3, "short item here"), (4, " ".join(item))], DOCS)
