@@ -85,6 +85,14 @@ def kmeans_profile(spark, sf):
     return rounded(cluster.cluster_profile(shown, ["purchase_value", "age", "gdp", "is_male"]), "purchase_value", "age", "gdp", "is_male")
 
 
+@query("dbscan_customers")
+def dbscan_customers(spark, sf):
+    """Density clusters of all orders on age, value, GDP and sex, at the distance the knee gives."""
+    inputs, names = cluster.cluster_inputs(_customers(spark, sf))
+    inputs = settle(inputs)
+    return cluster.dbscan(inputs, names, cluster.dbscan_eps(inputs, names, id_col="transaction_id"), id_col="transaction_id").select("transaction_id", "cluster")
+
+
 @query("silhouette")
 def silhouette(spark, sf):
     rows = points(spark, sf)

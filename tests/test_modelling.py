@@ -217,3 +217,37 @@ def test_training_run(make, spark, tmp_path):
 def test_drop_duplicates(make):
     df = make([(1, "d", 0, 1.0, "web", 5, 0), (1, "d", 0, 1.0, "web", 5, 0), (2, "d", 0, 1.0, "web", 5, 0)])
     assert drop_duplicates(df).count() == 2
+
+
+def test_dbscan_customers_uses_the_four_inputs_of_all_orders(spark):
+    import numpy as np
+    from tallyward import catalog
+    from tallyward.catalog.learning import _customers
+    from tallyward.operators import cluster
+
+    sf = "/root/testdata/sf0.001"
+    out = {r["transaction_id"]: r["cluster"] for r in catalog.queries()["dbscan_customers"](spark, sf).collect()}
+    data = _customers(spark, sf).select("transaction_id", "age", "purchase_value", "gdp", "sex").orderBy("transaction_id").collect()
+    assert len(out) == len(data) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    x = np.array([[float(r["age"]), float(r["purchase_value"]), float(r["gdp"])] for r in data])
+    x = np.column_stack(((x - x.mean(axis=0)) / x.std(axis=0), [float(r["sex"] == "M") for r in data]))
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    kth = np.sort(np.sort(d, axis=1)[:, 4])
+    bend = np.arange(len(kth)) / (len(kth) - 1) - (kth - kth[0]) / (kth[-1] - kth[0])
+    near = d <= kth[np.argmax(np.round(bend, 12))] * (1 + 1e-9)
+    core, label, number = near.sum(axis=1) >= 8, np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if label[j] < 0:
+                    label[j] = number
+                    todo += np.flatnonzero(near[j] & core & (label < 0)).tolist()
+            number += 1
+    for i in np.flatnonzero(~core):
+        reach = label[near[i] & core]
+        label[i] = reach.min() if len(reach) else -1
+    assert number > 1 and (label >= 0).mean() > 0.2
+    # pairs at just the knee distance may fall on either side of it by rounding
+    assert np.mean([out[r["transaction_id"]] == c for r, c in zip(data, label)]) > 0.99
