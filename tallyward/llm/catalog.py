@@ -1,8 +1,10 @@
-"""The ten operators on their whole tables, and the pipeline, with SQL where SQL can express them."""
+"""The thirteen operators on their whole tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from tallyward.llm import decontaminate, imatch, near_dups, packing, sharding, substring_dedup, token_counts, toxicity, url_filter, warc
+from pyspark.sql import functions as F
+
+from tallyward.llm import conversation_repair, decontaminate, hard_negatives, imatch, near_dups, packing, sharding, substring_dedup, token_counts, topk_join, toxicity, url_filter, warc
 from tallyward.llm.common import LOWER, UPPER, read
 
 # Fixed values of the URL query: action, host, path.
@@ -190,3 +192,132 @@ def op8_substring_dedup(spark, sf_dir):
     """Every document with its shortened text and the number of passages taken out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs, count="n_removed")
+
+
+_CRC = (
+    "xor(list_reduce(list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT), lambda crc, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], "
+    "lambda a, z: xor(a >> 1, (a & 1) * 3988292384), xor(crc, x)), 4294967295), 4294967295)"
+)
+_NEVER = 1_000_000_000
+
+
+def _edit(state: str, letter: str, cost: str, line: str | None) -> str:
+    said = f"list_append(({state}).t, {line})" if line else f"({state}).t"
+    return f"{{'c': ({state}).c + {cost}, 'a': ({state}).a || '{letter}', 't': {said}}}"
+
+
+def _inserted(state: str, role: str) -> str:
+    return _edit(state, "I", "5", f"'{role}:'")
+
+
+_CLOSED = f"""s0 AS e0, s1 AS e1,
+  list_min([s2, {", ".join(_inserted(s, "user") for s in ("s0", "s1", "s3"))}]) AS e2,
+  list_min([s3, {_inserted("s2", "assistant")}, {", ".join(_inserted(_inserted(s, "user"), "assistant") for s in ("s0", "s1"))}]) AS e3"""
+
+
+def _used(state: int) -> str:
+    def keep(e: str, initial: str) -> str:
+        return _edit(e, "K", f"CASE WHEN must OR initial <> '{initial}' THEN {_NEVER} WHEN truncated THEN 5 ELSE 0 END", "role || ':' || text")
+
+    def rerole(e: str, role: str) -> str:
+        return _edit(e, "R", f"CASE WHEN must THEN {_NEVER} WHEN truncated THEN 6 ELSE 1 END", f"'{role}:' || text")
+
+    ways = [_edit(f"e{state}", "D", "2", None)]
+    ways += {1: [keep("e0", "s")], 2: [w for e in ("e0", "e1", "e3") for w in (keep(e, "u"), rerole(e, "user"))], 3: [keep("e2", "a"), rerole("e2", "assistant")]}.get(state, [])
+    return f"list_min([{', '.join(ways)}]) AS s{state}"
+
+
+def _state(cost: int) -> str:
+    return f"{{'c': CAST({cost} AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}}"
+
+
+def damaged(conversations):
+    """The rows of ``conversations`` as the contract of op11 damages them."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("how")).where(F.col("how") != 0)
+    text = F.when(F.col("how") == 1, "").when(F.col("how") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("how") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", F.when(F.col("how") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+
+
+@query(
+    "op11_conversation_repair",
+    rf"""
+WITH RECURSIVE h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS how FROM conversations),
+r AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+         CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE how <> 0),
+o AS (
+  SELECT *, row_number() OVER w AS rn, lag(role[1]) OVER w AS before, role[1] AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, blank OR again AS must, cut AND NOT (blank OR again) AS truncated FROM o),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS rn, {_state(0)} AS s0, {_state(_NEVER)} AS s1, {_state(_NEVER)} AS s2, {_state(_NEVER)} AS s3 FROM r GROUP BY conv_id
+  UNION ALL
+  SELECT e.conv_id, e.rn, {", ".join(_used(s) for s in range(4))}
+  FROM (SELECT f.*, {_CLOSED} FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.rn = dp.rn + 1) e),
+ends AS (
+  SELECT conv_id, list_min([e0, e3]) AS e FROM (
+    SELECT conv_id, {_CLOSED} FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rn DESC) = 1)),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(e.c, 0) AS BIGINT) AS cost, coalesce(e.a, '') AS audit,
+       sha256(coalesce(array_to_string(e.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM i.conv_id
+""",
+)
+def op11_conversation_repair(spark, sf_dir):
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.digests(conversation_repair.edits(damaged(conversations)), conversations)
+
+
+def _vectors(scale: int, label: str = "") -> str:
+    return f"""SELECT DISTINCT vec_id{label}, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+@query(
+    "op12_hard_negatives",
+    f"""
+WITH v AS ({_vectors(256, ", CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label")} AND label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+""",
+)
+def op12_hard_negatives(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query(
+    "op13_topk",
+    f"""
+WITH v AS ({_vectors(64)})
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS INTEGER) AS rank,
+       c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 20
+""",
+)
+def op13_topk(spark, sf_dir):
+    return topk_join.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
