@@ -161,34 +161,34 @@ def _codes(symbols: str) -> np.ndarray:
     return np.array([SYMBOLS.index(c) for c in symbols], dtype=np.int64)
 
 
-def turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Every different turn once, with its number of ``copies``, its place, its fault and its symbol.
+def turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every different turn once with its text; and, without texts, its number of ``copies``, its place, its fault and its symbol.
 
-    ``fault`` is that of the first copy: blank, duplicate, truncated or null; the other copies of a turn that is not blank are duplicates.
+    Both have ``said`` (conversation, role and text) and ``turn`` to meet by. ``fault`` is that of the first copy: blank, duplicate,
+    truncated or null; the other copies of a turn that is not blank are duplicates.
     """
     space = F.lit(" ")
     slim = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), space).alias("role"), F.coalesce(F.col(text), space).alias("text"))
     conv_text = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
     said = F.concat_ws(":", F.col("conv_id").isNull().cast("string"), F.length(conv_text), F.length("role"), conv_text, "role", "text")
-    same = settle(slim.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("said", F.unhex(F.md5(said))))
-    place = F.struct(F.col("turn").isNotNull().alias("is_set"), F.col("turn").alias("turn"))
-    same = attach(same, same.groupBy("said").agg(F.min(place).alias("first")), ["said"], ["turn"])
+    texts = settle(slim.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("said", F.unhex(F.md5(said))))
 
     shown = F.rtrim(F.col("text"), F.lit(BLANK))
-    same = same.withColumn("initial", F.substring("role", 1, 1)).withColumn(
-        "fault",
-        F.when(shown == "", "blank").when(F.col("first") < place, "duplicate").when(~F.substring(shown, -1, 1).isin(".", "!", "?"), "truncated"),
-    )
-    running_values = [
+    ends = F.when(shown == "", "blank").when(~F.substring(shown, -1, 1).isin(".", "!", "?"), "truncated")
+    values = [
         Over("place", "count", F.lit(1), "before"),
         Over("before", "last", F.col("initial"), "before"),
         Over("turn_before", "last", F.col("turn"), "before"),
         Over("places", "count", F.lit(1), "group"),
     ]
-    out = running(same.drop("said", "first"), ["conv_id"], ["turn", "role", "text"], running_values, derived=True)
+    placed = running(texts.withColumn("initial", F.substring("role", 1, 1)).withColumn("fault", ends), ["conv_id"], ["turn", "role", "text"], values)
+    placed = settle(placed.drop("role", "text"))
+    placed = attach(placed, placed.groupBy("said").agg(F.min("place").alias("first")), ["said"], ["place"])
+    fault = F.when(F.coalesce(F.col("fault") != "blank", F.lit(True)) & (F.col("first") < F.col("place")), "duplicate").otherwise(F.col("fault"))
     letter = F.when(F.col("initial").isin("s", "u", "a"), F.col("initial")).otherwise("x")
     symbol = F.when(F.col("fault").isin("blank", "duplicate"), "-").when(F.col("fault") == "truncated", F.upper(letter)).otherwise(letter)
-    return out.withColumn("symbol", symbol).withColumn("slice", F.floor(F.col("place") / SLICE).cast("long"))
+    placed = placed.withColumn("fault", fault).withColumn("symbol", symbol).withColumn("slice", F.floor(F.col("place") / SLICE).cast("long")).drop("first")
+    return texts.select("said", "turn", "role", "text"), placed
 
 
 def _same_slice(a: DataFrame, b: DataFrame):
@@ -214,12 +214,12 @@ def _streamed(rows: DataFrame, order: Column, start: int, follow, name: str) ->
 
 
 def edits(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """The turns (see ``turns``) with ``edits``, ``roles`` and ``cost``.
+    """The turns in their places (see ``turns``) with role, text, ``edits``, ``roles`` and ``cost``.
 
     ``edits`` holds K(eep), R(erole), D(elete) and I(nsert) in order, insertions before the turn they precede, those at the end with the last
     turn; deletions of further copies are included. ``roles`` has for each edit the initial of the role it leaves, '-' for none.
     """
-    all_turns = settle(turns(rows, conv, turn, role, text))
+    texts, all_turns = turns(rows, conv, turn, role, text)
     kind = all_turns.schema["conv_id"].dataType.simpleString()
     in_order = F.array_sort(F.collect_list(F.struct("place", "symbol")))
     slices = all_turns.groupBy("conv_id", "slice").agg(F.array_join(F.transform(in_order, lambda x: x["symbol"]), "").alias("symbols"), (F.first("places") > (F.col("slice") + 1) * SLICE).alias("goes_on"))
@@ -254,8 +254,10 @@ def edits(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
         size = F.length(own) - more
         return F.concat(F.substr(own, F.lit(1), size), F.repeat(F.lit(mark), copies), F.substr(own, size + 1, more))
 
-    joined = all_turns.join(traced, _same_slice(all_turns, traced), "left").drop(traced["conv_id"]).drop(traced["slice"])
-    return joined.select(*all_turns.columns, with_copies("letters", "D").alias("edits"), with_copies("left", "-").alias("roles"), (F.get("costs", at) + DELETE * copies).alias("cost")).drop("slice", "symbol")
+    joined = all_turns.join(traced, _same_slice(all_turns, traced)).drop(traced["conv_id"]).drop(traced["slice"])
+    joined = joined.select(*all_turns.columns, with_copies("letters", "D").alias("edits"), with_copies("left", "-").alias("roles"), (F.get("costs", at) + DELETE * copies).alias("cost"))
+    back = (joined["said"] == texts["said"]) & joined["turn"].eqNullSafe(texts["turn"])
+    return joined.join(texts, back).drop(texts["said"]).drop(texts["turn"]).drop("said", "slice", "symbol")
 
 
 def _placed(slices: DataFrame, kind: str) -> DataFrame:
