@@ -142,8 +142,6 @@ ALIAS_SQL = "aliases(country, target) AS (VALUES " + ", ".join(f"('{a}', '{t}')"
 
 DIMS = 64
 COORDS = [f"x{i}" for i in range(DIMS)]
-# Density clusters are compared on four dimensions only: their grid of cells is meant for few.
-PLANE = COORDS[:4]
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.catalog.bindings import COORDS, PLANE, POINTS, events, gdp_sheet, orders, points, query, r6, rounded, size_of
+from tallyward.catalog.bindings import COORDS, GDP, POINTS, O, events, gdp_sheet, orders, points, query, r6, rounded, size_of
 from tallyward.catalog.modelling import kth_sql
 from tallyward.operators import cluster, enrich, learn, neighbours
 from tallyward.operators.features import device_features
@@ -17,11 +17,15 @@ from tallyward.sources.schema import FEATURES
 INPUTS = [f for f in FEATURES if f != "device_source_consistency"]
 
 
-def _knee_sql(coords) -> str:
-    return f"""{kth_sql(coords)}, r AS (SELECT dist, row_number() OVER (ORDER BY dist, id) AS rank FROM kd),
+def _bend_sql() -> str:
+    return """r AS (SELECT dist, row_number() OVER (ORDER BY dist, id) AS rank FROM kd),
 b AS (SELECT *, (rank - 1) / ((SELECT count(*) FROM r) - 1) - (dist - (SELECT min(dist) FROM r)) / ((SELECT max(dist) - min(dist) FROM r)) AS bend FROM r)"""
 
 
+def _knee_sql(coords) -> str:
+    return f"{kth_sql(coords)}, {_bend_sql()}"
+
+
 _AT_KNEE = "FROM b ORDER BY round(bend, 12) DESC, rank LIMIT 1"
 
 
@@ -30,12 +34,13 @@ def knee_eps(spark, sf):
     return rounded(cluster.knee(neighbours.neighbour_distance(points(spark, sf), COORDS, 5)), "eps")
 
 
-_NEAR = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in PLANE)
+def _near(coords) -> str:
+    return "sqrt(" + " + ".join(f"power(a.{c} - b.{c}, 2)" for c in coords) + ")"
 
 
 def _dbscan_sql(eps: float | str, before: str = "") -> str:
     return f"""WITH RECURSIVE {POINTS},{before}
-pr AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt({_NEAR}) <= {eps}),
+pr AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {_near(COORDS)} <= {eps}),
 core AS (SELECT a AS id FROM pr GROUP BY a HAVING count(*) >= 8),
 link AS (SELECT a, b FROM pr WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 walk(id, root) AS (SELECT id, id FROM core UNION SELECT l.b, w.root FROM walk w JOIN link l ON l.a = w.id),
@@ -47,10 +52,10 @@ SELECT p.id, coalesce(cc.cluster, edge.cluster, -1) AS cluster FROM p LEFT JOIN
 
 
 def _register_dbscan():
-    for name, eps in (("dbscan", 0.12), ("dbscan_narrow", 0.08)):
+    for name, eps in (("dbscan", 1.19), ("dbscan_narrow", 1.16)):
 
         def run(spark, sf, eps=eps):
-            return cluster.dbscan(points(spark, sf), PLANE, eps).select("id", "cluster")
+            return cluster.dbscan(points(spark, sf), COORDS, eps).select("id", "cluster")
 
         query(name, _dbscan_sql(eps))(run)
 
@@ -60,13 +65,13 @@ _register_dbscan()
 
 @query(
     "dbscan_at_knee",
-    f"""SELECT cluster, count(*) AS rows FROM ({_dbscan_sql("(SELECT eps FROM knee)", f" {_knee_sql(PLANE)}, knee AS (SELECT dist AS eps {_AT_KNEE}),")}) GROUP BY cluster""",
+    f"""SELECT cluster, count(*) AS rows FROM ({_dbscan_sql("(SELECT eps FROM knee)", f" {_knee_sql(COORDS)}, knee AS (SELECT dist AS eps {_AT_KNEE}),")}) GROUP BY cluster""",
 )
 def dbscan_at_knee(spark, sf):
     """Sizes of the clusters at the distance the knee gives."""
     rows = points(spark, sf)
-    eps = cluster.dbscan_eps(rows, PLANE)
-    return cluster.dbscan(rows, PLANE, eps).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+    eps = cluster.dbscan_eps(rows, COORDS)
+    return cluster.dbscan(rows, COORDS, eps).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _customers(spark, sf):
@@ -85,7 +90,32 @@ def kmeans_profile(spark, sf):
     return rounded(cluster.cluster_profile(shown, ["purchase_value", "age", "gdp", "is_male"]), "purchase_value", "age", "gdp", "is_male")
 
 
-@query("dbscan_customers")
+# All orders on their scaled inputs; clusters by keeping, for each core row, the least id that has reached it.
+_CUSTOMERS = f"""{O}, {GDP},
+i AS (SELECT transaction_id AS id, CAST(age AS DOUBLE) AS age, CAST(purchase_value AS DOUBLE) AS value, coalesce(g.gdp, (SELECT avg(gdp) FROM gdp)) AS gdp,
+      CASE WHEN sex = 'M' THEN 1 ELSE 0 END AS x3 FROM o LEFT JOIN gdp g USING (country) WHERE age IS NOT NULL AND purchase_value IS NOT NULL),
+m AS (SELECT avg(age) AS ma, stddev_pop(age) AS sa, avg(value) AS mv, stddev_pop(value) AS sv, avg(gdp) AS mg, stddev_pop(gdp) AS sg FROM i),
+p AS (SELECT id, (age - ma) / sa AS x0, (value - mv) / sv AS x1, (gdp - mg) / sg AS x2, x3 FROM i, m)"""
+_INPUTS = ["x0", "x1", "x2", "x3"]
+
+
+@query(
+    "dbscan_customers",
+    f"""WITH RECURSIVE {_CUSTOMERS},
+kd AS (SELECT a.id, min({_near(_INPUTS)}, 5)[5] AS dist FROM p a, p b GROUP BY a.id),
+{_bend_sql()}, knee AS (SELECT dist AS eps {_AT_KNEE}),
+pr AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {_near(_INPUTS)} <= (SELECT eps FROM knee)),
+core AS (SELECT a AS id FROM pr GROUP BY a HAVING count(*) >= 8),
+link AS (SELECT a, b FROM pr WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+comp(id, root) USING KEY (id) AS (
+  SELECT id, id FROM core
+  UNION
+  SELECT l.b, min(c.root) FROM comp c JOIN link l ON l.a = c.id JOIN recurring.comp r ON r.id = l.b WHERE c.root < r.root GROUP BY l.b),
+num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM comp)),
+cc AS (SELECT id, cluster FROM comp JOIN num USING (root)),
+edge AS (SELECT pr.a AS id, min(cc.cluster) AS cluster FROM pr JOIN cc ON pr.b = cc.id WHERE pr.a NOT IN (SELECT id FROM core) GROUP BY pr.a)
+SELECT p.id AS transaction_id, coalesce(cc.cluster, edge.cluster, -1) AS cluster FROM p LEFT JOIN cc USING (id) LEFT JOIN edge ON edge.id = p.id""",
+)
 def dbscan_customers(spark, sf):
     """Density clusters of all orders on age, value, GDP and sex, at the distance the knee gives."""
     inputs, names = cluster.cluster_inputs(_customers(spark, sf))

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.columns import ratio
-from tallyward.operators.neighbours import BOX_ROWS, BOX_ROWS_DEFAULT, box_of, grow_boxes, nearest, neighbour_distance, share_out
+from tallyward.operators.neighbours import links_within, located, neighbour_distance, search
 from tallyward.operators.prep import Preprocessor
 from tallyward.plans.components import connected_components
 from tallyward.plans.joins import attach
@@ -83,141 +80,26 @@ def dbscan_eps(df: DataFrame, coords: Sequence[str], k: int = 5, id_col: str = "
 def dbscan(df: DataFrame, coords: Sequence[str], eps: float, min_samples: int = 8, id_col: str = "id", name: str = "cluster") -> DataFrame:
     """Density clusters, numbered by their smallest core id from 0; noise is -1.
 
-    A core row has ``min_samples`` rows within ``eps``, itself included: one nearest-neighbour search.
-    Core rows fall into grid cells small enough for all rows of a cell to be in reach of each other,
-    so clusters are components of a graph of cells. Two cells are joined when some of their rows are in
-    reach; bounding boxes settle most pairs, and the rest are halved until boxes decide or shrink to
-    single locations. No step lists pairs of rows. A border row takes the lowest cluster in its reach,
-    found in its own neighbour list, which is complete because it is short.
+    A core row has ``min_samples`` rows within ``eps``, itself included: one nearest-neighbour search. Rows at one location are core
+    together, so clusters are components of the core locations, each named by its first id. Chunks of core locations meet, and each meeting
+    gives a forest of those in reach, so neither pairs of rows nor cells of a grid are listed and any number of dimensions will do. A
+    border row takes the lowest cluster in its reach, found in its own neighbour list, which is complete because it is short.
+    Rows that lack a coordinate are noise.
     """
-    coords = list(coords)
-    near = settle(nearest(df, coords, min_samples, id_col, include_self=True).withColumnRenamed(id_col, "__id"))
-    last = F.get("neighbours", F.lit(min_samples - 1))["dist"]
-    is_core = F.coalesce(last <= eps, F.lit(False))
-    places = df.select(F.col(id_col).alias("__id"), *[F.col(c).cast("double").alias(c) for c in coords])
-    core = near.where(is_core).select("__id").join(places, "__id")
-    side = eps / math.sqrt(len(coords)) * (1 - 1e-9)
-    core = settle(core.withColumn("__cell", _cell(coords, side)))
-    cells = core.groupBy("__cell").agg(F.min("__id").alias("node"), *_box(coords))
-    core = settle(attach(core, cells.select("__cell", "node"), ["__cell"], ["__id"]))
-    cells = settle(cells.drop("__cell"))
-    pairs = settle(_close_cells(cells, coords, eps))
-    sure, open_ = pairs.where("sure").select("a", "b"), pairs.where(~F.col("sure")).select("a", "b")
-    nodes = cells.select("node")
-    parts = settle(connected_components(sure, nodes))
-    open_ = _between(open_, parts)
-    if not open_.isEmpty():
-        more = _refined(settle(open_), core, coords, side, eps)
-        parts = settle(connected_components(sure.unionByName(more), nodes))
-    number = global_rank(parts.select(F.col("component")).distinct(), ["component"], "__rank", derived=True)
-    named = parts.join(number, "component").select("node", (F.col("__rank") - 1).alias(name))
-    of_core = settle(attach(core.select("__id", "node"), named, ["node"], ["__id"]).select("__id", name))
-
-    reach = near.where(~is_core).select("__id", F.explode("neighbours").alias("n"))
-    reach = reach.where(F.col("n.dist") <= eps).select(F.col("__id").alias("__border"), F.col("n.id").alias("__id"))
-    border = attach(reach, of_core, ["__id"], ["__border"], "inner").groupBy("__border").agg(F.min(name).alias(name))
-    found = of_core.unionByName(border.withColumnRenamed("__border", "__id")).withColumnRenamed("__id", id_col)
-    return df.join(found, id_col, "left").withColumn(name, F.coalesce(name, F.lit(NOISE).cast("long")))
-
-
-def _cell(coords: Sequence[str], side: float) -> Column:
-    return F.array(*[F.floor(F.col(c) / F.lit(side)).cast("long") for c in coords])
-
-
-def _box(coords: Sequence[str]) -> list[Column]:
-    return [f(c).alias(f"{n}_{c}") for c in coords for n, f in (("lo", F.min), ("hi", F.max))]
-
-
-def _gap(coords: Sequence[str], a: str, b: str) -> Column:
-    """Least distance of two boxes."""
-    total = F.lit(0.0)
-    for c in coords:
-        apart = F.greatest(F.col(f"{a}.lo_{c}") - F.col(f"{b}.hi_{c}"), F.col(f"{b}.lo_{c}") - F.col(f"{a}.hi_{c}"), F.lit(0.0))
-        total = total + apart * apart
-    return F.sqrt(total)
-
-
-def _span(coords: Sequence[str], a: str, b: str) -> Column:
-    """Greatest distance of two boxes."""
-    total = F.lit(0.0)
-    for c in coords:
-        far = F.greatest(F.col(f"{a}.hi_{c}") - F.col(f"{b}.lo_{c}"), F.col(f"{b}.hi_{c}") - F.col(f"{a}.lo_{c}"))
-        total = total + far * far
-    return F.sqrt(total)
-
-
-def _close_cells(cells: DataFrame, coords: Sequence[str], eps: float) -> DataFrame:
-    """Pairs of cells (a, b, sure) whose boxes come within eps; sure when they cannot be further apart.
-
-    A cell has a bounded number of such partners, however many rows it holds.
-    """
-    lows, highs = [f"lo_{c}" for c in coords], [f"hi_{c}" for c in coords]
-    mids = [f"mid_{c}" for c in coords]
-    cells = cells.withColumns({m: (F.col(a) + F.col(b)) / 2 for m, a, b in zip(mids, lows, highs)})
-    boxes = grow_boxes(cells, mids)
-    hosts = cells.withColumn("box", box_of(boxes, mids).cast("int"))
-    kind = cells.schema["node"].dataType.simpleString()
-
-    def reach(pdfs):
-        for pdf in pdfs:
-            pts = pdf[mids].to_numpy(float)
-            point, box = boxes.within(pts, np.full(len(pts), 2 * eps))
-            yield pdf.iloc[point][["node", *lows, *highs]].assign(box=box.astype(np.int32))
-
-    schema = f"node {kind}, " + ", ".join(f"{c} double" for c in lows + highs) + ", box int"
-    trips = cells.mapInPandas(reach, schema)
-    rows = int(cells.sparkSession.conf.get(BOX_ROWS, str(BOX_ROWS_DEFAULT)))
-    trips, hosts = share_out(trips, hosts, rows, "node")
-
-    def meet(v: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for s in range(0, len(v), 256):
-            part = v.iloc[s : s + 256]
-            gap, span = np.zeros((len(part), len(h))), np.zeros((len(part), len(h)))
-            for lo, hi in zip(lows, highs):
-                vl, vh = part[[lo]].to_numpy(), part[[hi]].to_numpy()
-                hl, hh = h[lo].to_numpy(), h[hi].to_numpy()
-                gap += np.maximum(np.maximum(vl - hh, hl - vh), 0.0) ** 2
-                span += np.maximum(vh - hl, hh - vl) ** 2
-            ids, others = part["node"].to_numpy()[:, None], h["node"].to_numpy()[None, :]
-            i, j = np.nonzero((np.sqrt(gap) <= eps) & (ids < others))
-            out.append(pd.DataFrame({"a": ids[i, 0], "b": others[0, j], "sure": np.sqrt(span[i, j]) <= eps}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "sure"])
-
-    return trips.groupBy("box", "chunk").cogroup(hosts.groupBy("box", "chunk")).applyInPandas(meet, f"a {kind}, b {kind}, sure boolean")
-
-
-def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose ends are still in different components."""
-    a = parts.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return attach(attach(pairs, a, ["a"], ["b"]), b, ["b"], ["a"]).where(F.col("ca") != F.col("cb")).select("a", "b")
-
-
-def _refined(pairs: DataFrame, core: DataFrame, coords: Sequence[str], side: float, eps: float) -> DataFrame:
-    """Those of the open pairs of cells that do have rows within eps of each other.
-
-    Each round halves the cells of the pairs still open. A pair is closed as soon as two of its parts
-    are surely in reach; parts out of reach are dropped. Parts that hold a single location decide
-    exactly, so the rounds end.
-    """
-    found, level = None, 0
-    tracks = pairs.select("a", "b", F.lit("").alias("pa"), F.lit("").alias("pb"))
-    while True:
-        level += 1
-        used = tracks.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("pa").alias("parent")), F.struct(F.col("b").alias("node"), F.col("pb").alias("parent"))))).distinct()
-        key = lambda at: F.concat_ws(",", *[F.floor(F.col(c) / F.lit(side / 2**at)).cast("string") for c in coords])
-        located = core.withColumn("parent", key(level - 1) if level > 1 else F.lit("")).withColumn("part", key(level))
-        parts = located.groupBy("node", "parent", "part").agg(*_box(coords)).join(used, ["node", "parent"], "left_semi")
-        parts = settle(parts)
-        left = parts.select(F.col("node").alias("a"), F.col("parent").alias("pa"), F.struct("part", *[f"{n}_{c}" for c in coords for n in ("lo", "hi")]).alias("x"))
-        right = parts.select(F.col("node").alias("b"), F.col("parent").alias("pb"), F.struct("part", *[f"{n}_{c}" for c in coords for n in ("lo", "hi")]).alias("y"))
-        # A part has at most 2^d halves, so a track has at most 4^d children.
-        met = tracks.join(left, ["a", "pa"]).join(right, ["b", "pb"])
-        met = met.select("a", "b", F.col("x.part").alias("pa"), F.col("y.part").alias("pb"), _gap(coords, "x", "y").alias("gap"), _span(coords, "x", "y").alias("span"))
-        met = settle(met.where(F.col("gap") <= eps))
-        closed = met.where(F.col("span") <= eps).select("a", "b").distinct()
-        found = closed if found is None else found.unionByName(closed)
-        tracks = met.where(F.col("gap") != F.col("span")).join(closed, ["a", "b"], "left_anti").select("a", "b", "pa", "pb")
-        if tracks.isEmpty():
-            return found
+    where = located(df, coords, id_col, None, min_samples + 1)
+    lists = settle(search(where, min_samples + 1))
+    is_core = F.coalesce(F.get("hits", F.lit(min_samples - 1))["dist"] <= eps, F.lit(False))
+    places = settle(where.places.select("loc", "id", "at").join(lists.select("loc", is_core.alias("core")), "loc"))
+    core = places.where("core")
+    parts = connected_components(links_within(core.select("id", "at"), where.dims, core.count(), eps), core.select(F.col("id").alias("node")))
+    parts = settle(parts)
+    number = global_rank(parts.select("component").distinct(), ["component"], "__rank", derived=True)
+    numbered = parts.join(number, "component").select(F.col("node").alias("first"), (F.col("__rank") - 1).alias(name))
+    of_core = settle(places.where("core").select("loc", F.col("id").alias("first")).join(numbered, "first"))
+
+    border = places.where(~F.col("core")).select("loc")
+    reach = lists.join(border, "loc").select("loc", F.explode("hits").alias("hit")).where(F.col("hit.dist") <= eps).select(F.col("hit.first").alias("first"), F.col("loc").alias("__of"))
+    of_border = attach(reach, of_core.select("first", name), ["first"], ["__of"], "inner").groupBy(F.col("__of").alias("loc")).agg(F.min(name).alias(name))
+    found = of_core.select("loc", name).unionByName(of_border)
+    rows = attach(where.rows.select("id", "loc"), found, ["loc"], ["id"], size=where.total).select(F.col("id").alias(id_col), F.coalesce(name, F.lit(NOISE).cast("long")).alias(name))
+    return df.join(rows, id_col)

@@ -1,22 +1,27 @@
-"""Exact nearest neighbours of every row within a table.
+"""Nearest neighbours of every row within a table: exact, or by an inverted file.
 
-Space is cut into boxes of similar population (a k-d tree over a bounded sample). A row first looks
-in its own box; the distance of its last hit bounds the search, and only boxes nearer than that are
-visited. Rows at one location are represented by their first few ids, which is enough because ties
-are ordered by id; a location holding a third of the table is therefore as cheap as any other. A box
-that many rows visit is repeated so that each task meets a bounded share of the visitors.
+Rows at one location are represented by their first few ids, which is enough because ties are ordered by id; a location holding
+a third of the table is therefore as cheap as any other. Searching rows and rows searched meet by a key: the box of a k-d tree, the
+list of an inverted file, or nothing at all. Where they meet, both sides are dealt evenly over chunks of bounded size, so no task
+holds more than a chunk of each, whatever the key's share of the rows.
 
-Distances inside a box are computed in numpy blocks and only the best rows leave the task.
+*Boxes.* Space is cut into boxes of similar population over a bounded sample. A row first looks in its own box; the distance of its last
+hit bounds the search, and only boxes nearer than that are visited. *Blocks.* In many dimensions a tree rules nothing out; where a
+sample shows that, all chunks meet all chunks. A block is a matrix product; rows that its rounding leaves in question are measured
+again in full. The cost is square in the number of locations. *Inverted file.* ``approximate_nearest`` searches only the lists near a
+row, as many as a sample says are needed for a recall; what it returns are exact distances, but some neighbours may be missed.
+
+Rows that lack a coordinate (null or not a number) have no neighbours and are nobody's.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +31,15 @@ from tallyward.session import settle
 
 BOX_ROWS = "spark.tallyward.boxRows"
 BOX_ROWS_DEFAULT = 4096
-MAX_DEPTH = 16  # at most 65,536 boxes, whatever the table
+MAX_DEPTH = 16  # at most 65,536 boxes; fuller boxes are dealt over more chunks
 SAMPLE_PER_BOX = 32
 PLACES = 9  # distances that agree to this many places are ties
+# Share of the boxes that a row of the sample may visit on average before blocks are used instead.
+PRUNES_NOTHING = 0.5
+# Rows of a chunk of searching rows, and of rows searched, for each row of BOX_ROWS.
+CHUNK = 4
+# Rows, expected, of the sample an inverted file is fitted and its number of visited lists is chosen on.
+FIT_ROWS = 8192
 _BLOCK = 256
 
 
@@ -84,6 +95,14 @@ class Boxes:
             point, node = point[near], node[near]
         return point, node - inner
 
+    def prunes(self, sample: np.ndarray) -> bool:
+        """Whether rows of the sample, looking as far as the nearest other one, leave out enough boxes."""
+        some = sample[:: max(1, len(sample) // _BLOCK)]
+        if self.count <= 2 or len(sample) < 2:
+            return False
+        nearest = np.array([np.sort(row)[1] for row in distances(some, sample)])
+        return len(self.within(some, nearest)[0]) <= PRUNES_NOTHING * self.count * len(some)
+
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     square = np.zeros((len(a), len(b)))
@@ -92,38 +111,200 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(square)
 
 
-def grow_boxes(df: DataFrame, coords: Sequence[str], size: int | None = None) -> Boxes:
-    rows = int(df.sparkSession.conf.get(BOX_ROWS, str(BOX_ROWS_DEFAULT)))
-    total = df.count() if size is None else size
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1.0, total / rows)))))
-    if not depth:
-        return Boxes.of(np.zeros((0, len(coords))), 0, len(coords))
-    wanted = 2**depth * SAMPLE_PER_BOX
-    sample = df.select(*coords).sample(min(1.0, wanted / total), seed=SEED).toPandas()
-    return Boxes.of(np.unique(sample.to_numpy(float), axis=0), depth, len(coords))
+def _of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    square = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        square += (a[:, d] - b[:, d]) ** 2
+    return np.sqrt(square)
 
 
-def box_of(boxes: Boxes, coords: Sequence[str]):
-    if boxes.count == 1:
-        return F.lit(0)
+def _near_pairs(a: np.ndarray, b: np.ndarray, keep: int | None, limit: np.ndarray | None):
+    """(from, row of ``a``, row of ``b``, distance) block by block, for pairs that may be among the ``keep`` nearest, or within the limit.
 
-    @F.pandas_udf("int")
-    def find(cols: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in cols:
-            yield pd.Series(boxes.find(np.column_stack([c.to_numpy(float) for c in batch])))
+    Squares come from a matrix product about the middle of ``b``; pairs within its error of the bound are kept, and all are measured again.
+    """
+    middle = b.mean(axis=0)
+    x, y = a - middle, b - middle
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    error = 8 * np.finfo(float).eps * max(4, a.shape[1]) * (xx + yy.max())
+    for s in range(0, len(a), _BLOCK):
+        part = slice(s, s + _BLOCK)
+        square = xx[part, None] + yy - 2 * (x[part] @ y.T)
+        bound = np.full(len(square), np.inf)
+        if keep is not None and keep < len(b):
+            bound = np.partition(square, keep - 1, axis=1)[:, keep - 1] + error[part]
+        if limit is not None:
+            bound = np.minimum(bound, limit[part] ** 2)
+        bound = (np.sqrt(np.maximum(bound, 0.0)) + 2 * 10.0**-PLACES) ** 2 + error[part]
+        i, j = np.nonzero(square <= bound[:, None])
+        yield s, i, j, _of_pairs(a[part][i], b[j])
 
-    return find(*coords)
 
+def _rows_of(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
-def share_out(visits: DataFrame, hosts: DataFrame, rows: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """Split the visitors of a full box into chunks and repeat the box's own rows for each chunk."""
-    spark = visits.sparkSession
-    counts = visits.groupBy("box").count().collect()  # one row per box
-    chunks = [(r["box"], math.ceil(r["count"] / rows)) for r in counts]
-    table = F.broadcast(spark.createDataFrame(chunks, "box int, chunks int"))
-    visits = visits.join(table, "box").withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int")).drop("chunks")
-    hosts = hosts.join(table, "box").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    return visits, hosts
+
+def _box_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(BOX_ROWS, str(BOX_ROWS_DEFAULT)))
+
+
+def _drawn(rows: DataFrame, wanted: int, total: int, dims: int) -> np.ndarray:
+    """A sample of about ``wanted`` different places."""
+    sample = rows.select("at").sample(min(1.0, wanted / max(total, 1)), seed=SEED).limit(2 * wanted).toArrow()
+    return np.unique(_rows_of(sample.column("at"), dims), axis=0) if sample.num_rows else np.zeros((0, dims))
+
+
+def grow_boxes(rows: DataFrame, dims: int, total: int) -> tuple[Boxes, bool]:
+    """A tree over ``at``, and whether it is of use."""
+    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1.0, total / _box_rows(rows))))))
+    if not depth:
+        return Boxes.of(np.zeros((0, dims)), 0, dims), False
+    sample = _drawn(rows, 2**depth * SAMPLE_PER_BOX, total, dims)
+    boxes = Boxes.of(sample, depth, dims)
+    return boxes, boxes.prunes(sample)
+
+
+def _keyed(rows: DataFrame, dims: int, key: Callable[[np.ndarray], np.ndarray] | None, many: bool = False) -> DataFrame:
+    """Rows with ``box``: 0, or the key of ``at``, or one row for each of its keys where there are many."""
+    if key is None:
+        return rows.withColumn("box", F.lit(0))
+
+    def find(batches):
+        for b in batches:
+            found = key(_rows_of(pa.chunked_array([b.column("at")]), dims))
+            if many:
+                point, found = found
+                b = b.take(pa.array(point))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found.astype(np.int32))], [*b.schema.names, "box"])
+
+    return rows.mapInArrow(find, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", box int")
+
+
+def _dealt(guests: DataFrame, hosts: DataFrame, one_box: bool, n_guests: int, n_hosts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a meeting in chunks: a chunk of each meets every chunk of the other within a box."""
+    spark, rows = guests.sparkSession, _box_rows(guests) * CHUNK
+    if one_box:  # enough tasks where the table is small
+        share = max(256, math.ceil(n_guests / spark.sparkContext.defaultParallelism))
+        sizes = [(0, math.ceil(n_guests / min(rows // 2, share)), math.ceil(n_hosts / (2 * rows)))]
+    else:
+        counts: dict[int, list[int]] = {}
+        for side, df in enumerate((guests, hosts)):
+            for r in df.groupBy("box").count().collect():  # a row for each box or list
+                counts.setdefault(r["box"], [0, 0])[side] = r["count"]
+        sizes = [(box, math.ceil(g / rows), math.ceil(h / rows)) for box, (g, h) in counts.items() if g and h]
+    table = F.broadcast(spark.createDataFrame(sizes or [(0, 1, 1)], "box int, guest_chunks int, host_chunks int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    of = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    g, h = F.col("guest_chunks"), F.col("host_chunks")
+    guests = guests.join(table, "box").withColumn("g", of(g)).withColumn("h", every(h)).drop("guest_chunks", "host_chunks")
+    hosts = hosts.join(table, "box").withColumn("h", of(h)).withColumn("g", every(g)).drop("guest_chunks", "host_chunks")
+    return guests, hosts
+
+
+def _meet(guests: DataFrame, hosts: DataFrame, solve: Callable[[pa.Table, pa.Table], pa.Table], shape: str) -> DataFrame:
+    places = ["box", "g", "h"]
+    names = [c for c in hosts.columns if c not in places]
+    hosts = hosts.select(*places, *[F.col(c).alias(c) for c in names])  # new columns: both sides may come from one table
+    return guests.groupBy(*places).cogroup(hosts.groupBy(*places)).applyInArrow(solve, shape)
+
+
+def _hits_in_block(dims: int, keep: int, limited: bool):
+    """The best ``keep`` of the hosts for each guest, ties by id."""
+
+    def solve(guests: pa.Table, hosts: pa.Table) -> pa.Table:
+        hosts = hosts.sort_by("id")
+        a, b = _rows_of(guests.column("at"), dims), _rows_of(hosts.column("at"), dims)
+        limit = guests.column("radius").to_numpy() + 10.0**-PLACES if limited else None
+        own, hit, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for s, i, j, d in _near_pairs(a, b, keep, limit) if len(a) and len(b) else ():
+            if limited:
+                near = d <= limit[s + i]
+                i, j, d = i[near], j[near], d[near]
+            order = np.lexsort((j, np.round(d, PLACES), i))
+            i, j, d = i[order], j[order], d[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i, side="left") < keep
+            own.append(s + i[best])
+            hit.append(j[best])
+            far.append(d[best])
+        own, hit = pa.array(np.concatenate(own)), pa.array(np.concatenate(hit))
+        return pa.table({"loc": guests.column("loc").take(own), **{c: hosts.column(c).take(hit) for c in ("id", "label", "first")}, "dist": np.concatenate(far)})
+
+    return solve
+
+
+def _best(hits: DataFrame, keep: int) -> DataFrame:
+    place = Window.partitionBy("loc").orderBy(F.round("dist", PLACES), "id")
+    return hits.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= keep).drop("__n")
+
+
+@dataclass(frozen=True)
+class Located:
+    """Rows with the key of their location; each location's first ids, and its first row."""
+
+    rows: DataFrame
+    firsts: DataFrame
+    places: DataFrame
+    dims: int
+    total: int
+
+
+def located(points: DataFrame, coords: Sequence[str], id_col: str, label: str | None, keep: int) -> Located:
+    at = [F.col(c).cast("double") + F.lit(0.0) for c in coords]
+    whole = F.lit(True)
+    for c in at:
+        whole = whole & c.isNotNull() & ~F.isnan(c)
+    rows = points.select(F.col(id_col).alias("id"), (F.col(label).cast("int") if label else F.lit(0)).alias("label"), F.when(whole, F.array(*at)).alias("at"))
+    key = F.concat(F.hex(F.xxhash64("at")), F.lit("."), F.hex(F.hash("at")))
+    rows = settle(rows.withColumn("loc", F.when(F.col("at").isNotNull(), key)))
+    place = Window.partitionBy("loc").orderBy("id")
+    firsts = rows.where(F.col("at").isNotNull()).withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= keep)
+    firsts = firsts.withColumn("first", F.first("id").over(place))
+    return Located(rows, firsts, firsts.where(F.col("__n") == 1).drop("__n"), len(coords), rows.count())
+
+
+def _lists(hits: DataFrame) -> DataFrame:
+    found = F.struct(F.round("dist", PLACES).alias("near"), "id", "dist", "label", "first")
+    return hits.groupBy("loc").agg(F.array_sort(F.collect_list(found)).alias("hits"))  # at most ``keep`` of each location
+
+
+def search(points: Located, keep: int) -> DataFrame:
+    """(loc, hits): the ``keep`` nearest rows of every location, itself included."""
+    kind = points.rows.schema["id"].dataType.simpleString()
+    shape = f"loc string, id {kind}, label int, first {kind}, dist double"
+    boxes, useful = grow_boxes(points.rows.where("at IS NOT NULL"), points.dims, points.total)
+    firsts = points.firsts.drop("__n")
+    if not useful:
+        guests, hosts = _dealt(_keyed(points.places, points.dims, None), _keyed(firsts, points.dims, None), True, points.total, points.total)
+        return _lists(_best(_meet(guests, hosts, _hits_in_block(points.dims, keep, False), shape), keep))
+    hosts = settle(_keyed(firsts, points.dims, boxes.find))
+    guests = settle(_keyed(points.places, points.dims, boxes.find))
+    home = settle(_best(_meet(*_dealt(guests, hosts, False, 0, 0), _hits_in_block(points.dims, keep, False), shape), keep))
+    reach = home.groupBy("loc").agg(F.when(F.count(F.lit(1)) == keep, F.max("dist")).otherwise(F.lit(float("inf"))).alias("radius"))
+    trips = settle(_trips(guests.join(reach, "loc"), boxes, points.dims))
+    away = _meet(*_dealt(trips, hosts, False, 0, 0), _hits_in_block(points.dims, keep, True), shape)
+    return _lists(_best(home.unionByName(away), keep))
+
+
+def _trips(guests: DataFrame, boxes: Boxes, dims: int, own: bool = False) -> DataFrame:
+    """A row for each box within a guest's ``radius``, its own left out unless asked for."""
+
+    def visit(batches):
+        for b in batches:
+            home, radius = b.column("box").to_numpy(), b.column("radius").to_numpy()
+            point, box = boxes.within(_rows_of(pa.chunked_array([b.column("at")]), dims), radius)
+            going = np.full(len(box), True) if own else box != home[point]
+            b = b.drop_columns(["box"]).take(pa.array(point[going]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(box[going].astype(np.int32))], [*b.schema.names, "box"])
+
+    kept = guests.select(*[c for c in guests.columns if c != "box"], "box")
+    return kept.mapInArrow(visit, ", ".join(f"{n} {t}" for n, t in kept.dtypes))
+
+
+def _shown(points: Located, lists: DataFrame, k: int, id_col: str, include_self: bool) -> DataFrame:
+    rows = attach(points.rows.select("id", "loc"), lists, ["loc"], ["id"], size=points.total)
+    hits = F.col("hits") if include_self else F.filter("hits", lambda x: x["id"] != F.col("id"))
+    shown = F.transform(F.slice(hits, 1, k), lambda x: F.struct(x["dist"].alias("dist"), x["id"].alias("id"), x["label"].alias("label")))
+    return rows.select(F.col("id").alias(id_col), shown.alias("neighbours"))
 
 
 def nearest(
@@ -134,82 +315,111 @@ def nearest(
     label: str | None = None,
     include_self: bool = False,
 ) -> DataFrame:
-    """(id, neighbours): the k nearest rows as structs (dist, id, label), nearest first, ties by id."""
-    coords = list(coords)
-    kind = points.schema[id_col].dataType.simpleString()
-    keep = k + 1
-    slim = points.select(*coords, F.col(id_col).alias("id"), (F.col(label).cast("int") if label else F.lit(0)).alias("label"))
-    place = Window.partitionBy(*coords)
-    first = F.row_number().over(place.orderBy("id"))
-    cand = slim.withColumn("__n", first).where(F.col("__n") <= keep).withColumn("rep", F.min("id").over(place)).drop("__n")
-    cand = settle(cand)
-    boxes = grow_boxes(cand, coords)
-    cand = cand.withColumn("box", box_of(boxes, coords).cast("int"))
-    many = boxes.count > 1
-    out = f"rep {kind}, {', '.join(f'{c} double' for c in coords)}, hits array<struct<dist:double,id:{kind},label:int>>"
-
-    def best(queries: pd.DataFrame, hosts: pd.DataFrame, own: int | None) -> pd.DataFrame:
-        hosts = hosts.sort_values("id", kind="stable")
-        q, h = queries[coords].to_numpy(float), hosts[coords].to_numpy(float)
-        ids, labels = hosts["id"].to_numpy(), hosts["label"].to_numpy()
-        reps = queries["rep"].to_numpy()
-        limit = queries["radius"].to_numpy(float) if own is None else None
-        found, visit, reach = [], [], []
-        for s in range(0, len(q), _BLOCK):
-            block = q[s : s + _BLOCK]
-            d = distances(block, h)
-            order = np.argsort(np.round(d, PLACES), axis=1, kind="stable")[:, :keep]
-            near = np.take_along_axis(d, order, axis=1)
-            if own is None:
-                ok = near <= limit[s : s + _BLOCK, None] + 10.0**-PLACES
-            else:
-                ok = np.ones_like(near, bool)
-                radius = near[:, -1] if near.shape[1] == keep else np.full(len(block), np.inf)
-                if many:
-                    point, box = boxes.within(block, radius)
-                    point, box = point[box != own], box[box != own]
-                    by_point = np.argsort(point, kind="stable")
-                    ends = np.searchsorted(point[by_point], np.arange(1, len(block)))
-                    visit += np.split(box[by_point].astype(np.int32), ends)
-                    reach.append(radius)
-            for i in range(len(block)):
-                found.append([{"dist": a, "id": ids[j], "label": labels[j]} for a, j, o in zip(near[i], order[i], ok[i]) if o])
-        res = pd.DataFrame({"rep": reps, **{c: q[:, i] for i, c in enumerate(coords)}, "hits": found})
-        if own is not None:
-            res["visits"] = visit if many else [np.empty(0, np.int32)] * len(res)
-            res["radius"] = np.concatenate(reach) if reach else np.full(len(res), np.inf)
-        return res
-
-    def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
-        return best(pdf.drop_duplicates("rep"), pdf, int(pdf["box"].iloc[0]))
-
-    def abroad(visitors: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
-        res = best(visitors, hosts, None)
-        return res[res["hits"].map(len) > 0]
-
-    home = cand.groupBy("box").applyInPandas(at_home, out + ", visits array<int>, radius double")
-    if many:
-        home = settle(home)
-        rows = int(points.sparkSession.conf.get(BOX_ROWS, str(BOX_ROWS_DEFAULT)))
-        trips = home.select("rep", *coords, "radius", F.explode("visits").alias("box"))
-        trips, hosts = share_out(trips, cand, rows, "rep")
-        away = (
-            trips.groupBy("box", "chunk").cogroup(hosts.groupBy("box", "chunk")).applyInPandas(lambda v, h: abroad(v, h) if len(v) and len(h) else pd.DataFrame(columns=["rep", *coords, "hits"]), out)
-        )
-        merged = home.select("rep", *coords, "hits").unionByName(away).groupBy("rep", *coords).agg(F.flatten(F.collect_list("hits")).alias("hits"))
-    else:
-        merged = home.select("rep", *coords, "hits")
-    ranked = F.array_sort(
-        F.transform("hits", lambda x: F.struct(F.round(x["dist"], PLACES).alias("near"), x["id"].alias("id"), x["dist"].alias("dist"), x["label"].alias("label")))
-    )
-    lists = merged.select(*coords, F.slice(ranked, 1, keep).alias("hits"))
-    rows = attach(slim.select("id", *coords), lists, coords, ["id"])
-    hits = F.col("hits") if include_self else F.filter("hits", lambda x: x["id"] != F.col("id"))
-    shown = F.transform(F.slice(hits, 1, k), lambda x: F.struct(x["dist"].alias("dist"), x["id"].alias("id"), x["label"].alias("label")))
-    return rows.select(F.col("id").alias(id_col), shown.alias("neighbours"))
+    """(id, neighbours): the k nearest rows as structs (dist, id, label), nearest first, ties by id; null where a coordinate lacks."""
+    where = located(points, coords, id_col, label, k + 1)
+    return _shown(where, search(where, k + 1), k, id_col, include_self)
 
 
 def neighbour_distance(points: DataFrame, coords: Sequence[str], k: int = 5, id_col: str = "id") -> DataFrame:
     """Distance to the k-th nearest row, the row itself being the first."""
     near = nearest(points, coords, k, id_col, include_self=True)
     return near.select(id_col, F.get("neighbours", F.lit(k - 1))["dist"].alias("distance"))
+
+
+@dataclass(frozen=True)
+class InvertedFile:
+    """Centres of lists, and how many lists near a row are searched."""
+
+    centres: np.ndarray
+    probes: int
+
+    def nearest_lists(self, pts: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        square = (self.centres**2).sum(axis=1) - 2 * pts @ self.centres.T
+        many = min(many, len(self.centres))
+        order = np.argpartition(square, many - 1, axis=1)[:, :many]
+        return np.repeat(np.arange(len(pts)), many), order.ravel()
+
+    @staticmethod
+    def fit(sample: np.ndarray, lists: int, k: int, recall: float, rounds: int = 8) -> InvertedFile:
+        """Centres by Lloyd's rounds on the sample; as many lists as hold ``recall`` of the sample's own k nearest rows."""
+        centres = sample[np.random.default_rng(SEED).permutation(len(sample))[:lists]]
+        for _ in range(rounds):
+            own = ((centres**2).sum(axis=1) - 2 * sample @ centres.T).argmin(axis=1)
+            size = np.bincount(own, minlength=len(centres))
+            sums = np.stack([np.bincount(own, sample[:, d], len(centres)) for d in range(sample.shape[1])], axis=1)
+            centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+        square = (centres**2).sum(axis=1) - 2 * sample @ centres.T
+        own = square.argmin(axis=1)
+        asked = sample[:: max(1, len(sample) // 512)]
+        place = np.argsort(np.argsort(((centres**2).sum(axis=1) - 2 * asked @ centres.T), axis=1), axis=1)
+        near = np.argsort(distances(asked, sample), axis=1)[:, 1 : k + 1]
+        needed = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+        probes = int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1 if len(needed) else len(centres)
+        return InvertedFile(centres, probes)
+
+
+def fit_lists(where: Located, k: int, recall: float) -> InvertedFile:
+    sample = _drawn(where.rows.where("at IS NOT NULL"), FIT_ROWS, where.total, where.dims)
+    if not len(sample):
+        return InvertedFile(np.zeros((1, where.dims)), 1)
+    lists = max(1, min(int(math.sqrt(where.total)), len(sample) // 8))
+    return InvertedFile.fit(sample, lists, k, recall)
+
+
+def approximate_nearest(
+    points: DataFrame,
+    coords: Sequence[str],
+    k: int,
+    id_col: str = "id",
+    label: str | None = None,
+    include_self: bool = False,
+    recall: float = 0.95,
+    lists: InvertedFile | None = None,
+) -> DataFrame:
+    """As ``nearest``, from the lists near each row only. ``recall`` is aimed at on a bounded sample, every row is in a list."""
+    where = located(points, coords, id_col, label, k + 1)
+    file = lists or fit_lists(where, k, recall)
+    kind = where.rows.schema["id"].dataType.simpleString()
+    hosts = settle(_keyed(where.firsts.drop("__n"), where.dims, lambda pts: file.nearest_lists(pts, 1)[1]))
+    guests = settle(_keyed(where.places, where.dims, lambda pts: file.nearest_lists(pts, file.probes), many=True))
+    shape = f"loc string, id {kind}, label int, first {kind}, dist double"
+    hits = _meet(*_dealt(guests, hosts, False, 0, 0), _hits_in_block(where.dims, k + 1, False), shape)
+    return _shown(where, _lists(_best(hits, k + 1)), k, id_col, include_self)
+
+
+def _forest_in_block(dims: int, eps: float):
+    """Edges between guests and hosts within ``eps`` that connect whatever such edges connect: fewer than rows on both sides."""
+
+    def solve(guests: pa.Table, hosts: pa.Table) -> pa.Table:
+        a, b = _rows_of(guests.column("at"), dims), _rows_of(hosts.column("at"), dims)
+        part, left, right = np.arange(len(b)), [], []
+        limit = np.full(len(a), eps)
+        for s, i, j, d in _near_pairs(a, b, None, limit) if len(a) and len(b) else ():
+            i, j = i[d <= eps], j[d <= eps]
+            for of in np.split(np.arange(len(i)), np.nonzero(np.diff(i))[0] + 1):
+                if len(of):
+                    parts, at = np.unique(part[j[of]], return_index=True)
+                    left.append(np.full(len(parts), s + i[of[0]]))
+                    right.append(j[of][at])
+                    if len(parts) > 1:
+                        part[np.isin(part, parts)] = parts[0]
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": guests.column("id").take(pa.array(np.concatenate(none + left))), "b": hosts.column("id").take(pa.array(np.concatenate(none + right)))})
+
+    return solve
+
+
+def links_within(places: DataFrame, dims: int, total: int, eps: float) -> DataFrame:
+    """(a, b): ids of rows within ``eps`` of each other, no more than are needed to connect all that are.
+
+    ``places`` holds id and at. Chunks meet as in a search; each meeting gives a forest, so pairs are never listed.
+    """
+    kind = places.schema["id"].dataType.simpleString()
+    boxes, useful = grow_boxes(places, dims, total)
+    if not useful:
+        guests, hosts = _dealt(_keyed(places, dims, None), _keyed(places, dims, None), True, total, total)
+    else:
+        hosts = settle(_keyed(places, dims, boxes.find))
+        guests = settle(_trips(hosts.withColumn("radius", F.lit(float(eps))), boxes, dims, own=True))
+        guests, hosts = _dealt(guests, hosts, False, 0, 0)
+    return _meet(guests, hosts, _forest_in_block(dims, eps), f"a {kind}, b {kind}").where(F.col("a") != F.col("b"))
