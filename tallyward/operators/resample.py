@@ -12,7 +12,7 @@ from tallyward.operators.neighbours import nearest
 from tallyward.operators.prep import class_counts
 from tallyward.plans.joins import attach
 from tallyward.plans.slices import global_rank, precedes, row_at
-from tallyward.session import settle
+from tallyward.session import group_rows, settle
 
 METHODS = ("random_undersampling", "enn", "smote", "smoteenn")
 
@@ -86,7 +86,10 @@ def smote(
     pick = F.floor(hash_uniform(seed, "__r") * F.size("__near")).cast("int")
     rows = rows.withColumn("__to", F.get("__near", pick)).withColumn("__gap", hash_uniform(seed + 1, "__r"))
     ends = own.select(F.col("__id").alias("__to"), *[F.col(c).alias(f"__to_{c}") for c in coords])
-    rows = attach(settle(rows.drop("__near")), ends, ["__to"], ["__r"])  # counted, sampled and joined there
+    rows = rows.drop("__near")
+    if wanted > group_rows(df.sparkSession):
+        rows = settle(rows)  # sampled for heavy keys, then joined
+    rows = attach(rows, ends, ["__to"], ["__r"], size=wanted)
     made = rows.select(
         F.concat(F.lit("synthetic-"), F.col("__r").cast("string")).alias(id_col),
         *[(F.col(c) + F.col("__gap") * (F.col(f"__to_{c}") - F.col(c))).alias(c) for c in coords],

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyward.session import group_rows, settle
+from tallyward.plans.selection import few_group_quantiles
+from tallyward.session import group_rows, select_rows, settle
 
 MAX_SLICES = 8192
 SAMPLE_PER_SLICE = 32
@@ -308,11 +309,23 @@ def quantile_of(col: str, name: str, p: float, n: Column | None = None) -> Colum
 def quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float], size: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group, NULL values skipped.
 
-    Equal values are counted together before the shuffle, so a group as large as the table costs no
-    more than its distinct values. For many small groups, ``ranked_for`` and ``quantile_of`` save
-    that exchange.
+    Few groups of many rows are settled by counting (``plans.selection``): their values are not shuffled. Otherwise equal values are
+    counted together before the shuffle, and for many small groups ``ranked_for`` and ``quantile_of`` save that exchange.
     """
-    by = list(by)
+    by, spark = list(by), df.sparkSession
+    rows = df.count() if size is None or size > group_rows(spark) else size
+    if rows > min(select_rows(spark), group_rows(spark)):
+        selected = few_group_quantiles(df, by, col, probs, rows)
+        if selected is not None:
+            found, others = selected
+            kinds = [df.schema[c].dataType.simpleString() for c in by]
+            schema = ", ".join([*[f"{c} {t}" for c, t in zip(by, kinds)], *[f"`{n}` double" for n in probs]])
+            out = spark.createDataFrame(found, schema)
+            return out if others is None else out.unionByName(_sorted_quantiles(others, by, "__value", probs, rows))
+    return _sorted_quantiles(df, by, col, probs, size)
+
+
+def _sorted_quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, float], size: int | None) -> DataFrame:
     vals = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
     n = F.col("__n")
     ranked = running(vals, by, [col], [Over("__below_v", "sum", n, "before"), Over("__all_v", "sum", n, "group")], size, derived=True)

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 GROUP_ROWS = "spark.tallyward.groupRows"
 GROUP_ROWS_DEFAULT = 2_000_000
 
+# Rows from which the quantiles of few groups are found by counting instead of sorting.
+SELECT_ROWS = "spark.tallyward.selectRows"
+SELECT_ROWS_DEFAULT = 1_000_000
+
 # Rows a side may have to be sent to every executor; checked by counting, never assumed.
 BROADCAST_ROWS = "spark.tallyward.broadcastRows"
 BROADCAST_ROWS_DEFAULT = 500_000
@@ -48,6 +52,10 @@ def group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS, str(GROUP_ROWS_DEFAULT)))
 
 
+def select_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(SELECT_ROWS, str(SELECT_ROWS_DEFAULT)))
+
+
 def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS, str(BROADCAST_ROWS_DEFAULT)))
 
