@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from tallyward.operators.entities import device_value_stats, summarize_entity
 from tallyward.operators.features import device_features
 from tallyward.operators.splits import row_slice, time_split
+from tallyward.plans import slices
 from tallyward.plans.components import connected_components
 from tallyward.plans.joins import attach
 from tallyward.plans.slices import Over, cut_points, global_rank, quantile_of, quantiles, ranked_for, row_at, running
 from tallyward.session import GROUP_ROWS
 
 
-@pytest.fixture(params=[None, "5"])
-def limit(request, spark):
+@pytest.fixture(params=[None, "5", "two levels"])
+def limit(request, spark, monkeypatch):
+    """Groups of five rows are cut; with two levels, by three first slices and cuts of their own."""
     if request.param:
-        spark.conf.set(GROUP_ROWS, request.param)
+        spark.conf.set(GROUP_ROWS, "5")
+    if request.param == "two levels":
+        monkeypatch.setattr(slices, "MAX_SLICES", 3)
+        monkeypatch.setattr(slices, "SAMPLE_PER_SLICE", 4)
     yield request.param
     spark.conf.unset(GROUP_ROWS)
 
@@ -55,10 +60,10 @@ def test_running_values(spark, limit):
 def test_only_big_groups_are_cut(spark, limit):
     df, _ = skewed(spark)
     cuts = cut_points(df, ["k"], ["t", "id"])
-    assert bool(cuts) == bool(limit)
+    assert bool(cuts) == bool(limit) and (cuts.finer is not None) == (limit == "two levels")
     if cuts:
         assert {r[0] for r in cuts.big_keys(df).collect()} <= {"hot", None} | {f"k{i}" for i in range(20)}
-        held = df.withColumn("s", cuts.slice_of(df)).groupBy("k", "s").count().agg(F.max("count")).first()[0]
+        held = cuts.sliced(df).groupBy("k", slices._SLICE).count().agg(F.max("count")).first()[0]
         assert held < 60  # of 190 rows of the hot key
 
 
