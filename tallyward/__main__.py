@@ -13,7 +13,6 @@ import argparse
 from tallyward.operators.learn import MODELS, RiskModel, train
 from tallyward.operators.prep import Preprocessor
 from tallyward.operators.resample import METHODS
-from tallyward.operators.scoring import recent_results
 from tallyward.session import get_session
 from tallyward.sources.files import read_purchases
 from tallyward.streaming import job
@@ -63,7 +62,7 @@ def main(argv: list[str] | None = None) -> None:
         txns, labels = transaction_files(spark, a.transactions), label_files(spark, a.labels)
         job.run_stream(txns, labels, job.model_scorer(prep, model), a.out, a.checkpoint, seeds, a.delay, a.every).awaitTermination()
     elif a.command == "recent":
-        recent_results(job.results(spark, a.out), a.k).show(a.k, truncate=False)
+        job.latest(spark, a.out, a.k).show(a.k, truncate=False)
     else:
         job.record(spark, a.out, a.transaction_id).show(truncate=False)
 

@@ -2,7 +2,7 @@
 
 Transactions and labels (and, on the first start, device snapshots) are one keyed stream; every
 device owns a state row of constant size and its events are folded in the order (time, kind, id)
-within a micro-batch. Results and labels go to one append-only log, written once per micro-batch under
+within a micro-batch. Results and labels go to the log (``streaming.log``), written once per micro-batch under
 its batch id, so a repeated batch replaces itself. The mutable record of a transaction is a view: its
 result and its latest label.
 
@@ -15,20 +15,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyward.operators.features import NO_PREVIOUS_SECONDS
 from tallyward.operators.learn import RiskModel
 from tallyward.operators.prep import Preprocessor
-from tallyward.operators.scoring import latest_labels, linear_score
+from tallyward.operators.scoring import linear_score
 from tallyward.sources.schema import FEATURES
+from tallyward.streaming.log import NO_LABEL, OUTPUT, append, compact, latest, record, records, results
 from tallyward.streaming.sources import LABELLED, SEED, TXN, tagged_events
 
-BUCKETS = 64
+__all__ = ["compact", "latest", "record", "records", "results", "run_stream", "stream_features", "linear_scorer", "model_scorer"]
+
 # How long the id of an event is kept to know a repeat by.
 REPEATS_WITHIN = "1 day"
 
@@ -36,13 +37,6 @@ STATE = (
     "txn_count bigint, purchase_sum double, last_us bigint, first_us bigint, ip double, ip_mixed boolean, "
     "source string, source_mixed boolean, fraud_count bigint"
 )
-OUTPUT = (
-    "kind int, transaction_id string, device_id string, event_time timestamp, true_label int, txn_count bigint, "
-    "device_ip_consistency boolean, device_source_consistency boolean, time_setup_to_txn_seconds double, "
-    "time_since_last_device_txn double, purchase_deviation_from_device_mean double, device_lifespan double, "
-    "device_fraud_rate double"
-)
-NO_LABEL = -1  # on transaction rows, and on labels that hold nothing
 _EMPTY = (0, 0.0, None, None, None, False, None, False, 0)
 
 
@@ -155,10 +149,6 @@ def model_scorer(prep: Preprocessor, model: RiskModel) -> Scorer:
     return apply
 
 
-def _bucket(c: str = "transaction_id"):
-    return F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(BUCKETS)).cast("int")
-
-
 def _run_of(batch: DataFrame) -> str:
     """The id kept in the stream's checkpoint: the same after a restart, another one for a new checkpoint."""
     run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
@@ -168,21 +158,7 @@ def _run_of(batch: DataFrame) -> str:
 
 
 def write_batch(batch: DataFrame, batch_id: int, path: str, scorer: Scorer) -> None:
-    """Write a micro-batch under its checkpoint's id and its own: only its own repeat replaces it."""
-    run = _run_of(batch)
-    scored = scorer(batch)
-    on_txn = F.col("kind") == TXN
-    out = scored.withColumns(
-        {
-            "predicted_class": F.when(on_txn, F.col("predicted_class")),
-            "fraud_probability": F.when(on_txn, F.col("fraud_probability")),
-            "true_label": F.nullif("true_label", F.lit(NO_LABEL)),
-            **{f: F.when(on_txn, F.col(f)) for f in FEATURES},
-            "bucket": _bucket(),
-        }
-    )
-    # Rows of one bucket meet in one writer: a bounded number of files per micro-batch.
-    out.repartition("kind", "bucket").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{path}/log/run={run}/batch={batch_id}")
+    append(scorer(batch), _run_of(batch), batch_id, path)
 
 
 def run_stream(
@@ -204,46 +180,3 @@ def run_stream(
     writer = feats.writeStream.foreachBatch(lambda b, i: write_batch(b, i, path, scorer)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
-
-
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    extra = [T.StructField("predicted_class", T.IntegerType()), T.StructField("fraud_probability", T.DoubleType())]
-    parts = [T.StructField(c, T.IntegerType()) for c in ("kind", "bucket")] + [T.StructField("batch", T.LongType()), T.StructField("run", T.StringType())]
-    body = [f for f in T.StructType.fromDDL(OUTPUT).fields if f.name != "kind"]
-    return spark.read.schema(T.StructType(body + extra + parts)).parquet(f"{path}/log").drop("run")
-
-
-def results(spark: SparkSession, path: str) -> DataFrame:
-    """The immutable result events."""
-    log = read_log(spark, path).where(F.col("kind") == TXN)
-    return log.withColumn("purchase_time", F.col("event_time")).drop("kind", "true_label", "event_time")
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """One record per transaction: its result and its latest label, NULL until one arrives."""
-    log = read_log(spark, path)
-    labels = log.where(F.col("kind") == LABELLED).select(
-        "transaction_id", F.col("true_label").alias("is_fraud"), F.col("event_time").alias("arrival_time")
-    )
-    return results(spark, path).join(latest_labels(labels), "transaction_id", "left")
-
-
-def record(spark: SparkSession, path: str, transaction_id: str) -> DataFrame:
-    """The record of one transaction, read from its bucket only; no rows when there is none."""
-    bucket = spark.range(1).select(_bucket_of(transaction_id).alias("b")).first()["b"]
-    log = read_log(spark, path).where((F.col("bucket") == bucket) & (F.col("transaction_id") == transaction_id))
-    labels = log.where(F.col("kind") == LABELLED).select(
-        "transaction_id", F.col("true_label").alias("is_fraud"), F.col("event_time").alias("arrival_time")
-    )
-    found = log.where(F.col("kind") == TXN).withColumn("purchase_time", F.col("event_time")).drop("kind", "true_label", "event_time")
-    return found.join(latest_labels(labels), "transaction_id", "left")
-
-
-def _bucket_of(transaction_id: str):
-    return F.pmod(F.xxhash64(F.lit(transaction_id)), F.lit(BUCKETS)).cast("int")
-
-
-def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrite the records as one table by bucket, for a log of many small batches."""
-    out = records(spark, path).drop("batch").withColumn("bucket", _bucket())
-    out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)

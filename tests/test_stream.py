@@ -66,8 +66,8 @@ def test_one_transaction_then_its_label(make, spark, tmp_path):
     rec = job.record(spark, f"{tmp_path}/out", "t2").first()
     assert (rec["txn_count"], rec["device_fraud_rate"], rec["purchase_deviation_from_device_mean"]) == (2, 0.5, 50.0)
     assert job.record(spark, f"{tmp_path}/out", "none").count() == 0
-    job.compact(spark, f"{tmp_path}/out", f"{tmp_path}/compact")
-    assert rows_by(spark.read.parquet(f"{tmp_path}/compact"), "transaction_id", "true_label") == {"t1": 1, "t2": None}
+    job.compact(spark, f"{tmp_path}/out")
+    assert rows_by(job.records(spark, f"{tmp_path}/out"), "transaction_id", "true_label") == {"t1": 1, "t2": None}
 
 
 def test_stream_equals_windows_over_restarts(make, spark, tmp_path):
