@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallyward.catalog.bindings import QUERIES, SQL
 
-for _part in ("history", "profiling", "enriching", "modelling", "learning", "online"):
+for _part in ("history", "profiling", "enriching", "modelling", "learning", "online", "storage"):
     import_module(f"tallyward.catalog.{_part}")
 
 

@@ -154,7 +154,7 @@ def _state_shown(state, *more):
 @query("device_state_snapshot", f"WITH {E} {_STATE_SQL}, {_SETS_SQL}, CAST(0 AS BIGINT) AS fraud_count FROM e GROUP BY device_id")
 def device_state_snapshot(spark, sf):
     txns = events(spark, sf)
-    state = ft.device_sets(txns, ft.device_state(txns)).withColumn("sources", F.to_json("sources"))
+    state = ft.device_sets(txns, ft.device_state(txns)).where("part = 0").withColumn("sources", F.to_json("sources"))
     return _state_shown(state, "ip_count", "source_count", "sources")
 
 

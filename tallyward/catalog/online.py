@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.catalog.bindings import SQL, query, rounded, table
 from tallyward.catalog.history import DOUBLES, INTERCEPT, WEIGHTS
+from tallyward.operators.features import device_state
 from tallyward.operators.scoring import linear_score
 from tallyward.session import checkpoint_dir
 from tallyward.sources.schema import FEATURES
@@ -168,6 +171,68 @@ def stream_new_checkpoint(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("results"))
 
 
+# Features and the label of every event; the last third by time of the same.
+_LABELLED = f"SELECT f.*, CAST(event_type = 'error' AS INTEGER) AS true_label FROM ({SQL['device_features_online']}) f JOIN events ON event_id = f.transaction_id"
+_LAST = f"""WITH b AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events)
+SELECT f.* FROM ({SQL['device_features_online']}) f JOIN events ON event_id = f.transaction_id, b
+WHERE floor((epoch_us(ts) - low) * {SLICES} / (high - low + 1)) >= {SLICES - 1}"""
+
+
+def _delivered(spark, sf, base, compacted):
+    """One delivery after the other, the log compacted after some of them."""
+    for i, part in enumerate(_slices(spark, sf)):
+        _deliver(part, f"{base}/events")
+        stream = file_stream(spark, f"{base}/events", table(spark, sf, "events").schema)
+        _score(_transactions(stream), _labels(stream), base)
+        if i in compacted:
+            job.compact(spark, base, readers=False)
+
+
+@query("stream_compacted", _LABELLED)
+def stream_compacted(spark, sf):
+    """Records of a base that two compactions made, and of the batches since; compacted batches are gone."""
+    base = _new_folder(spark)
+    _delivered(spark, sf, base, (0, 1))
+    out = job.records(spark, base).withColumn("transaction_id", F.col("transaction_id").cast("long"))
+    return rounded(out.select("transaction_id", "true_label", *FEATURES), *DOUBLES)
+
+
+@query(
+    "stream_latest",
+    f"SELECT f.*, epoch_us(ts) AS purchase_us FROM ({SQL['device_features_online']}) f JOIN events ON event_id = f.transaction_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC LIMIT 100",
+)
+def stream_latest(spark, sf):
+    """The 100 newest results, from the manifest's newest batches and the base's recent results."""
+    base = _new_folder(spark)
+    _delivered(spark, sf, base, (1,))
+    out = job.latest(spark, base, 100).withColumn("purchase_us", F.unix_micros("purchase_time"))
+    return rounded(out.withColumn("transaction_id", F.col("transaction_id").cast("long")).select("transaction_id", "purchase_us", *FEATURES), *DOUBLES)
+
+
+@query("stream_record_by_id", f"SELECT * FROM ({_LABELLED}) WHERE transaction_id = (SELECT max(event_id) FROM events)")
+def stream_record_by_id(spark, sf):
+    """The record of the largest id, from its bucket of the base and the batches since."""
+    base = _new_folder(spark)
+    _delivered(spark, sf, base, (1,))
+    newest = table(spark, sf, "events").agg(F.max("event_id").cast("string")).first()[0]
+    out = job.record(spark, base, newest).withColumn("transaction_id", F.col("transaction_id").cast("long"))
+    return rounded(out.select("transaction_id", "true_label", *FEATURES), *DOUBLES)
+
+
+@query("stream_seeded", _LAST)
+def stream_seeded(spark, sf):
+    """The snapshot of older events, written and read as the stream's first rows, and the newest events: as if all had been streamed."""
+    base, (*old, new) = _new_folder(spark), _slices(spark, sf)
+    old = reduce(DataFrame.unionByName, old)
+    txns, labels = _transactions(old), _labels(old)
+    device_state(txns, labels).write.parquet(f"{base}/seeds")
+    seeds = file_stream(spark, f"{base}/seeds", spark.read.parquet(f"{base}/seeds").schema, limit=None)
+    _deliver(new, f"{base}/events")
+    stream = file_stream(spark, f"{base}/events", table(spark, sf, "events").schema)
+    job.run_stream(_transactions(stream), _labels(stream), job.linear_scorer(WEIGHTS, INTERCEPT), base, f"{base}/checkpoint", seeds).awaitTermination()
+    return _features(spark, base)
+
+
 @query("stream_records", "SELECT event_id AS transaction_id, CAST(event_type = 'error' AS INTEGER) AS true_label FROM events")
 def stream_records(spark, sf):
     out = job.records(spark, run_events(spark, sf))

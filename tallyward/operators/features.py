@@ -144,20 +144,35 @@ def device_members(txns: DataFrame, col: str) -> DataFrame:
 
 
 def device_sets(txns: DataFrame, state: DataFrame, limit: int = 1000) -> DataFrame:
-    """``state`` with the size of its sets, and as arrays (the export form) those of up to ``limit`` members.
+    """``state`` with its sets as sorted arrays (the export form) and their sizes, in parts of up to ``limit`` members a set.
 
-    A larger set stays NULL here and is read from ``device_members``, which is complete.
+    Almost every device has part 0 only. A larger set goes on in parts 1, 2 ...; each part repeats the device's other values, and
+    has an empty array for a set that has ended. Together the parts hold all members, whatever their number.
     """
+    parts = None
     for c, name, count in (("ip_address", "ip_addresses", "ip_count"), ("source", "sources", "source_count")):
-        members = device_members(txns, c)
-        counts = members.groupBy("device_id").agg(F.count(F.lit(1)).alias(count))
-        arrays = (
-            members.join(counts.where(F.col(count) <= limit).select("device_id"), "device_id", "left_semi")
-            .groupBy("device_id")
-            .agg(F.array_sort(F.collect_list(c)).alias(name))
-        )
-        state = state.join(counts, "device_id", "left").join(arrays, "device_id", "left")
-    return state
+        values = [Over("__place", "count", F.lit(1), "before"), Over(count, "count", F.lit(1), "group")]
+        members = running(device_members(txns, c), ["device_id"], [c], values, derived=True)
+        arrays = members.groupBy("device_id", F.floor(F.col("__place") / limit).cast("int").alias("part")).agg(F.array_sort(F.collect_list(c)).alias(name), F.max(count).alias(count))
+        state = state.join(arrays.where("part = 0").select("device_id", count), "device_id", "left")
+        arrays = arrays.drop(count)
+        parts = arrays if parts is None else parts.join(arrays, ["device_id", "part"], "full")
+    empty = {"ip_addresses": dict(txns.dtypes)["ip_address"], "sources": dict(txns.dtypes)["source"]}
+    parts = parts.withColumns({n: F.coalesce(n, F.array().cast(f"array<{t}>")) for n, t in empty.items()})
+    return state.join(parts, "device_id")
+
+
+def device_set_sketches(txns: DataFrame, precision: int = 12) -> DataFrame:
+    """Mergeable sketches of the devices' sets: sizes of unions over days or shards, within about two percent, without the members."""
+    return txns.groupBy("device_id").agg(
+        F.hll_sketch_agg(F.col("ip_address").cast("string"), precision).alias("ip_sketch"), F.hll_sketch_agg("source", precision).alias("source_sketch")
+    )
+
+
+def merged_set_sizes(sketches: DataFrame) -> DataFrame:
+    """Estimated sizes of each device's sets over all its sketches."""
+    sizes = [F.hll_sketch_estimate(F.hll_union_agg(f"{n}_sketch")).alias(f"{n}_count") for n in ("ip", "source")]
+    return sketches.groupBy("device_id").agg(*sizes)
 
 
 def purchase_gap(txns: DataFrame, key: str = "device_id", within_day: bool = False, name: str | None = None, size: int | None = None) -> DataFrame:

@@ -62,7 +62,7 @@ def result_events(scored: DataFrame) -> DataFrame:
 
 
 def encode_state(state: DataFrame) -> DataFrame:
-    """Device state as text columns: sets as sorted JSON arrays, times as ISO text."""
+    """Device state as text columns: sets as sorted JSON arrays, times as ISO text; a row for each part of a device's sets."""
     return state.withColumns(
         {
             "last_transaction": iso(F.col("last_transaction")),
@@ -75,8 +75,10 @@ def encode_state(state: DataFrame) -> DataFrame:
 
 def decode_state(text: DataFrame) -> DataFrame:
     """Inverse of ``encode_state``; a missing field is the state of an unseen device."""
+    part = [F.coalesce("part", F.lit(0)).alias("part")] if "part" in text.columns else []
     return text.select(
         "device_id",
+        *part,
         F.coalesce(F.col("txn_count").cast("long"), F.lit(0)).alias("txn_count"),
         F.coalesce(F.col("purchase_sum").cast("double"), F.lit(0.0)).alias("purchase_sum"),
         F.to_timestamp("last_transaction").alias("last_transaction"),

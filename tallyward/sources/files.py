@@ -29,6 +29,11 @@ def read_ip_ranges(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, IP_RANGE)
 
 
+def parse_times(df: DataFrame, *cols: str) -> DataFrame:
+    """Text to time in the named columns."""
+    return df.withColumns({c: F.to_timestamp(c) for c in cols})
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store its path names; no error where there is none."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
