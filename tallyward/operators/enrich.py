@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ def overlapping_ranges(ranges: DataFrame, size: int | None = None) -> DataFrame:
 def ip_to_country(txns: DataFrame, ranges: DataFrame, method: str = "auto", ip: str = "ip_address", size: int | None = None) -> DataFrame:
     """Country of the range that holds the IP, bounds included; NULL where none does.
 
-    "broadcast"  every row against every range, for a handful of ranges only;
+    "broadcast"  ranges, which may nest and overlap, are cut into elementary intervals; an address finds its own by binary search in
+                 their sorted starts, one array for all rows, and its countries by an equi-join with that place;
     "bucketed"   ranges are repeated for each bucket of the address line they touch, then an equi-join
                  on the bucket; the bucket table is broadcast when its count allows;
     "sorted"     addresses and ranges are walked together in order and each address remembers the last
@@ -52,22 +56,56 @@ def ip_to_country(txns: DataFrame, ranges: DataFrame, method: str = "auto", ip:
     if method == "broadcast":
         if not fits_broadcast(ranges):
             raise ValueError("too many ranges to broadcast; use 'bucketed' or 'sorted'")
-        r = ranges.select("lower", "upper", "country")
-        return txns.join(F.broadcast(r), F.col(ip).between(F.col("lower"), F.col("upper")), "left").select(*txns.columns, "country")
+        return _searched(txns, ranges, ip)
     if method == "bucketed":
         width = _bucket_width(ranges)
         touched = F.sequence(F.floor(F.col("lower") / width), F.floor(F.col("upper") / width))
-        r = ranges.select("lower", "upper", "country", F.explode(touched).alias("__bucket"))
-        if fits_broadcast(r):
-            r = F.broadcast(r)
+        r = ranges.select(F.explode(touched).alias("__at"), F.struct("lower", "upper", "country").alias("r"))
+        r = r.groupBy("__at").agg(F.collect_list("r").alias("__ranges"))  # a row for each bucket, about one range in each
         rows = txns.withColumn("__at", F.floor(F.col(ip) / width))
-        on = (F.col("__at") == F.col("__bucket")) & F.col(ip).between(F.col("lower"), F.col("upper"))
-        return rows.join(r, on, "left").select(*txns.columns, "country")
+        small = fits_broadcast(r)
+        met = rows.join(F.broadcast(r), "__at", "left") if small else attach(rows, r, ["__at"], [_ID], size=size)
+        held = F.filter("__ranges", lambda x: F.col(ip).between(x["lower"], x["upper"]))
+        return met.select(*txns.columns, F.explode_outer(F.transform(held, lambda x: x["country"])).alias("country"))
     if method == "sorted":
         return _walk(txns, ranges, ip, size)
     raise ValueError("method must be auto, broadcast, bucketed or sorted")
 
 
+def _elementary(ranges: list[tuple[float, float, str]]) -> tuple[list[float], list[list[str]]]:
+    """Starts of the intervals in which the same ranges hold, and their countries; an interval ends where the next one starts."""
+    edges = sorted([(low, i, True) for i, (low, _, _) in enumerate(ranges)] + [(math.nextafter(high, math.inf), i, False) for i, (_, high, _) in enumerate(ranges)])
+    starts, held, active = [], [], {}
+    for at, group in groupby(edges, key=lambda e: e[0]):
+        for _, i, opens in group:
+            if opens:
+                active[i] = ranges[i][2]
+            else:
+                active.pop(i, None)
+        starts.append(at)
+        held.append(list(active.values()))
+    return starts, held
+
+
+def _searched(txns: DataFrame, ranges: DataFrame, ip: str) -> DataFrame:
+    spark = txns.sparkSession
+    rows = ranges.select(F.col("lower").cast("double"), F.col("upper").cast("double"), "country").where("lower <= upper").collect()  # counted before
+    starts, held = _elementary([tuple(r) for r in rows])
+    if sum(map(len, held)) > 4 * broadcast_rows(spark):
+        raise ValueError("ranges nest too deeply to be laid out; use 'bucketed' or 'sorted'")
+    edges = np.array(starts)
+
+    @F.pandas_udf("int")
+    def interval(at: pd.Series) -> pd.Series:
+        found = np.searchsorted(edges, at.to_numpy(float), side="right")
+        return pd.Series(np.where(at.isna(), 0, found).astype(np.int32))
+
+    table = [(i + 1, c) for i, countries in enumerate(held) for c in countries]
+    table = F.broadcast(spark.createDataFrame(table, "__interval int, country string"))
+    rows = txns.withColumn("__interval", interval(F.col(ip).cast("double")))
+    return rows.join(table, "__interval", "left").select(*txns.columns, "country")
+
+
 def _too_many(ranges: DataFrame) -> bool:
     """More bucket rows than may be broadcast, or buckets so full that an address meets many ranges."""
     if not fits_broadcast(ranges):

@@ -47,7 +47,7 @@ def _sortable(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def _search(cuts: Column, row: Column, most: int) -> Column:
+def search_sorted(cuts: Column, row: Column, most: int) -> Column:
     """How many of at most ``most`` sorted cuts are at or below the row."""
     strides = [2**i for i in reversed(range(max(1, most.bit_length())))]
     size = F.size(cuts)
@@ -83,7 +83,7 @@ class Cuts:
         names = [f"c{i}" for i in range(len(self.types))]
         schema = "array<struct<" + ",".join(f"{n}:{t}" for n, t in zip(names, self.types)) + ">>"
         text = json.dumps([dict(zip(names, p)) for p in self.points], default=str)
-        return _search(F.from_json(F.lit(text), schema), self._row(df), len(self.points))  # folded to one literal array
+        return search_sorted(F.from_json(F.lit(text), schema), self._row(df), len(self.points))  # folded to one literal array
 
     def sliced(self, df: DataFrame) -> DataFrame:
         """``df`` with the number of each row's slice."""
@@ -93,7 +93,7 @@ class Cuts:
             return df.withColumn(_SLICE, self._first(df).cast("long"))
         table = self.finer if self.finer.count() > broadcast_rows(df.sparkSession) else F.broadcast(self.finer)  # a row for each first slice
         rows = df.withColumn("__row", self._row(df)).withColumn("__first", self._first(df)).join(table, "__first", "left")
-        place = F.coalesce(_search(F.col("__cuts"), F.col("__row"), self.most_finer), F.lit(0))
+        place = F.coalesce(search_sorted(F.col("__cuts"), F.col("__row"), self.most_finer), F.lit(0))
         return rows.select(*df.columns, (F.col("__first").cast("long") * FINER + place).alias(_SLICE))
 
     def big_keys(self, df: DataFrame) -> DataFrame:

@@ -138,3 +138,31 @@ def test_small_helpers(spark):
         profile.sum_by_class(df, "missing")
     assert profile.preview(df, 1).count() == 1
     assert rows_by(profile.schema_table(df), "name", "type")["age_n"] == "int"
+
+
+def test_nested_and_overlapping_ranges(make, spark, capsys):
+    """Every range that holds the address counts; no plan compares each address with each range."""
+    rnd = __import__("random").Random(3)
+    held = [(float(a := rnd.randrange(60)), float(a + rnd.randrange(12)), f"c{i}") for i in range(40)] + [(5.0, 50.0, "wide"), (20.0, 20.0, "one"), (9.5, 9.25, "empty")]
+    r = spark.createDataFrame(held, "lower double, upper double, country string")
+    ips = [None if i % 11 == 0 else rnd.choice([20.0, rnd.randrange(80) / 2, -1.0, 75.25]) for i in range(90)]
+    txns = make([(i, "d", i, 1.0, "web", ip, 0) for i, ip in enumerate(ips)])
+    want = sorted((str(i), c) for i, ip in enumerate(ips) for c in ([c for lo, hi, c in held if ip is not None and lo <= ip <= hi] or [""]))
+    for method in ("broadcast", "bucketed"):
+        out = ip_to_country(txns, r.where("lower <= upper"), method)
+        assert sorted((x["transaction_id"], x["country"] or "") for x in out.collect()) == want
+        out.explain()
+        assert "NestedLoop" not in capsys.readouterr().out
+
+
+def test_full_buckets_are_salted(make, spark, tiny_groups):
+    from tallyward.session import BROADCAST_ROWS
+
+    spark.conf.set(BROADCAST_ROWS, "2")
+    try:
+        r = spark.createDataFrame([(10.0 * i, 10.0 * i + 6, f"c{i}") for i in range(8)], "lower double, upper double, country string")
+        txns = make([(i, "d", i, 1.0, "web", 33.0 if i % 3 else float(i), 0) for i in range(90)])
+        want = {str(i): (lambda ip: f"c{int(ip // 10)}" if ip % 10 <= 6 and ip < 80 else None)(33.0 if i % 3 else float(i)) for i in range(90)}
+        assert rows_by(ip_to_country(txns, r, "bucketed"), "transaction_id", "country") == want
+    finally:
+        spark.conf.unset(BROADCAST_ROWS)

@@ -214,6 +214,24 @@ def test_training_run(make, spark, tmp_path):
     assert rows_by(parity.report, "label", "support")["accuracy"] == 21
 
 
+@pytest.mark.parametrize("most", [256, 1])
+def test_densities_of_arrays_and_rows_agree_with_numpy(spark, monkeypatch, most):
+    monkeypatch.setattr(stats, "ARRAY_GROUPS", most)
+    r = np.random.default_rng(2)
+    data = [(str(i % 3), float(x)) for i, x in enumerate(r.lognormal(0, 1, 400))] + [("flat", 2.0)] * 5 + [(None, 1.0), ("0", None)]
+    got = {}
+    for x in stats.kde(spark.createDataFrame(data, "k string, v double").repartition(5), "v", "k", points=30).collect():
+        got.setdefault(x["k"], {})[x["i"]] = (x["x"], x["density"])
+    assert set(got) == {"0", "1", "2"}
+    total = sum(k is not None and v is not None for k, v in data)
+    for k, curve in got.items():
+        own = np.array([v for g, v in data if g == k and v is not None])
+        h = own.std(ddof=1) * len(own) ** -0.2
+        x = own.min() - 3 * h + np.arange(30) * (own.max() - own.min() + 6 * h) / 29
+        want = np.exp(-0.5 * ((x[:, None] - own) / h) ** 2).sum(axis=1) / (h * np.sqrt(2 * np.pi)) / total
+        assert [curve[i][0] for i in range(30)] == pytest.approx(x.tolist()) and [curve[i][1] for i in range(30)] == pytest.approx(want.tolist())
+
+
 def test_drop_duplicates(make):
     df = make([(1, "d", 0, 1.0, "web", 5, 0), (1, "d", 0, 1.0, "web", 5, 0), (2, "d", 0, 1.0, "web", 5, 0)])
     assert drop_duplicates(df).count() == 2
