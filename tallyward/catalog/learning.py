@@ -81,15 +81,6 @@ def _customers(spark, sf):
     return rows.withColumn("purchase_value", F.col("purchase_value").cast("double"))
 
 
-@query("kmeans_profile")
-def kmeans_profile(spark, sf):
-    rows = _customers(spark, sf)
-    inputs, names = cluster.cluster_inputs(rows)
-    groups = cluster.kmeans(settle(inputs), names).select("transaction_id", "customer_group")
-    shown = rows.withColumn("is_male", (F.col("sex") == "M").cast("int")).join(groups, "transaction_id")
-    return rounded(cluster.cluster_profile(shown, ["purchase_value", "age", "gdp", "is_male"]), "purchase_value", "age", "gdp", "is_male")
-
-
 # All orders on their scaled inputs; clusters by keeping, for each core row, the least id that has reached it.
 _CUSTOMERS = f"""{O}, {GDP},
 i AS (SELECT transaction_id AS id, CAST(age AS DOUBLE) AS age, CAST(purchase_value AS DOUBLE) AS value, coalesce(g.gdp, (SELECT avg(gdp) FROM gdp)) AS gdp,
@@ -123,11 +114,53 @@ def dbscan_customers(spark, sf):
     return cluster.dbscan(inputs, names, cluster.dbscan_eps(inputs, names, id_col="transaction_id"), id_col="transaction_id").select("transaction_id", "cluster")
 
 
-@query("silhouette")
+CENTRES, ROUNDS = 16, 8
+
+
+def _groups_sql() -> str:
+    """Rounds of k-means from the first rows; g holds the group of every row."""
+    far = " + ".join(f"power(p.{c} - c.{c}, 2)" for c in _INPUTS)
+    place = f"SELECT p.*, k FROM p JOIN (SELECT p.id, arg_min(k, {{'d': {far}, 'k': k}}) AS k FROM p, c{{0}} c GROUP BY p.id) n USING (id)"
+    parts = [f"c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, * FROM p QUALIFY k < {CENTRES})"]
+    for r in range(1, ROUNDS + 1):
+        means = ", ".join(f"coalesce(avg(a.{c}), any_value(c.{c})) AS {c}" for c in _INPUTS)
+        parts.append(f"a{r} AS MATERIALIZED ({place.replace('{0}', str(r - 1))}), c{r} AS MATERIALIZED (SELECT c.k, {means} FROM c{r - 1} c LEFT JOIN a{r} a ON a.k = c.k GROUP BY c.k)")
+    return ", ".join(parts) + f", g AS MATERIALIZED ({place.replace('{0}', str(ROUNDS))})"
+
+
+def _groups(spark, sf):
+    rows = _customers(spark, sf)
+    inputs, names = cluster.cluster_inputs(rows)
+    inputs = settle(inputs)
+    start = [tuple(r) for r in inputs.orderBy("transaction_id").limit(CENTRES).select(*names).collect()]
+    return rows, cluster.kmeans(inputs, names, start=start, rounds=ROUNDS), names
+
+
+@query(
+    "kmeans_profile",
+    f"""WITH {_CUSTOMERS}, {_groups_sql()}
+SELECT CAST(k AS INTEGER) AS customer_group, {r6('purchase_value=avg(value)', 'age=avg(age)', 'gdp=avg(gdp)', 'is_male=avg(i.x3)')} FROM g JOIN i USING (id) GROUP BY k""",
+)
+def kmeans_profile(spark, sf):
+    """Sixteen groups of all orders from fixed centres, and what their members are like."""
+    rows, groups, _ = _groups(spark, sf)
+    shown = rows.withColumn("is_male", (F.col("sex") == "M").cast("int")).join(groups.select("transaction_id", "customer_group"), "transaction_id")
+    return rounded(cluster.cluster_profile(shown, ["purchase_value", "age", "gdp", "is_male"]), "purchase_value", "age", "gdp", "is_male")
+
+
+@query(
+    "silhouette",
+    f"""WITH {_CUSTOMERS}, {_groups_sql()}, n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+f AS (SELECT a.id, a.k AS own, b.k AS other, avg({_near(_INPUTS)} * {_near(_INPUTS)}) AS far FROM g a, g b GROUP BY ALL),
+s AS (SELECT f.id, max(far) FILTER (own = other) * any_value(n.n) / nullif(any_value(n.n) - 1, 0) AS a, min(far) FILTER (own <> other) AS b, any_value(n.n) AS n
+      FROM f JOIN n ON n.k = f.own GROUP BY f.id)
+SELECT count(*) AS rows, round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""",
+)
 def silhouette(spark, sf):
-    rows = points(spark, sf)
-    score = cluster.silhouette(settle(cluster.kmeans(rows, COORDS, 10)), COORDS)
-    return rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("silhouette", F.round(F.lit(score), 6))
+    """Mean silhouette, with squared distances, of those groups; the SQL goes over all pairs."""
+    _, groups, names = _groups(spark, sf)
+    score = cluster.silhouette(settle(groups), names)
+    return groups.agg(F.count(F.lit(1)).alias("rows")).withColumn("silhouette", F.round(F.lit(score), 6))
 
 
 @query("pca2")
@@ -184,3 +217,57 @@ def training_report(spark, sf):
     n = size_of(spark, sf, "events")
     run = learn.train(events(spark, sf), "random_undersampling", params=params, initial_rows=None, labels="immediate", size=n)
     return rounded(run.report, "precision", "recall", "f1")
+
+
+# The date of an order tells its status; Newton's steps to the optimum that the classifier also seeks.
+_PENALTY = {"C": 0.001, "penalty": "l2", "max_iter": 500, "tol": 1e-14}
+_DAYS = f"""{O}, x AS (SELECT transaction_id, is_fraud AS y, CAST(date_diff('day', DATE '1990-01-01', CAST(purchase_time AS DATE)) AS DOUBLE) AS days FROM o),
+m AS (SELECT avg(days) AS mean, stddev_pop(days) AS sd FROM x), p AS (SELECT transaction_id, y, (days - mean) / sd AS x FROM x, m),
+w(n, b, c) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT n + 1, b - (hcc * gb - hbc * gc) / (hbb * hcc - hbc * hbc), c - (hbb * gc - hbc * gb) / (hbb * hcc - hbc * hbc) FROM (
+    SELECT n, any_value(b) AS b, any_value(c) AS c, sum(q - y) AS gb, sum((q - y) * x) + any_value(c) / {_PENALTY['C']} AS gc,
+           sum(q * (1 - q)) AS hbb, sum(q * (1 - q) * x) AS hbc, sum(q * (1 - q) * x * x) + 1 / {_PENALTY['C']} AS hcc
+    FROM (SELECT n, b, c, x, y, 1 / (1 + exp(-(b + c * x))) AS q FROM w, p WHERE n < 20) GROUP BY n)),
+best AS (SELECT b, c FROM w WHERE n = 20)"""
+
+
+def _of_days(spark, sf):
+    rows = orders(spark, sf).select("transaction_id", "is_fraud", F.date_diff(F.to_date("purchase_time"), F.lit("1990-01-01").cast("date")).cast("double").alias("days"))
+    ready = settle(Preprocessor().fit_transform(rows))
+    return ready, learn.RiskModel("logistic_regression", None, _PENALTY).fit(ready, ["days"])
+
+
+@query("logistic_coefficients", f"WITH RECURSIVE {_DAYS} SELECT 'days' AS feature, {r6('coefficient@5=c')}, {r6('intercept@5=b')} FROM best")
+def logistic_coefficients(spark, sf):
+    """The importance table of a classifier of all orders, and its intercept."""
+    _, model = _of_days(spark, sf)
+    return rounded(model.importance(spark).withColumn("intercept", F.lit(model.coefficients()[1])), "coefficient", "intercept", places=5)
+
+
+@query("logistic_classes", f"WITH RECURSIVE {_DAYS} SELECT transaction_id, y AS is_fraud, CASE WHEN b + c * x > 0 THEN 1 ELSE 0 END AS predicted_class FROM p, best")
+def logistic_classes(spark, sf):
+    ready, model = _of_days(spark, sf)
+    return model.predict(ready).select("transaction_id", "is_fraud", "predicted_class")
+
+
+def _register_separable():
+    """Where one input tells the classes apart, every classifier must find it."""
+    for name, kind, params in (
+        ("random_forest", "random_forest", {"n_estimators": 10, "max_depth": 4}),
+        ("boosted_trees", "boosted_trees", {"n_estimators": 5, "max_depth": 2}),
+        ("svc", "svc", {"C": 1, "max_iter": 100}),
+    ):
+
+        def run(spark, sf, kind=kind, params=params):
+            noise = F.pmod(F.xxhash64("transaction_id"), F.lit(97)).cast("double")
+            rows = events(spark, sf).select("transaction_id", "is_fraud", (noise + 200 * F.col("is_fraud")).alias("telling"), noise.alias("idle"))
+            ready = settle(Preprocessor().fit_transform(rows))
+            model = learn.RiskModel(kind, "random_undersampling", params).fit(ready, ["telling", "idle"])
+            return model.predict(ready).select("transaction_id", "predicted_class")
+
+        query(f"separable_{name}", "SELECT event_id AS transaction_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS predicted_class FROM events")(run)
+
+
+_register_separable()

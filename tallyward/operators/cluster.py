@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.columns import ratio
@@ -33,12 +34,36 @@ def _assembled(df: DataFrame, features: Sequence[str], out: str = "features") ->
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 
 
-def kmeans(df: DataFrame, features: Sequence[str], k: int = 16, seed: int = 42, name: str = "customer_group") -> DataFrame:
+def kmeans(
+    df: DataFrame, features: Sequence[str], k: int = 16, seed: int = 42, name: str = "customer_group", start: Sequence[Sequence[float]] | None = None, rounds: int = 50
+) -> DataFrame:
+    """Groups by Spark ML from seeded centres, or, where ``start`` gives the centres, by up to ``rounds`` repeatable rounds from those."""
+    if start is not None:
+        return _from_centres(df, list(features), start, rounds, name)
     model = KMeans(k=k, seed=seed, initMode="k-means||", predictionCol=name)
     rows = _assembled(df, features)
     return model.fit(rows).transform(rows).drop("features")
 
 
+def _nearest_centre(features: list[str], centres: list[tuple[float, ...]]) -> Column:
+    far = F.array(*[reduce(lambda a, b: a + b, [(F.col(f) - v) * (F.col(f) - v) for f, v in zip(features, c)]) for c in centres])
+    return (F.array_position(far, F.array_min(far)) - 1).cast("int")
+
+
+def _from_centres(df: DataFrame, features: list[str], start: Sequence[Sequence[float]], rounds: int, name: str) -> DataFrame:
+    """Rows go to the nearest centre, the lower number for ties; centres move to the mean of their rows, those without rows stay."""
+    centres = [tuple(map(float, c)) for c in start]
+    for _ in range(rounds):
+        means = df.groupBy(_nearest_centre(features, centres).alias("g")).agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)])
+        found = {r["g"]: tuple(r)[1:] for r in means.collect()}  # a row for each centre
+        moved = [found.get(g, c) for g, c in enumerate(centres)]
+        still = max(abs(a - b) for x, y in zip(moved, centres) for a, b in zip(x, y)) < 1e-12
+        centres = moved
+        if still:
+            break
+    return df.withColumn(name, _nearest_centre(features, centres))
+
+
 def silhouette(df: DataFrame, features: Sequence[str], cluster: str = "customer_group") -> float:
     """Mean silhouette with squared distances, which needs cluster sums only and no pairs of rows."""
     rows = _assembled(df, features).withColumn(cluster, F.col(cluster).cast("double"))

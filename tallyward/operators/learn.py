@@ -72,7 +72,7 @@ def _kind(model: str) -> str:
         return "logistic_regression"
     model = {"xgboost": "boosted_trees", "gbt": "boosted_trees"}.get(model, model)
     if model not in MODELS:
-        raise ValueError(f"Unknown model type: {model}; one of {MODELS}")
+        raise ValueError(f"no classifier {model!r}: choose one of {MODELS}")
     return model
 
 
@@ -89,6 +89,7 @@ def estimator(model: str, params: dict, rows: int, features: int, label: str = "
             regParam=1.0 / (params.get("C", 1.0) * max(rows, 1)),
             elasticNetParam=1.0 if params.get("penalty", "l2") == "l1" else 0.0,
             maxIter=params.get("max_iter", 100),
+            tol=params.get("tol", 1e-6),
             standardization=False,
         )
     if model == "svc":

@@ -112,4 +112,4 @@ def resample(df: DataFrame, method: str, coords: Sequence[str], label: str = "is
         return smote(df, coords, 5, label, id_col, seed)
     if method == "smoteenn":
         return smote_enn(df, coords, 5, 3, label, id_col, seed)
-    raise ValueError(f"Unknown resampling method: {method}; one of {METHODS}")
+    raise ValueError(f"no resampling {method!r}: choose one of {METHODS}")
