@@ -168,6 +168,39 @@ def pca2(spark, sf):
     return rounded(cluster.pca2(points(spark, sf), COORDS).select("id", "pc1", "pc2"), "pc1", "pc2")
 
 
+def _component_sql() -> str:
+    """Components v1 and v2 by squaring the covariance matrix until one direction is left, then taking that direction out."""
+    at = lambda i, j: 4 * i + j + 1
+    square = ", ".join(" + ".join(f"m[{at(i, k)}] * m[{at(k, j)}]" for k in range(4)) for i in range(4) for j in range(4))
+    trace = " + ".join(f"q[{at(i, i)}]" for i in range(4))
+    parts = [f"cov0 AS (SELECT [{', '.join(f'covar_samp({a}, {b})' for a in _INPUTS for b in _INPUTS)}] AS m FROM p)"]
+    for n in (1, 2):
+        parts += [
+            f"s{n}(n, m) AS (SELECT 0, m FROM cov{n - 1} UNION ALL SELECT n + 1, list_transform(q, lambda x: x / ({trace})) FROM (SELECT n, [{square}] AS q FROM s{n} WHERE n < 30))",
+            f"d{n} AS (SELECT m, list_position([{', '.join(f'm[{at(i, i)}]' for i in range(4))}], greatest({', '.join(f'm[{at(i, i)}]' for i in range(4))})) AS j FROM s{n} WHERE n = 30)",
+            f"u{n} AS (SELECT [m[j], m[4 + j], m[8 + j], m[12 + j]] AS u FROM d{n})",
+            f"v{n} AS (SELECT list_transform(u, lambda x: x / sqrt(list_inner_product(u, u)) * sign(u[list_position(list_transform(u, lambda y: abs(y)), list_max(list_transform(u, lambda y: abs(y))))])) AS v FROM u{n})",
+        ]
+        along = " + ".join(f"v[{i + 1}] * v[{j + 1}] * m[{at(i, j)}]" for i in range(4) for j in range(4))
+        parts.append(f"cov{n} AS (SELECT [{', '.join(f'm[{at(i, j)}] - l * v[{i + 1}] * v[{j + 1}]' for i in range(4) for j in range(4))}] AS m FROM (SELECT m, v, {along} AS l FROM cov{n - 1}, v{n}))")
+    return ", ".join(parts)
+
+
+def _along(v: str) -> str:
+    return " + ".join(f"{v}.v[{i + 1}] * (p.{c} - mid.{c})" for i, c in enumerate(_INPUTS))
+
+
+@query(
+    "pca2_customers",
+    f"""WITH RECURSIVE {_CUSTOMERS}, {_component_sql()}, mid AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in _INPUTS)} FROM p)
+SELECT p.id AS transaction_id, {r6(f'pc1={_along("v1")}', f'pc2={_along("v2")}')} FROM p, mid, v1, v2""",
+)
+def pca2_customers(spark, sf):
+    """Two components of all orders' age, value, GDP and sex."""
+    inputs, names = cluster.cluster_inputs(_customers(spark, sf))
+    return rounded(cluster.pca2(settle(inputs), names).select("transaction_id", "pc1", "pc2"), "pc1", "pc2")
+
+
 def model_inputs(spark, sf):
     txns = events(spark, sf)
     feats = device_features(txns, "online", "immediate", size_of(spark, sf, "events"))

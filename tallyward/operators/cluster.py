@@ -75,12 +75,14 @@ def cluster_profile(df: DataFrame, cols: Sequence[str], cluster: str = "customer
 
 
 def pca2(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Two principal components of the centred features; their signs are arbitrary."""
+    """Two principal components of the centred features; the largest loading of each is positive."""
     rows = _assembled(df, features, "__raw")
     rows = StandardScaler(inputCol="__raw", outputCol="__centred", withMean=True, withStd=False).fit(rows).transform(rows)
-    rows = PCA(k=2, inputCol="__centred", outputCol="__pc").fit(rows).transform(rows)
+    model = PCA(k=2, inputCol="__centred", outputCol="__pc").fit(rows)
+    loadings = model.pc.toArray()
+    turn = [1.0 if loadings[abs(loadings[:, i]).argmax(), i] > 0 else -1.0 for i in (0, 1)]
     pc = vector_to_array("__pc")
-    return rows.select(*df.columns, pc[0].alias("pc1"), pc[1].alias("pc2"))
+    return model.transform(rows).select(*df.columns, (pc[0] * turn[0]).alias("pc1"), (pc[1] * turn[1]).alias("pc2"))
 
 
 def knee(distances: DataFrame, col: str = "distance", id_col: str = "id") -> DataFrame:
