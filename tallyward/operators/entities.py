@@ -1,7 +1,8 @@
 """Summaries of a device or an IP over its whole history.
 
-The waiting times, their medians and the distinct counts all come from orderings of the same groups,
-so a summary is one exchange and several sorts, followed by one aggregation without another exchange.
+Where no entity can be too big for a task, the waiting times, their medians and the distinct counts all come from orderings of the
+same groups: one exchange and several sorts, followed by one aggregation without another exchange. Otherwise counts of (entity, value),
+combined on the map side, give both the distinct counts and the medians, and only the gaps need an order of the rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.columns import mean_of, ratio, seconds_between
 from tallyward.operators.features import purchase_gap
-from tallyward.plans.slices import Over, quantile_of, ranked_for, running
+from tallyward.plans.slices import Over, quantile_of, quantiles, ranked_for, running
+from tallyward.session import group_rows
 
 _ID = "transaction_id"
 
@@ -32,6 +34,8 @@ def summarize_entity(df: DataFrame, entity: str, size: int | None = None) -> Dat
         seconds_between("signup_time", "purchase_time").alias("__setup"),
     )
     rows = purchase_gap(rows, "__e", name="__gap", size=size)
+    if size is None or size > group_rows(df.sparkSession):
+        return _from_counts(rows, entity, reach, size)
     rows = ranked_for(rows, ["__e"], "__gap", _ID, "gap", size, derived=True)
     rows = ranked_for(rows, ["__e"], "__setup", _ID, "setup", size, derived=True)
     for c in ("__user", "__other"):
@@ -52,6 +56,23 @@ def summarize_entity(df: DataFrame, entity: str, size: int | None = None) -> Dat
     )
 
 
+def _from_counts(rows: DataFrame, entity: str, reach: str, size: int | None) -> DataFrame:
+    sums = rows.groupBy("__e").agg(
+        F.count("is_fraud").alias("transactions"),
+        F.sum("is_fraud").cast("long").alias("frauds"),
+        F.count_distinct("__user").alias("unique_users"),
+        F.count_distinct("__other").alias(reach),
+        mean_of("purchase_value").alias("mean_purchase_val"),
+        F.stddev_samp(F.col("purchase_value").cast("double")).alias("purchase_val_std"),
+    )
+    waits = rows.unpivot(["__e"], ["__setup", "__gap"], "__kind", "__wait")
+    middle = quantiles(waits, ["__e", "__kind"], "__wait", {"__mid": 0.5}, None if size is None else 2 * size)
+    of = lambda kind: F.max(F.when(F.col("__kind") == kind, F.col("__mid")))
+    medians = middle.groupBy("__e").agg(of("__setup").alias("median_time_between_signup_and_purchase"), of("__gap").alias("median_time_between_purchase"))
+    out = sums.join(medians, "__e", "left").withColumn("fraud_rate", ratio("frauds", "transactions"))
+    return out.withColumnRenamed("__e", entity)
+
+
 def _new(c: str) -> Column:
     """Distinct values of a sorted column: those unlike the one before."""
     return F.count(F.when(~F.col(c).eqNullSafe(F.col(f"{c}_prev")), F.col(c)))

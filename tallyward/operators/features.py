@@ -13,6 +13,7 @@ from tallyward.functions.columns import equals_flag, log_or_null, mean_of, month
 from tallyward.operators.profile import month_baselines
 from tallyward.plans.joins import attach
 from tallyward.plans.slices import Over, cut_points, quantiles, running
+from tallyward.session import settle
 
 NO_PREVIOUS_SECONDS = 99999.0
 
@@ -284,6 +285,8 @@ def imputed_gap(txns: DataFrame, gap: str, how: str = "median", std: str | None
     if how not in ("median", "max") or std_how not in ("zero", "median"):
         raise ValueError("gap is filled by 'median' or 'max', std by 'zero' or 'median'")
 
+    txns = settle(txns)  # read for the gaps, for each middle and for the rows
+
     def middle(c: str) -> Column:
         return quantiles(txns, [], c, {"v": 0.5}, size).select("v").scalar()
 

@@ -152,8 +152,26 @@ def test_plans_have_one_exchange(spark, tmp_path, capsys):
     )
     rows.write.parquet(str(tmp_path / "t"))
     rows = spark.read.parquet(str(tmp_path / "t"))
-    for out in (device_features(rows, "online", "immediate").drop("browser"), summarize_entity(rows, "device_id"), device_value_stats(rows)):
+    for out in (device_features(rows, "online", "immediate").drop("browser"), summarize_entity(rows, "device_id", 300), device_value_stats(rows)):
         out.explain()
         text = capsys.readouterr().out
         assert text.count("Exchange hashpartitioning") == 1
         assert "browser" not in text
+
+
+def test_big_entities_are_summarised_from_counts(spark, limit, monkeypatch):
+    """The same summary whether groups are sorted or counted; counting settles nothing of the size of the rows."""
+    from tallyward.operators import entities
+
+    df, _ = skewed(spark)
+    rows = df.select(
+        F.col("id").cast("string").alias("transaction_id"), F.col("k").alias("device_id"), (F.col("t") % 5).alias("user_id"), F.timestamp_seconds(F.col("t") * 7).alias("purchase_time"),
+        F.timestamp_seconds(F.lit(0)).alias("signup_time"), F.col("v").alias("purchase_value"), F.when(F.col("t") > 3, F.col("t")).alias("ip_address"), (F.col("id") % 2).cast("int").alias("is_fraud"),
+    )
+    counted = {r["device_id"]: r.asDict() for r in summarize_entity(rows, "device_id").collect()}
+    monkeypatch.setattr(entities, "group_rows", lambda _: 10**9)
+    ordered = {r["device_id"]: r.asDict() for r in summarize_entity(rows, "device_id", 300).collect()}
+    assert counted.keys() == ordered.keys()
+    for k, want in ordered.items():
+        for name, value in want.items():
+            assert counted[k][name] == (pytest.approx(value) if isinstance(value, float) else value), (k, name)
