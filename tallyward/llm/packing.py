@@ -18,7 +18,6 @@ import os
 import re
 import zlib
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyward.llm.segments import distinct_words, slices
+from tallyward.llm.segments import coded_words, slices
 from tallyward.session import settle
 
 CHUNK_ROWS = 200_000
-# Words that a worker keeps, words encoded at a time, and bytes of text worked on at a time: they bound its memory.
-MOST_WORDS = 150_000
+# Words encoded at a time, and bytes of text worked on at a time: they bound a worker's memory.
 BLOCK_WORDS = 8192
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 16 << 20
 # White space around a space: there a word's ids can depend on its neighbours.
 BLANKS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANK = f"[{BLANKS}]"
@@ -42,13 +40,20 @@ SAFE = re.compile(f"(?<=[^{BLANKS}])(?= [^{BLANKS}])")
 
 
 class WordIds:
-    """Ids of texts by a byte-level tokenizer, encoding each distinct word once."""
+    """Ids of texts by a byte-level tokenizer, encoding the distinct words of a slice together.
+
+    Words without white space are encoded many in one string: each begins with the space before it, where no token crosses. The ids
+    of a string are dealt to its words by the bytes that they stand for; a string whose tokens do cross is encoded word by word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        shown = self.tokenizer.get_vocab()  # a character for each byte
+        self.bytes_of = np.zeros(max(shown.values(), default=0) + 1, dtype=np.int64)
+        self.bytes_of[list(shown.values())] = [len(t) for t in shown]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -57,31 +62,45 @@ class WordIds:
             out += [np.array(e.ids, dtype=np.uint32) for e in block]
         return out
 
-    def of_words(self, words: list[str]) -> list[np.ndarray]:
-        missing = [w for w in dict.fromkeys(words) if w not in self.known]
-        fresh = dict(zip(missing, self.encode(missing)))
-        out = [fresh[w] if w in fresh else self.known[w] for w in words]
-        if len(self.known) + len(fresh) > MOST_WORDS:
-            self.known.clear()
-        self.known.update((w, i) for w, i in islice(fresh.items(), MOST_WORDS) if len(w) < 64)
-        return out
+    def together(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of words of letters and signs, each with a space before it, end to end; and how many each has."""
+        flat, sizes = [], []
+        for a in range(0, len(words), BLOCK_WORDS):
+            block = words.slice(a, BLOCK_WORDS)
+            ends = np.cumsum(pc.binary_length(block).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            text = " " + " ".join(block.to_pylist())
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            reached = np.concatenate(([0], np.cumsum(self.bytes_of[ids])))
+            at = np.searchsorted(reached, ends)
+            if at[-1] < len(reached) and (reached[at] == ends).all() and reached[-1] == ends[-1]:
+                flat.append(ids)
+                sizes.append(np.diff(at, prepend=0))
+            else:
+                own = self.encode([" " + w for w in block.to_pylist()])
+                flat += own
+                sizes.append(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
+        return flat, np.concatenate([np.zeros(0, np.int64), *sizes])
 
     def batch(self, texts: pa.Array):
         """The ids of each text, in order. Words are cut before single spaces, where tokens never cross."""
         for a, b in slices(texts, SLICE_BYTES):
             part = texts.slice(a, b - a)
-            offsets, codes, words = distinct_words(part)
+            offsets, codes, words = coded_words(part)
             starts = offsets[:-1]
             first, place = np.unique(codes[starts], return_inverse=True)
-            codes = codes.copy()
             codes[starts] = len(words) + place
-            ids = self.of_words([" " + w for w in words] + [words[c] for c in first])
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat, begin = np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum(sizes)))
+            plain = pc.invert(pc.or_(pc.match_substring_regex(words, BLANK), pc.equal(pc.binary_length(words), 0))).to_numpy(zero_copy_only=False)
+            flat, n = self.together(words.filter(pa.array(plain)))
+            own = self.encode([" " + w for w in words.filter(pa.array(~plain)).to_pylist()] + words.take(pa.array(first)).to_pylist())
+            sizes, order = np.zeros(len(words) + len(first), np.int64), np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain), len(words) + np.arange(len(first))))
+            sizes[order] = np.concatenate((n, np.fromiter(map(len, own), dtype=np.int64, count=len(own))))
+            begin = np.zeros(len(sizes), np.int64)
+            begin[order] = np.cumsum(sizes[order]) - sizes[order]
+            flat = np.concatenate([*flat, *own, np.zeros(0, np.uint32)])
             odd = pc.match_substring_regex(part, f"{BLANK} | {BLANK}").to_numpy(zero_copy_only=False)
             for i in range(len(part)):
                 if odd[i]:
-                    yield np.concatenate(self.of_words(SAFE.split(part[i].as_py())))
+                    yield np.concatenate(self.encode(SAFE.split(part[i].as_py())))
                     continue
                 own = codes[offsets[i] : offsets[i + 1]]
                 n = sizes[own]

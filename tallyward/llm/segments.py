@@ -21,12 +21,18 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         a = b
 
 
-def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Offsets of each text's pieces between single spaces, the pieces as codes, and the distinct pieces."""
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.concatenate(([0], np.cumsum(lengths))), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    return np.concatenate(([0], np.cumsum(lengths))), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The same, the distinct pieces as a list."""
+    offsets, codes, words = coded_words(texts)
+    return offsets, codes, words.to_pylist()
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
