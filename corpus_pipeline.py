@@ -11,7 +11,7 @@ from tallyward.llm import catalog, decontaminate, near_dups, substring_dedup, to
 from tallyward.llm.common import read
 from tallyward.session import checkpoint_dir
 
-# The models and the gear hash have no SQL; tests compare the stages with plain versions.
+# The models have no SQL; tests compare the operators with plain versions.
 ORACLE_SQL = None
 
 
