@@ -95,18 +95,27 @@ def op9_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), WINDOW)
 
 
-_DRAWN = " + ".join(f"CASE WHEN substring(md5(term), {2 * k + 1}, 2) < '{256 // s:02x}' THEN {1 << k} ELSE 0 END" for k, s in enumerate(imatch.SHARES))
-_SIGNS = ", ".join(
-    f"CASE WHEN count(term) FILTER (mask & {1 << k} <> 0) = 0 THEN '-' ELSE substring(md5(string_agg(term, ' ' ORDER BY encode(term)) FILTER (mask & {1 << k} <> 0)), 1, 8) END"
-    for k in range(imatch.LEXICONS)
+# A number below 64 from two hexadecimal digits of a term's digest.
+def _quarter(place: int) -> str:
+    return f"((instr('{imatch.HEX}', substring(h, {place}, 1)) - 1) * 16 + instr('{imatch.HEX}', substring(h, {place + 1}, 1)) - 1) // 4"
+
+
+_DENSE, _SPARSE = imatch.DENSE, imatch.DENSE + imatch.SPARSE
+_INSIDE = (
+    f"[{_quarter(1)}, CASE WHEN substring(h, 3, 1) = '0' AND substring(h, 4, 1) < '8' THEN {_DENSE} + {_quarter(4)} END, "
+    f"CASE WHEN substring(h, 6, 2) = '00' AND substring(h, 8, 1) < '4' THEN {_SPARSE} + {_quarter(8)} END]"
 )
 
 
 def _likeness(a: str, b: str) -> str:
-    pairs = f"list_filter(list_zip(string_split({a}, ','), string_split({b}, ',')), lambda p: p[1] <> '-' OR p[2] <> '-')"
+    def pairs(start: int, end: int) -> str:
+        return f"list_filter(list_zip(string_split({a}, ',')[{start}:{end}], string_split({b}, ',')[{start}:{end}]), lambda p: p[1] <> '-' OR p[2] <> '-')"
+
+    inside = pairs(1, imatch.BAND)
+    counted = f"CASE WHEN len({inside}) < {imatch.FEW} THEN list_concat({inside}, {pairs(imatch.BAND + 1, imatch.LEXICONS)}) ELSE {inside} END"
     return (
         f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN starts_with({a}, 'text:') OR starts_with({b}, 'text:') THEN 0.0::DOUBLE "
-        f"ELSE coalesce(len(list_filter({pairs}, lambda p: p[1] = p[2]))::DOUBLE / len({pairs}), 0) END"
+        f"ELSE coalesce(len(list_filter({counted}, lambda p: p[1] = p[2]))::DOUBLE / len({counted}), 0) END"
     )
 
 
@@ -119,12 +128,17 @@ WITH docs AS (
 e AS (SELECT doc_id, n, text AS own, substring(text, 1, n - n // 2) || substring(nxt, 1, n // 2) AS edited FROM docs),
 sides AS (SELECT doc_id, 0 AS side, own AS text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
 terms AS (SELECT doc_id, side, unnest(list_distinct({_WORDS})) AS term FROM sides),
-lex AS (SELECT term, {_DRAWN} AS mask FROM terms WHERE side = 0 GROUP BY term
-        HAVING count(*) * 1000 >= (SELECT count(*) FROM documents) AND count(*) * 10 <= (SELECT count(*) FROM documents)),
-sig AS (SELECT doc_id, side, concat_ws(',', {_SIGNS}) AS fp FROM terms JOIN lex USING (term) GROUP BY doc_id, side),
+texts AS (SELECT DISTINCT own AS text FROM e),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_WORDS})) AS term FROM texts) GROUP BY term),
+every AS (SELECT term, md5(term) AS h, coalesce(df, 0) AS df, (SELECT count(*) FROM texts) AS n FROM (SELECT DISTINCT term FROM terms) LEFT JOIN df USING (term)),
+lex AS (SELECT term, unnest(CASE WHEN df * 1000 >= n AND df * 10 <= n THEN {_INSIDE} ELSE [{imatch.BAND} + {_quarter(1)}] END) AS l FROM every),
+sig AS (SELECT doc_id, side, l, substring(md5(string_agg(term, ' ' ORDER BY encode(term))), 1, 6) AS s
+        FROM terms JOIN lex USING (term) WHERE l IS NOT NULL GROUP BY doc_id, side, l),
+prints AS (SELECT doc_id, side, array_to_string(list_transform(range({imatch.LEXICONS}), lambda i: coalesce(ss[list_position(ls, i)], '-')), ',') AS fp
+           FROM (SELECT doc_id, side, list(l ORDER BY l) AS ls, list(s ORDER BY l) AS ss FROM sig GROUP BY doc_id, side)),
 named AS (
-  SELECT s.doc_id, s.side, CASE WHEN fp IS NULL OR replace(replace(fp, '-', ''), ',', '') = '' THEN 'text:' || md5(s.text) ELSE fp END AS fp
-  FROM sides s LEFT JOIN sig ON s.doc_id = sig.doc_id AND s.side = sig.side),
+  SELECT s.doc_id, s.side, coalesce(fp, 'text:' || md5(s.text)) AS fp
+  FROM sides s LEFT JOIN prints p ON s.doc_id = p.doc_id AND s.side = p.side),
 j AS (
   SELECT e.doc_id, e.n, e.edited, a.fp AS fa, b.fp AS fb,
          coalesce(lead(a.fp) OVER (ORDER BY e.doc_id), first_value(a.fp) OVER (ORDER BY e.doc_id)) AS fn

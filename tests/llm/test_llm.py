@@ -265,6 +265,66 @@ def test_imatch(spark, corners, nothing):
     assert imatch.fingerprints(corners).count() == len(CORNERS) and imatch.fingerprints(nothing).count() == 0
 
 
+def plain_imatch(texts, rare=1000, common=10):
+    """Fingerprint and words of each text, from the stated rule."""
+    words = lambda t: {w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)}
+    df, n = {}, len(set(texts))
+    for t in set(texts):
+        for w in words(t):
+            df[w] = df.get(w, 0) + 1
+
+    def prints(t):
+        held = {}
+        for w in words(t):
+            h = hashlib.md5(w.encode()).hexdigest()
+            if df.get(w, 0) * rare >= n and df[w] * common <= n:
+                held.setdefault(int(h[:2], 16) // 4, set()).add(w)
+                if int(h[2:5], 16) < 128:
+                    held.setdefault(64 + int(h[2:5], 16) // 4, set()).add(w)
+                if int(h[5:9], 16) < 64:
+                    held.setdefault(96 + int(h[5:9], 16) // 4, set()).add(w)
+            else:
+                held.setdefault(112 + int(h[:2], 16) // 4, set()).add(w)
+        signs = [hashlib.md5(b" ".join(sorted(w.encode() for w in held[k]))).hexdigest()[:6] if k in held else "-" for k in range(176)]
+        return ",".join(signs) if held else "text:" + hashlib.md5(t.encode()).hexdigest()
+
+    return prints
+
+
+def plain_likeness(a, b):
+    if a == b or "text:" in a + b:
+        return float(a == b)
+    both = [(x == y) if x != "-" or y != "-" else None for x, y in zip(a.split(","), b.split(","))]
+    inside = [e for e in both[:112] if e is not None]
+    counted = inside if len(inside) >= 16 else inside + [e for e in both[112:] if e is not None]
+    return sum(counted) / len(counted)
+
+
+def test_imatch_equals_a_plain_version(spark):
+    r = random.Random(5)
+    texts = [prose(i, r.choice([1, 5, 60, 300])) for i in range(120)] + ["", "?!", "Ä ö Ünter-Weg Z9", "x" * 5000, prose(3, 60), prose(3, 60)]
+    prints = plain_imatch(texts)
+    for ids in (list(range(len(texts))), [f"id-{i:04d}\n" for i in range(len(texts))]):
+        kind = "long" if ids[0] == 0 else "string"
+        got = {r["doc_id"]: r for r in rows(imatch.fingerprints(spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string")))}
+        for k, (i, t) in enumerate(zip(ids, texts)):
+            after, half = texts[(k + 1) % len(texts)], len(t) // 2
+            edited = t[: len(t) - half] + after[:half]
+            assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (prints(t), prints(edited)), k
+            assert got[i]["near_edited"] == pytest.approx(plain_likeness(prints(t), prints(edited)))
+            assert got[i]["near_next"] == pytest.approx(plain_likeness(prints(t), prints(after)))
+
+
+def test_imatch_in_a_hot_group(spark):
+    """Near copies that make up over a tenth of all texts have no term in the band, and are alike all the same."""
+    base = prose(99, 150).split()
+    near = [(i, " ".join(base[:i % 150] + [f"new{i}"] + base[i % 150 + 1 :])) for i in range(100)]
+    copies = [(i, "one text many times over") for i in range(100, 200)]
+    out = {r["doc_id"]: r for r in rows(imatch.fingerprints(spark.createDataFrame(near + copies + [(i, prose(i, 100)) for i in range(200, 450)], DOCS)))}
+    assert min(out[i]["near_next"] for i in range(99)) > 0.9 and max(out[i]["near_next"] for i in range(199, 449)) < 0.3
+    assert all(out[i]["near_next"] == 1.0 for i in range(100, 199)) and len({out[i]["fingerprint"] for i in range(100)}) == 100
+
+
 def test_words_of_a_batch():
     offsets, codes, words = segments.distinct_words(pa.array(["a b a", "", "b"]))
     assert [[words[c] for c in codes[a:b]] for a, b in zip(offsets, offsets[1:])] == [["a", "b", "a"], [""], ["b"]]
