@@ -1,7 +1,7 @@
 """Near-duplicate groups: fast similarity sketches, banding, exact verification, and connected groups.
 
 Sets are the distinct word shingles of whole texts, as 64-bit hashes. Equal sets form a class, and only the class's
-smallest id goes on. A sketch of bands x rows coordinates gives each class a key for each band; classes that share a key
+smallest (id, text) goes on, with a hash in place of the text. A sketch of bands x rows coordinates gives each class a key for each band; classes that share a key
 are candidates. At the threshold of 0.8 and 36 bands of 5 rows a linked pair shares no key with probability 6e-7.
 
 Links decide groups, not the list of all pairs, so a large group of copies is not expanded:
@@ -15,7 +15,7 @@ Links decide groups, not the list of all pairs, so a large group of copies is no
 
 Null and empty texts have an empty set and are linked with nothing. A text of fewer words than a shingle has its whole
 sequence as its one shingle. Rows that repeat an id count as one document if their sets are equal; otherwise each
-is judged by its own set, and linked through the id they share. Rows without an id form no links and stay on their own.
+is judged by its own set, whatever the order of the rows, and the groups of its sets are one group. Rows without an id form no links and stay on their own.
 An empty table gives an empty result. Of other columns none is read, except by ``one_of_each``, which returns them all.
 """
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tallyward.llm.common import hinted, spaced_words
 from tallyward.llm.sketching import band_keys, sketch
 from tallyward.plans.components import connected_components
+from tallyward.plans.joins import attach
 from tallyward.session import settle
 
 BANDS, ROWS = 36, 5
@@ -60,18 +61,23 @@ def _bands(array: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(array) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
 
 
+def _node(doc_id: str, text: str) -> Column:
+    """What names a row: its id, and a hash of its text, as ids may repeat."""
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("t"))
+
+
 def sketched(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """(id, n, s1, s2, bands): size, 128-bit hash and band keys of each row's set."""
+    """(node, n, s1, s2, bands): name, size, 96-bit hash and band keys of each row's set."""
     kind = dict(docs.dtypes)[doc_id]
-    sets = docs.select(F.col(doc_id).alias("id"), shingles(text, words).alias("set"))
-    sets = sets.select("id", F.size("set").cast("long").alias("n"), F.expr("xxhash64(sort_array(set))").alias("s1"), F.expr("hash(sort_array(set))").alias("s2"), "set")
+    sets = docs.select(_node(doc_id, text).alias("node"), shingles(text, words).alias("set"))
+    sets = sets.select("node", F.size("set").cast("long").alias("n"), F.expr("xxhash64(sort_array(set))").alias("s1"), F.expr("hash(sort_array(set))").alias("s2"), "set")
 
     def work(batches):
         for batch in batches:
             keep = [batch.column(i) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*keep, _bands(batch.column(4))], ["id", "n", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([*keep, _bands(batch.column(4))], ["node", "n", "s1", "s2", "bands"])
 
-    return sets.mapInArrow(work, f"id {kind}, n long, s1 long, s2 int, bands array<long>")
+    return sets.mapInArrow(work, f"node struct<id: {kind}, t: long>, n long, s1 long, s2 int, bands array<long>")
 
 
 def _may_link(na: str, nb: str, ca: str, cb: str, percent: int) -> Column:
@@ -81,7 +87,7 @@ def _may_link(na: str, nb: str, ca: str, cb: str, percent: int) -> Column:
 
 def _compared(pairs: DataFrame, docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     """(a, b, na, nb, shared): sizes and overlap of the full sets of each pair."""
-    texts = docs.select(F.col(doc_id).alias("t"), F.col(text).alias("text"))
+    texts = docs.select(_node(doc_id, text).alias("t"), F.col(text).alias("text"))
     ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())
     texts = texts.join(hinted(ends), "t", "left_semi").dropDuplicates(["t"])
     left = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a")
@@ -94,11 +100,20 @@ def _linked(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(F.col("shared") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
+def _through_ids(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of ids that have several."""
+    apart = [F.min(c) != F.max(c) for c in ("s1", "s2", "n")]
+    several = settle(named.select("node.id", "s1", "s2", "n").groupBy("id").agg((apart[0] | apart[1] | apart[2]).alias("several")).where("several").select("id"))
+    twins = named.select("node.id", "s1", "s2", "n").join(hinted(several), "id").distinct()
+    twins = settle(twins.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("id", "rep"))
+    return attach(twins, twins.groupBy("id").agg(F.min("rep").alias("hub")), ["id"], ["rep"]).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+
+
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, component) of every row."""
     rows = settle(sketched(docs, words, doc_id, text))
-    named = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = named.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    named = rows.where((F.col("n") > 0) & F.col("node.id").isNotNull())
+    classes = named.groupBy("s1", "s2", "n").agg(F.min("node").alias("rep"), F.first("bands").alias("bands"))
     classes = settle(classes)
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lead")).where("m > 1").drop("m")
@@ -106,7 +121,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "do
 
     # shingles, cut to 32 bits, that only one candidate has: a collision can only weaken the bound
     candidates = settle(members.select("rep").distinct())
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"))
+    texts = docs.select(_node(doc_id, text).alias("rep"), F.col(text).alias("text"))
     short = F.transform(shingles("text", words), lambda s: (s % 2147483647).cast("int"))
     seen = texts.join(hinted(candidates), "rep", "left_semi").dropDuplicates(["rep"]).select("rep", F.explode(short).alias("s"))
     lonely = seen.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
@@ -117,9 +132,10 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "do
     stars = members.where(F.col("rep") != F.col("lead")).join(leads, "key").where(_may_link("na", "n", "ca", "c", percent))
     stars = settle(stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
     compared = _compared(stars, docs, words, doc_id, text)
-    links = _linked(compared, percent)
+    same_id = settle(_through_ids(named, classes))
+    links = _linked(compared, percent).unionByName(same_id)
 
-    nodes = members.select(F.col("rep").alias("node")).distinct()
+    nodes = members.select(F.col("rep").alias("node")).unionByName(same_id.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     home = connected_components(links, nodes)
     with_lead = compared.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "shared")
     placed = members.join(home.select(F.col("node").alias("rep"), F.col("component").alias("home")), "rep").join(with_lead, ["lead", "rep"], "left")
@@ -150,10 +166,10 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "do
 
     merged = connected_components(links, nodes).where(F.col("node") != F.col("component")).select(F.col("node").alias("rep"), "component")
     # a row's class, then the class's group; only classes of several rows and groups of several classes are joined
-    many = named.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    placed = rows.select("id", "n", "s1", "s2").join(hinted(many), ["s1", "s2", "n"], "left")
-    placed = placed.withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")))
-    return placed.join(hinted(merged), "rep", "left").select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
+    many = named.groupBy("s1", "s2", "n").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    placed = rows.select("node", "n", "s1", "s2").join(hinted(many), ["s1", "s2", "n"], "left")
+    placed = placed.withColumn("rep", F.when((F.col("n") > 0) & F.col("node.id").isNotNull(), F.coalesce("rep", "node")))
+    return placed.join(hinted(merged), "rep", "left").select("node.id", "n", F.coalesce("component.id", "rep.id", "node.id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

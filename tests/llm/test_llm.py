@@ -172,6 +172,21 @@ def test_near_duplicates(spark, corners, nothing):
     assert near_dups.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    def changed(i, at):
+        words = prose(i, 120).split()
+        words[at] = f"new{at}"
+        return " ".join(words)
+
+    # document 1 has a near copy of each of its two texts, and a third text that stands alone
+    texts = [(1, prose(1, 120)), (1, prose(2, 120)), (1, prose(3, 120)), (2, changed(1, 60)), (3, changed(2, 60)), (4, prose(4, 120)), (5, None), (5, changed(4, 9))]
+    for order in (texts, texts[::-1]):
+        out = rows(near_dups.near_duplicates(spark.createDataFrame(order, DOCS), words=2))
+        assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 4), (5, 4), (5, 5)]
+    named = spark.createDataFrame([(str(i), t) for i, t in texts], "doc_id string, text string")
+    assert sorted(r["component_id"] for r in rows(near_dups.near_duplicates(named, words=2))) == ["1"] * 5 + ["4", "4", "5"]
+
+
 def test_sketch_agreement():
     r = np.random.default_rng(1)
     pool = r.integers(-(2**62), 2**62, 300)
