@@ -4,10 +4,11 @@ An archive begins with a skippable frame that holds the dictionary; one frame fo
 before are not stored again: of equal payloads of at least ``min_bytes`` bytes the row with the largest id is a response,
 the others are revisit records that name it. Writers put each file under a name of its own and move it into place when
 it is whole, so a repeated task replaces its own files. The reader decodes frame by frame, so memory is bounded by the
-longest record, and checks the version line, the lengths, and the digests of blocks and payloads.
+longest record, and checks the version line, the lengths, and the digests of blocks and payloads. ``round_trip`` also checks that
+every revisit names a response of its own digest and length.
 
-Null payloads are empty. A null URL leaves its header out; control characters in one are escaped. A null id is written as
-an empty name and comes back as null; it is never the largest, unless all ids of the payload are null (then each is a
+Null payloads are empty. A null URL leaves its header out; control characters in one are escaped. Ids of any text are escaped,
+line breaks and empty text included. A null id is written without a name and comes back as null; it is never the largest, unless all ids of the payload are null (then each is a
 response). Rows of equal id and payload are all responses or all revisits. An empty table gives no archives and no rows.
 Only the three named columns are read, so other columns may have any name.
 """
@@ -19,6 +20,7 @@ import hashlib
 import re
 import struct
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -44,9 +46,15 @@ ROW_BATCH_BYTES = 4 << 20
 
 
 def train_dictionary(pages: DataFrame, payload: str, rows: int = DICTIONARY_ROWS) -> bytes:
-    """A dictionary from at most ``rows`` payloads of up to DICTIONARY_ROW_BYTES bytes, chosen by hash; empty if they are too few."""
-    small = pages.select(F.col(payload).alias("p")).where(F.octet_length("p").between(1, DICTIONARY_ROW_BYTES))
-    sample = [r["p"].encode() for r in small.orderBy(F.xxhash64("p"), "p").limit(rows).collect()]
+    """A dictionary from at most ``rows`` different payloads of up to DICTIONARY_ROW_BYTES bytes, chosen by hash; empty if they are too few.
+
+    Hashes below a threshold are about twice as many as are wanted at any size of the table, so few payloads are moved.
+    """
+    small = pages.select(F.col(payload).alias("p")).where(F.octet_length("p").between(1, DICTIONARY_ROW_BYTES)).withColumn("h", F.xxhash64("p"))
+    different = small.agg(F.approx_count_distinct("h")).first()[0]
+    if different > 2 * rows:
+        small = small.where(F.col("h") < -(2**63) + 2**65 * rows // different)
+    sample = [r["p"].encode() for r in small.groupBy("h").agg(F.min("p").alias("p")).orderBy("h").limit(rows).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -69,15 +77,25 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
+def urn(id_) -> str:
+    return "<urn:page>" if id_ is None else f"<urn:page:{quote(str(id_), safe='')}>"
+
+
+def named(urn_: str) -> str | None:
+    """The id in a name that ``urn`` made."""
+    found = re.fullmatch(r"<urn:page(?::(.*))?>", urn_)[1]
+    return None if found is None else unquote(found)
+
+
 def record(id_, url, payload: bytes, digest: str, role: str, refers) -> bytes:
     """One WARC record; the digest is the payload's in base 32."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if role == "response" else http
-    head = [f"WARC-Type: {role}", f"WARC-Record-ID: <urn:page:{'' if id_ is None else id_}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = [f"WARC-Type: {role}", f"WARC-Record-ID: {urn(id_)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if role == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers)}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"{LENGTH_FIELD}: {len(payload)}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -179,7 +197,6 @@ def read_archives(files: DataFrame, folder: str, with_payload: bool = True) -> D
         fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
         names = ["id", "type", "url", "refers", "digest", "bytes"] + ["payload"] * with_payload
         kinds = [pa.string()] * 5 + [pa.int64()] + [pa.binary()] * with_payload
-        name = lambda x: re.fullmatch(r"<urn:page:(.*)>", x)[1] or None
 
         def pack(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -190,8 +207,8 @@ def read_archives(files: DataFrame, folder: str, with_payload: bool = True) -> D
                 with fs.open_input_stream(path, compression=None) as stream:
                     for data in frames(stream.read):
                         f, found = parse(data), found + 1
-                        refers = name(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else None
-                        row = (name(f["WARC-Record-ID"]), f["WARC-Type"], f.get("WARC-Target-URI"), refers, f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f[LENGTH_FIELD]))
+                        refers = named(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else None
+                        row = (named(f["WARC-Record-ID"]), f["WARC-Type"], f.get("WARC-Target-URI"), refers, f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f[LENGTH_FIELD]))
                         rows.append(row + (f["payload"],) * with_payload)
                         held += len(data)
                         if held >= ROW_BATCH_BYTES or len(rows) >= 10_000:
@@ -211,11 +228,22 @@ def archive_folder(spark) -> str:
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/warc-{uuid.uuid4().hex}"
 
 
+def check_revisits(records: DataFrame) -> None:
+    """Raise where a revisit names no response of its digest and length."""
+    what = ["id", "digest", "bytes"]
+    meant = records.where("type = 'revisit'").groupBy(F.col("refers").alias("id"), "digest", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    lost = meant.join(records.where("type = 'response'").select(*what), what, "left_anti").take(1)
+    if lost:
+        raise ValueError(f"{lost[0]['n']} revisits of {lost[0]['id']} find no such response")
+
+
 def round_trip(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write ``pages``, read them back, and return page_id, payload_bytes, payload_digest, record_type and refers_to."""
     kind = dict(pages.dtypes)[page_id]
     files = write_archives(pages, folder, page_id, url, payload, min_bytes)
-    return read_archives(files, folder, with_payload=False).select(
+    records = settle(read_archives(files, folder, with_payload=False))
+    check_revisits(records)
+    return records.select(
         F.col("id").cast(kind).alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("refers").cast(kind).alias("refers_to"),
     )

@@ -81,6 +81,26 @@ def test_warc(spark, tmp_path):
         warc.parse(warc.record(1, None, b"x", warc.base32("00" * 20), "response", None))
 
 
+def test_warc_of_odd_ids(spark, tmp_path):
+    ids = ["a\r\nWARC-Type: response", "", None, "100% >ä", "b", "b", "last"]
+    pages = spark.createDataFrame([(i, "http://x/", h) for i, h in zip(ids, ["x", "y", "x", "z", "z", "z", None])], "page_id string, url string, html string")
+    pages = pages.selectExpr("*", "1 AS id", "'q' AS digest", "'r' AS type")
+    out = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in rows(warc.round_trip(pages, f"file://{tmp_path}/o")))
+    assert out == sorted([(ids[0], "response", None), ("", "response", None), ("None", "revisit", ids[0]), ("100% >ä", "revisit", "b"), ("b", "response", None), ("b", "response", None), ("last", "response", None)])
+    schema = "id string, type string, url string, refers string, digest string, bytes long"
+    kept = [("1", "response", None, None, "D", 3), ("2", "revisit", None, "1", "D", 3)]
+    warc.check_revisits(spark.createDataFrame(kept, schema))
+    for wrong in (("2", "revisit", None, "1", "D", 4), ("2", "revisit", None, "1", "E", 3), ("2", "revisit", None, "2", "D", 3)):
+        with pytest.raises(ValueError):
+            warc.check_revisits(spark.createDataFrame([kept[0], wrong], schema))
+
+
+def test_warc_dictionary_of_many_payloads(spark):
+    """The sample stays small where one payload holds a third of the rows."""
+    many = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot payload' ELSE concat('<p>payload of page ', id, '</p>', repeat('common part ', 20)) END AS html")
+    assert 0 < len(warc.train_dictionary(many, "html")) <= warc.DICTIONARY_BYTES
+
+
 def test_token_counts(spark, corners, nothing):
     import sentencepiece
 
