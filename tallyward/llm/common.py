@@ -62,6 +62,8 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
         elif kind.startswith("array"):
             per = 40 if "string" in kind or "struct" in kind else 8
             size = size + F.greatest(F.size(F.col(name)), F.lit(0)) * per
+        elif kind.startswith("struct"):
+            size = size + 32 + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
     return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit
 
 
