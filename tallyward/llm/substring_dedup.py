@@ -1,18 +1,21 @@
-"""Repeated passages found by runs of words.
+"""Repeated passages found by content-defined chunks of a gear rolling hash, each match grown to what one earlier document has.
 
-Every run of ``min_words`` consecutive words (a gram) is compared by a digest of its bytes, blanks between the words included
-and those behind the last left out. The document with the smallest id keeps a gram; in all others each word of it is taken
-out with the blanks that follow. So a word goes only as part of ``min_words`` or more in a row that one earlier document has
-in the same order, and every passage of that length goes whole, wherever it stands. Shorter repeats, such as a shared line,
-stay, and so do repeats inside one document.
+A gear hash rolls over the words: it is shifted to the left and the next word's random number is added, so that words more
+than ``min_words`` / 5 back have left it. A chunk ends at every word whose hash is the least of some run of neighbours
+(the last of equals). Cuts so depend on the words around them only, and an insertion moves none of the cuts behind it.
+Two windows of neighbours fit into ``min_words`` words, side by side, so two documents that share as many words in a row cut
+a chunk out of them at the same two places, wherever the words stand. Chunks are named by a digest of their words and of
+the words that decided the cut before them, and those that one document alone has are ruled out.
 
-Grams are many, one a word, so they are looked for in two steps. The anchor of a gram is the least hash of the shorter runs
-in it, and neighbouring grams mostly share theirs. Anchors found in one document alone rule out their grams; only the others
-are made into rows.
+A shared chunk is grown to both sides: every run of ``min_words`` words (a gram) whose chunk it is, is compared by a digest of
+its bytes, blanks between the words included and those behind the last left out. The document with the smallest
+id keeps a gram; in all others each word of it is taken out with the blanks that follow. So a word goes only as part of
+``min_words`` or more in a row that one earlier document has in the same order, and every passage of that length goes
+whole, wherever it stands. Shorter repeats, such as a shared line, stay, and so do repeats inside one document.
 
 Null texts are left as they are; empty ones have no grams. Rows of the same id count as one document. Rows without an id
 lose to any other. A text without spaces is one word. All rows and columns are returned, with the text shortened; a
-document that is repeated altogether keeps an empty text.
+document that is repeated altogether keeps an empty text. ``min_words`` is 2 or more.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from tallyward.llm.segments import slices
 SLICE_BYTES = 1 << 20
 BLOCK = 1 << 16
 SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\v\f", dtype=np.uint8))
-# One random number for each byte value, and the odd multipliers of the positions of bytes and of words.
+# One random number for each byte value, and the odd multipliers of the positions of bytes and of words in a gram.
 BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 STEP, UNSTEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-LEAP, ANCHOR_LEAP = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
+LEAP = np.uint64(0xD1342543DE82EF95)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -68,27 +71,51 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> lis
     return out
 
 
-def runs(units: np.ndarray, words: np.ndarray, k: int, leap: np.uint64) -> np.ndarray:
+def runs(units: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of k consecutive words: all but the last with the blanks behind them."""
     n = len(words) - k + 1
     total = words[k - 1 :].copy()
     for j in range(k - 2, -1, -1):
-        total = total * leap + units[j : j + n]
+        total = total * LEAP + units[j : j + n]
     return mixed(total)
 
 
+def reach(k: int) -> tuple[int, int]:
+    """Words that the gear hash remembers, and neighbours of which a cut has the least hash: two such windows fit into k words."""
+    memory = max(1, k // 5)
+    return memory, max(1, (k - memory) // 2)
+
+
+def gear(units: np.ndarray, memory: int) -> np.ndarray:
+    """The rolling hash at each word from the ``memory``-th on."""
+    shift, n = np.uint64(64 // memory), len(units) - memory + 1
+    total = units[:n].copy()
+    for j in range(1, memory):
+        total = (total << shift) + units[j : j + n]
+    return total
+
+
 def least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` consecutive values."""
-    span = 1
-    while 2 * span <= width:
-        values, span = np.minimum(values[:-span], values[span:]), 2 * span
-    return np.minimum(values[: len(values) - (width - span)], values[width - span :])
+    """Where the least of each ``width`` consecutive values stands, the last of equals."""
+    at, span = np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        a, b = at[:-step], at[step:]
+        at, span = np.where(values[b] <= values[a], b, a), span + step
+    return at
+
+
+def chunks(units: np.ndarray, k: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chunks in the runs of k words from the words ``first``: opening word (of the hash that cut), last word, chunk of each run."""
+    memory, width = reach(k)
+    cuts = least(gear(units, memory), width)
+    opening, of = np.unique(cuts[first], return_inverse=True)
+    return opening, cuts[opening + 1] + memory - 1, of
 
 
 def grams(texts: pa.Array, k: int):
-    """Of some texts at a time: (place of the first, bytes, ends of texts, starts of words, first word of each gram, its text, anchor, digest)."""
+    """Of some texts at a time: (place of the first, bytes, ends of texts, starts of words, first word of each gram, its text, digest of the chunk in it, digest)."""
     texts = pc.fill_null(texts, "")
-    short = max(1, 2 * k // 5)
     for a, b in slices(texts, SLICE_BYTES):
         raw = "".join(texts.slice(a, b - a).to_pylist()).encode()
         data = np.frombuffer(raw, dtype=np.uint8)
@@ -107,8 +134,9 @@ def grams(texts: pa.Array, k: int):
             continue
         words, units = range_hashes(data, starts, ends, nexts)
         first = np.flatnonzero(owner[: len(owner) - k + 1] == owner[k - 1 :])
-        anchors = least(runs(units, words, short, ANCHOR_LEAP), k - short + 1)
-        yield a, raw, edges, starts, first, owner[first], anchors[first].view(np.int64), runs(units, words, k, LEAP)[first].view(np.int64)
+        opening, last, of = chunks(units, k, first)
+        chunk = range_hashes(data, starts[opening], ends[last])[0][of]
+        yield a, raw, edges, starts, first, owner[first], chunk.view(np.int64), runs(units, words, k)[first].view(np.int64)
 
 
 def _in_several(rows: DataFrame, *keys: str) -> DataFrame:
@@ -121,32 +149,34 @@ def _in_several(rows: DataFrame, *keys: str) -> DataFrame:
 
 def duplicates(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
     """(id, marks): the digests of a document's grams that an earlier document has."""
+    if min_words < 2:
+        raise ValueError("a passage has two words at least")
     kind, of, wanted = dict(docs.dtypes)[doc_id], docs.columns.index(doc_id), docs.columns.index(text)
-    key, shared = spare(docs, "id", "anchors")
+    key, shared = spare(docs, "id", "chunks")
 
-    def anchored(batches):
+    def chunked(batches):
         for batch in batches:
-            for a, _, _, _, _, owner, anchors, _ in grams(batch.column("text"), min_words):
-                fresh = np.ones(len(anchors), dtype=bool)
-                fresh[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(a + owner[fresh])), pa.array(anchors[fresh])], ["id", "anchor"])
+            for a, _, _, _, _, owner, named, _ in grams(batch.column("text"), min_words):
+                fresh = np.ones(len(named), dtype=bool)
+                fresh[1:] = (named[1:] != named[:-1]) | (owner[1:] != owner[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(a + owner[fresh])), pa.array(named[fresh])], ["id", "chunk"])
 
     def listed(batches):
         for batch in batches:
             marks = batch.column(batch.num_columns - 1)
-            for a, _, edges, _, _, owner, anchors, digests in grams(batch.column(wanted), min_words):
+            for a, _, edges, _, _, owner, named, digests in grams(batch.column(wanted), min_words):
                 cuts, hit = np.searchsorted(owner, np.arange(len(edges))), np.zeros(len(owner), dtype=bool)
                 for i in range(len(edges) - 1):
                     own = slice(cuts[i], cuts[i + 1])
-                    hit[own] = np.isin(anchors[own], marks[a + i].values.to_numpy(zero_copy_only=False))
+                    hit[own] = np.isin(named[own], marks[a + i].values.to_numpy(zero_copy_only=False))
                 ids = batch.column(of).take(pa.array(a + owner[hit]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(digests[hit]), pa.array(anchors[hit].astype(np.int32))], ["id", "digest", "more"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(digests[hit]), pa.array(named[hit].astype(np.int32))], ["id", "digest", "more"])
 
-    anchors = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(anchored, f"id {kind}, anchor long")
-    hits = _in_several(anchors, "anchor").groupBy("id").agg(F.collect_set("anchor").alias(shared)).withColumnRenamed("id", key)
+    cut = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(chunked, f"id {kind}, chunk long")
+    hits = _in_several(cut, "chunk").groupBy("id").agg(F.collect_set("chunk").alias(shared)).withColumnRenamed("id", key)
     # all columns go along, so that the texts moved for this join serve for the last one too
     found = docs.join(hits, docs[doc_id].eqNullSafe(hits[key])).drop(key)
-    # half of the anchor goes with the digest, 96 bits that tell two grams apart
+    # half of the chunk's digest goes with that of the gram, 96 bits that tell two grams apart
     rows = found.mapInArrow(listed, f"id {kind}, digest long, more int")
     later = _in_several(rows, "digest", "more").where(~F.col("id").eqNullSafe(F.col("first")))
     return later.groupBy("id").agg(F.collect_set("digest").alias("marks"))
