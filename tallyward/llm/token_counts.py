@@ -9,7 +9,9 @@ state and carries the change of the count. States are made when they are first r
 No piece has a space after another character (checked when the vocabulary is loaded), so the map of a chunk that begins
 with such a space is constant: every state leads to the same state and count. Texts are therefore cut there; each distinct
 chunk of a batch runs once, and its counts are added up over the texts by prefix sums. Chunks longer than ``CHUNK``
-characters are run in parts, and the maps of the parts are composed in order.
+characters are cut into parts. The map of each part is built by itself, at the states in which the characters before it leave
+machines that started nearby (states merge fast, so one of them is nearly always the true one), and the maps are composed
+by a scan over neighbours. Where the true state is another one, the part's map is extended by it, so counts are exact.
 
 Null texts are empty and have no tokens. Equal texts have equal counts. Very long texts are never cut short. An empty table
 gives an empty result. Only the two named columns are read, so other columns may have any name.
@@ -29,6 +31,8 @@ from tallyward.llm.segments import distinct_words, slices, sums
 
 SPACE = "▁"
 CHUNK = 4096
+# Characters before a part, from which its live states are found.
+NEARBY = (32, 64)
 # States and chunks that a worker keeps; beyond, it starts anew, which costs time only.
 MOST_STATES = 200_000
 MOST_CHUNKS = 400_000
@@ -140,14 +144,53 @@ class Transducer:
         if (n := self.known.get(chunk)) is None:
             if len(self.states) > MOST_STATES or len(self.known) > MOST_CHUNKS:
                 self.clear()
-            state = n = 0
-            for at in range(0, len(chunk), CHUNK):
-                state, more = self.run(state, chunk[at : at + CHUNK])
-                n += more
-            if len(chunk) <= CHUNK:
-                self.known[chunk] = n
+            if len(chunk) > CHUNK:
+                return self.scan([chunk[at : at + CHUNK] for at in range(0, len(chunk), CHUNK)])
+            n = self.known[chunk] = self.run(0, chunk)[1]
         return n
 
+    def through(self, state: tuple, part: str) -> tuple[tuple, int]:
+        """The map of a part at one state. States are given by what they are, so that they outlive a new start."""
+        if len(self.states) > MOST_STATES:
+            self.clear()
+        if (at := self.ids.get(state)) is None:
+            at = self.ids[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+        to, n = self.run(at, part)
+        return self.states[to], n
+
+    def scan(self, parts: list[str]) -> int:
+        """Tokens of consecutive parts, from the start: their maps, composed two neighbours at a time."""
+        start, spans = self.states[0], []
+        for before, part in zip(["", *parts], parts):
+            spans.append(Span(self, part))
+            for live in {self.through(start, before[-n:])[0] for n in NEARBY}:
+                spans[-1].at(live)
+        while len(spans) > 1:
+            paired = [Span(self, halves=(a, b)) for a, b in zip(spans[::2], spans[1::2])]
+            spans = paired + spans[2 * len(paired) :]
+        return spans[0].at(start)[1]
+
+
+class Span:
+    """The map of a part, or of two neighbours composed: where its live states lead, and how many tokens they add."""
+
+    def __init__(self, machine: Transducer, part: str = "", halves: tuple[Span, Span] | None = None):
+        self.machine, self.part, self.halves, self.known = machine, part, halves, {}
+        for live in list(halves[0].known) if halves else ():
+            self.at(live)
+
+    def at(self, state: tuple) -> tuple[tuple, int]:
+        if state not in self.known:
+            if self.halves:
+                middle, n = self.halves[0].at(state)
+                end, more = self.halves[1].at(middle)
+                self.known[state] = (end, n + more)
+            else:
+                self.known[state] = self.machine.through(state, self.part)
+        return self.known[state]
+
 
 _loaded: dict[str, Transducer] = {}
 

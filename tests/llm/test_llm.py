@@ -115,6 +115,29 @@ def test_token_counts(spark, corners, nothing):
     assert token_counts.token_counts(nothing, path).count() == 0
 
 
+def test_token_counts_of_composed_parts(monkeypatch):
+    import sentencepiece
+
+    path = catalog._tokenizer("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(2)
+    texts = ["z" * 901, "x" * 333 + "yz" * 200, "日本語" * 90, "".join(r.choice("aeinorst") for _ in range(3000)), "".join(r.choice("theing日é😀") for _ in range(2000))]
+    texts += ["-" * 777, "=" * 64 + "a" + "=" * 500]
+    wanted = [len(x) for x in model.encode(texts)]
+    machine = token_counts.Transducer(path)
+    for chunk in (1, 7, 64, 100):
+        for most in (token_counts.MOST_STATES, 20):
+            monkeypatch.setattr(token_counts, "CHUNK", chunk)
+            monkeypatch.setattr(token_counts, "MOST_STATES", most)
+            assert [machine.count("▁" + t) for t in texts] == wanted
+            machine.clear()
+    # composing the maps of two parts equals running through both
+    left, right = token_counts.Span(machine, "internat"), token_counts.Span(machine, "ional")
+    both = token_counts.Span(machine, halves=(left, right))
+    for state in [machine.states[0], machine.through(machine.states[0], "an")[0]]:
+        assert both.at(state) == machine.through(state, "international")
+
+
 def test_packing(spark, corners, nothing):
     from tokenizers import Tokenizer
 
@@ -254,6 +277,40 @@ def plain_repeats(texts, k):
     return out
 
 
+def test_gear_chunks():
+    def cut(text, k=20):
+        for _, raw, _, starts, first, _, named, _ in substring_dedup.grams(pa.array([text]), k):
+            return raw, starts, first, named
+
+    def chunks(text):
+        return set(cut(text)[3].tolist())
+
+    # runs of 20 words have the same chunk wherever they stand, and no word of it lies outside them
+    passage = prose(81, 20)
+    seen = {cut(f"{prose(900 + i, i)} {passage} {prose(950 + i, 30 - i)}".strip())[3][i] for i in range(30)}
+    assert len(seen) == 1
+    # an insertion changes the chunks around it only
+    words = prose(82, 5000).split()
+    before, after = chunks(" ".join(words)), chunks(" ".join(words[:2500] + ["new"] + words[2500:]))
+    assert len(before) > 900 and len(before - after) < 8
+    # the hash rolls: shift, add the next word; a cut is the last least of some window
+    units = np.random.default_rng(3).integers(0, 1 << 64, 400, dtype=np.uint64)
+    memory, width = substring_dedup.reach(20)
+    rolled, hashes = 0, []
+    for u in units.tolist():
+        rolled = ((rolled << 64 // memory) + u) % (1 << 64)
+        hashes.append(rolled)
+    hashes = hashes[memory - 1 :]
+    assert substring_dedup.gear(units, memory).tolist() == hashes
+    few = np.random.default_rng(4).integers(0, 5, 300)
+    for values in (np.array(hashes, dtype=np.uint64), few):
+        for w in (1, 2, 5, 8, 13):
+            plain = [max(range(i, i + w), key=lambda j: (-int(values[j]), j)) for i in range(len(values) - w + 1)]
+            assert substring_dedup.least(values, w).tolist() == plain
+    with pytest.raises(ValueError):
+        substring_dedup.duplicates(None, 1, "doc_id", "text")
+
+
 def test_substring_dedup_keeps_what_no_one_document_has_in_a_row(spark):
     # every small piece of 50 to 52 stands in some earlier document, never 20 words of them in one
     long = prose(7, 300).split()
