@@ -174,6 +174,13 @@ def test_toxicity(spark, corners, nothing):
     model = toxicity.train(docs, labels)
     out = rows(toxicity.score(corners, model))
     assert len(out) == len(CORNERS) and all(0 <= r["score"] < 1 for r in out)
+    # the stage keeps the very rows that score below the cut, nulls, repeats and clashing columns included
+    mixed = docs.unionByName(spark.createDataFrame(CORNERS + CORNERS[:2], DOCS)).selectExpr("*", "1 AS h", "doc_id AS whole", "'p' AS Prefix")
+    below = sorted(str(r["doc_id"]) for r in rows(toxicity.score(mixed, toxicity.train(mixed, labels))) if r["score"] < toxicity.CUT)
+    stage = toxicity.clean_documents(mixed, labels)
+    assert stage.columns == mixed.columns and sorted(str(r["doc_id"]) for r in rows(stage)) == below
+    assert all(r["whole"] == r["doc_id"] and r["h"] == 1 for r in rows(stage))
+    assert toxicity.clean_documents(nothing, labels).count() == 0
     assert toxicity.judged(nothing, labels).count() == 0 and toxicity.judged(docs, labels.limit(0)).count() == 1200
 
 
