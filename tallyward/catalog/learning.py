@@ -69,9 +69,7 @@ _register_dbscan()
 )
 def dbscan_at_knee(spark, sf):
     """Sizes of the clusters at the distance the knee gives."""
-    rows = points(spark, sf)
-    eps = cluster.dbscan_eps(rows, COORDS)
-    return cluster.dbscan(rows, COORDS, eps).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+    return cluster.dbscan_at_knee(points(spark, sf), COORDS).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _customers(spark, sf):
@@ -111,7 +109,7 @@ def dbscan_customers(spark, sf):
     """Density clusters of all orders on age, value, GDP and sex, at the distance the knee gives."""
     inputs, names = cluster.cluster_inputs(_customers(spark, sf))
     inputs = settle(inputs)
-    return cluster.dbscan(inputs, names, cluster.dbscan_eps(inputs, names, id_col="transaction_id"), id_col="transaction_id").select("transaction_id", "cluster")
+    return cluster.dbscan_at_knee(inputs, names, id_col="transaction_id").select("transaction_id", "cluster")
 
 
 CENTRES, ROUNDS = 16, 8

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.columns import ratio
-from tallyward.operators.neighbours import links_within, located, neighbour_distance, search
+from tallyward.operators.neighbours import Located, distance_in_lists, links_within, located, neighbour_distance, search
 from tallyward.operators.prep import Preprocessor
 from tallyward.plans.components import connected_components
 from tallyward.plans.joins import attach
@@ -114,7 +114,19 @@ def dbscan(df: DataFrame, coords: Sequence[str], eps: float, min_samples: int =
     Rows that lack a coordinate are noise.
     """
     where = located(df, coords, id_col, None, min_samples + 1)
-    lists = settle(search(where, min_samples + 1))
+    return _dbscan(df, where, settle(search(where, min_samples + 1)), eps, min_samples, id_col, name)
+
+
+def dbscan_at_knee(df: DataFrame, coords: Sequence[str], k: int = 5, min_samples: int = 8, id_col: str = "id", name: str = "cluster") -> DataFrame:
+    """``dbscan`` at ``dbscan_eps``; one search serves both."""
+    keep = max(k, min_samples + 1)
+    where = located(df, coords, id_col, None, keep)
+    lists = settle(search(where, keep))
+    row = knee(distance_in_lists(where, lists, k, id_col), id_col=id_col).first()
+    return _dbscan(df, where, lists, row["eps"] if row else None, min_samples, id_col, name)
+
+
+def _dbscan(df: DataFrame, where: Located, lists: DataFrame, eps: float, min_samples: int, id_col: str, name: str) -> DataFrame:
     is_core = F.coalesce(F.get("hits", F.lit(min_samples - 1))["dist"] <= eps, F.lit(False))
     places = settle(where.places.select("loc", "id", "at").join(lists.select("loc", is_core.alias("core")), "loc"))
     core = places.where("core")

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ PRUNES_NOTHING = 0.5
 CHUNK = 4
 # Rows, expected, of the sample an inverted file is fitted and its number of visited lists is chosen on.
 FIT_ROWS = 8192
-_BLOCK = 256
+# Rows of a block and of a tile of a meeting, and pairs measured at a time: they bound a worker's memory.
+_BLOCK, _TILE, _PAIRS = 256, 4096, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -111,17 +113,33 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(square)
 
 
-def _of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    square = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        square += (a[:, d] - b[:, d]) ** 2
-    return np.sqrt(square)
+def _of_pairs(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances between rows ``i`` of ``a`` and ``j`` of ``b``, a bounded number of pairs at a time."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), _PAIRS):
+        p, q = i[s : s + _PAIRS], j[s : s + _PAIRS]
+        square = np.zeros(len(p))
+        for d in range(a.shape[1]):
+            square += (a[p, d] - b[q, d]) ** 2
+        out[s : s + _PAIRS] = np.sqrt(square)
+    return out
+
+
+def _kth(i: np.ndarray, square: np.ndarray, keep: int, rows: int) -> np.ndarray:
+    """The ``keep``-th least square of each row, infinite where it has fewer."""
+    order = np.lexsort((square, i))
+    i, square = i[order], square[order]
+    at = np.arange(len(i)) - np.searchsorted(i, i, side="left") == keep - 1
+    out = np.full(rows, np.inf)
+    out[i[at]] = square[at]
+    return out
 
 
 def _near_pairs(a: np.ndarray, b: np.ndarray, keep: int | None, limit: np.ndarray | None):
     """(from, row of ``a``, row of ``b``, distance) block by block, for pairs that may be among the ``keep`` nearest, or within the limit.
 
-    Squares come from a matrix product about the middle of ``b``; pairs within its error of the bound are kept, and all are measured again.
+    Squares come from a matrix product about the middle of ``b``, for a tile of both at a time; pairs within its error of the bound, which
+    sharpens from tile to tile, are kept, and all are measured again.
     """
     middle = b.mean(axis=0)
     x, y = a - middle, b - middle
@@ -129,15 +147,27 @@ def _near_pairs(a: np.ndarray, b: np.ndarray, keep: int | None, limit: np.ndarra
     error = 8 * np.finfo(float).eps * max(4, a.shape[1]) * (xx + yy.max())
     for s in range(0, len(a), _BLOCK):
         part = slice(s, s + _BLOCK)
-        square = xx[part, None] + yy - 2 * (x[part] @ y.T)
-        bound = np.full(len(square), np.inf)
-        if keep is not None and keep < len(b):
-            bound = np.partition(square, keep - 1, axis=1)[:, keep - 1] + error[part]
-        if limit is not None:
-            bound = np.minimum(bound, limit[part] ** 2)
-        bound = (np.sqrt(np.maximum(bound, 0.0)) + 2 * 10.0**-PLACES) ** 2 + error[part]
-        i, j = np.nonzero(square <= bound[:, None])
-        yield s, i, j, _of_pairs(a[part][i], b[j])
+        widened = lambda square: (np.sqrt(np.maximum(square, 0.0)) + 2 * 10.0**-PLACES) ** 2 + error[part]
+        n = len(xx[part])
+        bound = widened(np.full(n, np.inf) if limit is None else limit[part] ** 2)
+        i, j, held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for t in range(0, len(b), _TILE):
+            square = x[part] @ y[t : t + _TILE].T
+            square *= -2
+            square += xx[part, None]
+            square += yy[t : t + _TILE]
+            if not t and keep is not None and keep < square.shape[1]:
+                bound = np.minimum(bound, widened(np.partition(square, keep - 1, axis=1)[:, keep - 1] + error[part]))
+            row, col = np.nonzero(square <= bound[:, None])
+            if len(row):
+                i, j, held = np.concatenate((i, row)), np.concatenate((j, t + col)), np.concatenate((held, square[row, col]))
+            if t and len(row) and keep is not None:
+                bound = np.minimum(bound, widened(_kth(i, held, keep, n) + error[part]))
+                near = held <= bound[i]
+                i, j, held = i[near], j[near], held[near]
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        yield s, i, j, _of_pairs(a, b, s + i, j)
 
 
 def _rows_of(column: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -322,10 +352,18 @@ def nearest(
 
 def neighbour_distance(points: DataFrame, coords: Sequence[str], k: int = 5, id_col: str = "id") -> DataFrame:
     """Distance to the k-th nearest row, the row itself being the first."""
-    near = nearest(points, coords, k, id_col, include_self=True)
+    return _kth_distance(nearest(points, coords, k, id_col, include_self=True), k, id_col)
+
+
+def _kth_distance(near: DataFrame, k: int, id_col: str) -> DataFrame:
     return near.select(id_col, F.get("neighbours", F.lit(k - 1))["dist"].alias("distance"))
 
 
+def distance_in_lists(where: Located, lists: DataFrame, k: int, id_col: str = "id") -> DataFrame:
+    """The same from the lists of a search that kept ``k`` rows or more."""
+    return _kth_distance(_shown(where, lists, k, id_col, True), k, id_col)
+
+
 @dataclass(frozen=True)
 class InvertedFile:
     """Centres of lists, and how many lists near a row are searched."""
@@ -388,23 +426,28 @@ def approximate_nearest(
 
 
 def _forest_in_block(dims: int, eps: float):
-    """Edges between guests and hosts within ``eps`` that connect whatever such edges connect: fewer than rows on both sides."""
+    """Edges that connect whatever guests and hosts within ``eps`` of each other connect: each linked row and the least id of its part."""
 
     def solve(guests: pa.Table, hosts: pa.Table) -> pa.Table:
         a, b = _rows_of(guests.column("at"), dims), _rows_of(hosts.column("at"), dims)
-        part, left, right = np.arange(len(b)), [], []
+        part, met, linked = np.arange(len(b)), np.full(len(a), -1), np.zeros(len(b), bool)
         limit = np.full(len(a), eps)
         for s, i, j, d in _near_pairs(a, b, None, limit) if len(a) and len(b) else ():
             i, j = i[d <= eps], j[d <= eps]
+            linked[j] = True
             for of in np.split(np.arange(len(i)), np.nonzero(np.diff(i))[0] + 1):
                 if len(of):
-                    parts, at = np.unique(part[j[of]], return_index=True)
-                    left.append(np.full(len(parts), s + i[of[0]]))
-                    right.append(j[of][at])
+                    parts = np.unique(part[j[of]])
+                    met[s + i[of[0]]] = j[of[0]]
                     if len(parts) > 1:
                         part[np.isin(part, parts)] = parts[0]
-        none = [np.empty(0, np.int64)]
-        return pa.table({"a": guests.column("id").take(pa.array(np.concatenate(none + left))), "b": hosts.column("id").take(pa.array(np.concatenate(none + right)))})
+        own, other = np.flatnonzero(met >= 0), np.flatnonzero(linked)
+        ids = pa.concat_arrays([guests.column("id").combine_chunks().take(pa.array(own)), hosts.column("id").combine_chunks().take(pa.array(other))])
+        parts, of = np.unique(np.concatenate((part[met[own]], part[other])), return_inverse=True)
+        order = pc.sort_indices(ids).to_numpy()
+        first = np.empty(len(parts), np.int64)
+        first[of[order[::-1]]] = order[::-1]  # the last to be set is the least
+        return pa.table({"a": ids, "b": ids.take(pa.array(first[of]))})
 
     return solve
 

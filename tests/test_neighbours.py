@@ -150,3 +150,49 @@ def test_links_connect_what_is_in_reach_without_listing_pairs(spark, box_rows):
     near = neighbours.distances(pts, pts) <= 3.0
     assert all(near[a, b] for a, b in links) and len({top(i) for i in range(len(pts))}) == 3
     assert len(links) < near.sum() / 8
+
+
+@pytest.mark.parametrize("keep, limit", [(10, None), (None, 100.0), (3, 100.0)])
+def test_meeting_in_bounded_memory(keep, limit):
+    """A meeting of chunks holds a tile of squares, not all of them, nor the coordinates of all pairs in reach."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(40, 64)), rng.normal(size=(30_000, 64))
+    tracemalloc.start()
+    found = list(neighbours._near_pairs(a, b, keep, None if limit is None else np.full(40, limit)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    (_, i, j, d), far = found[0], np.sqrt(((a[:, None] - b) ** 2).sum(axis=2)) if keep else None
+    if keep:
+        for r in range(40):
+            assert np.argsort(far[r])[:keep].tolist() == j[i == r][np.argsort(d[i == r])][:keep].tolist()
+    else:
+        assert len(i) == 40 * 30_000
+
+
+def test_many_hosts_in_tiles():
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(300, 64)), rng.normal(size=(30_000, 64))
+    import tracemalloc
+
+    tracemalloc.start()
+    parts = list(neighbours._near_pairs(a, b, 5, None))
+    assert tracemalloc.get_traced_memory()[1] < 90e6
+    tracemalloc.stop()
+    assert [p[0] for p in parts] == [0, 256]
+
+
+def test_knee_and_clusters_from_one_search(spark, monkeypatch):
+    from tallyward.operators import cluster
+
+    rng = np.random.default_rng(4)
+    at = np.concatenate([rng.normal(0, 0.1, (60, 2)), rng.normal(3, 0.1, (60, 2)), rng.uniform(-5, 8, (20, 2))])
+    df = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in enumerate(at)], "id long, x double, y double")
+    eps = cluster.dbscan_eps(df, ["x", "y"])
+    plain = {r["id"]: r["cluster"] for r in cluster.dbscan(df, ["x", "y"], eps).collect()}
+    calls, search = [], cluster.search
+    monkeypatch.setattr(cluster, "search", lambda *args: calls.append(args) or search(*args))
+    got = {r["id"]: r["cluster"] for r in cluster.dbscan_at_knee(df, ["x", "y"]).collect()}
+    assert got == plain and len(calls) == 1 and len(set(got.values())) > 1
