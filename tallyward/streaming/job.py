@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,78 +38,92 @@ STATE = (
     "source string, source_mixed boolean, fraud_count bigint"
 )
 _EMPTY = (0, 0.0, None, None, None, False, None, False, 0)
+_OF_SEEDS = ("txn_count", "purchase_sum", "last_transaction", "first_seen", "ip_mixed", "source_mixed", "fraud_count")
+_NO_TIME = int(np.iinfo("int64").min)
+_COLUMNS = [c.split(" ")[0] for c in OUTPUT.split(", ")]
+_FEATURE_COLUMNS = _COLUMNS[5:]
+_FEATURE_TYPES = [{"bigint": "int64", "boolean": "bool", "double": "float64"}[c.split(" ")[1]] for c in OUTPUT.split(", ")[5:]]
 
 
-def _micros(s: pd.Series) -> np.ndarray:
-    return s.to_numpy("datetime64[us]").astype("int64")
+def _numbered(name: str, kind: str) -> Column:
+    """Times as microseconds, a missing one as numpy writes it."""
+    return F.coalesce(F.unix_micros(name), F.lit(_NO_TIME)).alias(name) if kind == "timestamp" else F.col(name)
 
 
-def _agrees(values: pd.Series, first, mixed: bool, fresh: bool) -> tuple[np.ndarray, object, bool]:
+def _agrees(values: np.ndarray, first, mixed: bool, fresh: bool) -> tuple[np.ndarray, object, bool]:
     """Whether all members up to each row are one and the same, a missing value being a member too."""
     if fresh:
-        first = values.iloc[0]
+        first = values[0]
     gone = pd.isna(first)
-    same = values.isna().to_numpy() if gone else (values == first).fillna(False).to_numpy(bool)
+    same = pd.isna(values) if gone else np.asarray(values == first, dtype=bool)
     same = np.logical_and.accumulate(same) & (not mixed)
     return same, (None if gone else first), bool(not same[-1])
 
 
+def _in_order(kind: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the rows by (snapshots first, time, kind, id), missing times and ids last."""
+    known = ~pd.isna(ids)
+    order = np.flatnonzero(known)
+    order = np.concatenate((order[np.argsort(ids[known], kind="stable")], np.flatnonzero(~known)))
+    return order[np.lexsort((kind[order], at[order], np.isnat(at[order]), kind[order] != SEED))]
+
+
 def fold_device(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Features of a device's new transactions, and its state after all its new events."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows.assign(first=rows["kind"] != SEED).sort_values(["first", "event_time", "kind", "transaction_id"], kind="stable")
+    frames = list(batches)
+    rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    kind, ids = rows["kind"].to_numpy(), rows["transaction_id"].to_numpy(object)
+    when = rows["event_time"].to_numpy().view("datetime64[us]")
+    order = _in_order(kind, when, ids)
+    kind, ids, when = kind[order], ids[order], when[order]
+    micros = when.view("int64")
     n, total, last, first, ip, ip_mixed, source, source_mixed, frauds = state.get if state.exists else _EMPTY
-    seeds = rows[rows["kind"] == SEED]
-    if len(seeds) and not n:
-        s = seeds.iloc[-1]
-        us = _micros(seeds[["last_transaction", "first_seen"]].iloc[-1])
+    seeds = int(np.count_nonzero(kind == SEED))
+    if seeds and not n:
+        s = rows.iloc[order[seeds - 1]]
         n, total, frauds = int(s["txn_count"]), float(s["purchase_sum"]), int(s["fraud_count"]) + frauds
-        last, first = int(us[0]), int(us[1])
+        last, first = int(s["last_transaction"]), int(s["first_seen"])
         ip, ip_mixed = (None if pd.isna(s["ip_address"]) else float(s["ip_address"])), bool(s["ip_mixed"])
         source, source_mixed = (None if pd.isna(s["source"]) else s["source"]), bool(s["source_mixed"])
 
-    live = rows[rows["kind"] != SEED]
-    fraud = ((live["kind"] == LABELLED) & (live["is_fraud"] == 1)).to_numpy().astype("int64")
-    known = frauds + np.cumsum(fraud)  # a label never precedes itself, so "up to" is "before" for transactions
-    txns = live[live["kind"] == TXN]
-    if len(txns):
-        known_then = known[(live["kind"] == TXN).to_numpy()]
-        at, value = _micros(txns["event_time"]), txns["purchase_value"].fillna(0.0).to_numpy(float)
-        before = n + np.arange(len(txns))
+    said = rows["is_fraud"].to_numpy(float, na_value=np.nan)[order]
+    # a label never precedes itself, so "up to" is "before" for transactions
+    known = frauds + np.cumsum((kind == LABELLED) & (said == 1))
+    txns, labels = np.flatnonzero(kind == TXN), np.flatnonzero(kind == LABELLED)
+    size, blank = len(txns), np.zeros(len(labels))
+    made = [np.zeros(0)] * len(_FEATURE_COLUMNS)
+    if size:
+        at, of = micros[txns], order[txns]
+        value = np.nan_to_num(rows["purchase_value"].to_numpy(float, na_value=np.nan)[of], nan=0.0, posinf=np.inf, neginf=-np.inf)
+        before = n + np.arange(size)
         sums = total + np.concatenate([[0.0], np.cumsum(value)])
         previous = np.concatenate([[at[0] if last is None else last], at[:-1]])
         since = (at - previous) / 1e6
         if last is None:
             since[0] = NO_PREVIOUS_SECONDS
         first = int(at[0]) if first is None else first
-        same_ip, ip, ip_mixed = _agrees(txns["ip_address"], ip, ip_mixed, not n)
-        same_source, source, source_mixed = _agrees(txns["source"], source, source_mixed, not n)
-        off = np.where(before > 0, np.abs(value - sums[:-1] / np.maximum(before, 1)), 0.0)
-        yield pd.DataFrame(
-            {
-                "kind": np.int32(TXN),
-                "transaction_id": txns["transaction_id"],
-                "device_id": key[0],
-                "event_time": txns["event_time"],
-                "true_label": np.int32(NO_LABEL),
-                "txn_count": before + 1,
-                "device_ip_consistency": same_ip,
-                "device_source_consistency": same_source,
-                "time_setup_to_txn_seconds": (at - _micros(txns["signup_time"])) / 1e6,
-                "time_since_last_device_txn": since,
-                "purchase_deviation_from_device_mean": off,
-                "device_lifespan": (at - first) / 1e6,
-                "device_fraud_rate": known_then / (before + 1),
-            }
-        )
-        n, total, last = n + len(txns), float(sums[-1]), int(at[-1])
-    labels = live[live["kind"] == LABELLED]
-    if len(labels):
-        blank = {f: False if f.endswith("consistency") else 0 if f == "txn_count" else 0.0 for f in FEATURES}
-        out = labels[["kind", "transaction_id", "device_id", "event_time"]]
-        yield out.assign(true_label=labels["is_fraud"].fillna(NO_LABEL).astype("int32"), **blank)
-    frauds = int(known[-1]) if len(known) else frauds
-    state.update((n, total, last, first, ip, ip_mixed, source, source_mixed, frauds))
+        same_ip, ip, ip_mixed = _agrees(rows["ip_address"].to_numpy(float, na_value=np.nan)[of], ip, ip_mixed, not n)
+        same_source, source, source_mixed = _agrees(rows["source"].to_numpy(object)[of], source, source_mixed, not n)
+        made = {
+            "txn_count": before + 1,
+            "device_ip_consistency": same_ip,
+            "device_source_consistency": same_source,
+            "time_setup_to_txn_seconds": (at - rows["signup_time"].to_numpy()[of]) / 1e6,
+            "time_since_last_device_txn": since,
+            "purchase_deviation_from_device_mean": np.where(before > 0, np.abs(value - sums[:-1] / np.maximum(before, 1)), 0.0),
+            "device_lifespan": (at - first) / 1e6,
+            "device_fraud_rate": known[txns] / (before + 1),
+        }
+        n, total, last = n + size, float(sums[-1]), int(at[-1])
+        made = [made[f] for f in _FEATURE_COLUMNS]
+    if size or len(labels):
+        both = np.concatenate((txns, labels))
+        label = np.concatenate((np.full(size, NO_LABEL), np.nan_to_num(said[labels], nan=NO_LABEL)))
+        # one frame of the columns of OUTPUT; a label's features are blank
+        columns = [kind[both].astype("int32"), ids[both], np.full(len(both), key[0], dtype=object), when[both], label.astype("int32")]
+        columns += [np.concatenate((m, blank)).astype(t) for m, t in zip(made, _FEATURE_TYPES)]
+        yield pd.DataFrame(dict(zip(_COLUMNS, columns)), copy=False)
+    state.update((n, total, last, first, ip, ip_mixed, source, source_mixed, int(known[-1]) if len(known) else frauds))
 
 
 def stream_features(
@@ -126,6 +140,8 @@ def stream_features(
     """
     events = tagged_events(txns, labels, seeds).withColumn("arrived", F.current_timestamp()).withWatermark("arrived", delay)
     events = events.dropDuplicatesWithinWatermark(["transaction_id", "kind"]).drop("arrived")
+    # a device's frame is made column by column: times go as numbers, and columns of snapshots only where there are some
+    events = events.select(*[_numbered(c, t) for c, t in events.dtypes if seeds is not None or c not in _OF_SEEDS])
     return events.groupBy("device_id").applyInPandasWithState(fold_device, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -282,3 +282,15 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     cli.main(["recent", f"{tmp_path}/out", "-k", "3"])
     cli.main(["result", f"{tmp_path}/out", one])
     assert one in capsys.readouterr().out
+
+
+def test_devices_are_handed_over_as_numbers(spark, make, tmp_path, monkeypatch):
+    """Time stamps are converted for each device apart, so none is handed to the fold, nor columns that only snapshots have."""
+
+    seen, one = [], make([("1", 1, 0, 5.0, "a", 1.0, 0)])
+    one.drop("user_id", "is_fraud").write.parquet(f"{tmp_path}/t")
+    stream = spark.readStream.schema(one.drop("user_id", "is_fraud").schema).parquet(f"{tmp_path}/t")
+    grouped = type(one.groupBy("device_id"))
+    monkeypatch.setattr(grouped, "applyInPandasWithState", lambda self, *args: seen.append(dict(self._df.dtypes)))
+    job.stream_features(stream)
+    assert "timestamp" not in seen[0].values() and "txn_count" not in seen[0]
