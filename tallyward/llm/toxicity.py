@@ -5,9 +5,12 @@ widths one, two and three run over the whole text, the maximum over all places i
 gives a probability. Words that the training rows lack share one row. One dimension of the embeddings starts from the
 log-odds of the word's bucket, the others from noise; the log-odds come from other rows than those the network learns from.
 
-The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the id; all others are only scored.
-A part of the sample is held back to find, for each language, the probability that best parts the classes; scores are
-bent so that this probability becomes 0.7. The language is guessed from the commonest words of the text itself.
+The model is fitted on all labelled rows. They are dealt by a hash of the id over shards of about ``SHARD_ROWS``; within a shard, in the
+order of the ids, six rows of ten are counted for the log-odds, two train the network and two are held back. Counts are added up over
+the shards. In each round every shard takes the network through its own rows once, and the new network is the mean of those of the
+shards (a row of a table: of the shards that changed it). The rows held back give, for each language, the probability that best parts
+the classes, from counts in ``BINS`` bins; scores are bent so that this probability becomes 0.7. The driver gets counts, bins and the
+network, whose sizes do not depend on the number of rows. The language is guessed from the commonest words of the text itself.
 
 Null and empty texts have no words and get the model's score of an empty text, below 0.7. Labels with null values or
 without a document are not used; a document with several labels is toxic if one says so. Without any toxic or any clean
@@ -17,15 +20,19 @@ gives an empty result. Columns other than id and text are not read.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import spare
+from tallyward.llm.common import hinted, spare
 from tallyward.session import settle
 
-SAMPLE_ROWS = 12_000
+SHARD_ROWS = 12_000
+BINS = 1 << 16
 BUCKETS = 1 << 20
 PREFIX = 4
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
@@ -129,129 +136,207 @@ class Model:
         cut = self.cuts[self.guess(whole, offsets)]
         return np.clip(np.where(p < cut, p / cut * CUT, CUT + (p - cut) / (1 - cut) * (1 - CUT)), 0, 1)
 
-    def fit(self, whole, prefix, offsets, labels) -> None:
+    def parameters(self) -> list[np.ndarray]:
+        """Everything that is trained, as views of rows of DIM numbers."""
+        return [a.reshape(-1, DIM) for a in (*self.tables, *self.filters, *self.bias, self.out)]
+
+    def fit(self, whole, prefix, offsets, labels, memory: list[np.ndarray], turn: int) -> list[np.ndarray]:
+        """Take the network through the rows for the ``turn``-th time; returns the rows of the tables that have changed."""
         self.training, rng, rows = True, np.random.default_rng(5), self.rows(whole, prefix)
-        memory = [np.full(t.shape, 1e-3, np.float32) for t in (*self.tables, *self.filters, *self.bias)] + [np.full(self.out.shape, 1e-3, np.float32)]
+        for _ in range(turn):
+            rng.permutation(len(labels))
+        memory = [m.reshape(v.shape) for m, v in zip(memory, (*self.tables, *self.filters, *self.bias, self.out))]
+        changed = [np.zeros(len(t), bool) for t in self.tables]
 
         def move(value, m, grad, at=slice(None)):
             m[at] += grad * grad
             value[at] -= RATE * grad / np.sqrt(m[at])
 
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(labels))
-            for a in range(0, len(order), BATCH):
-                own = order[a : a + BATCH]
-                span = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in own])
-                ends = np.concatenate(([0], np.cumsum(offsets[own + 1] - offsets[own])))
-                r = (rows[0][span], rows[1][span])
-                values, places, x = self.pooled(r, ends)
-                p = 1 / (1 + np.exp(-np.clip(values @ self.out + self.base, -30, 30)))
-                error = ((p - labels[own]) / len(own)).astype(np.float32)
-                back = error[:, None] * self.out[None, :]
-                move(self.out, memory[-1], values.T @ error)
-                self.base -= RATE * error.sum()
-                grad_x = np.zeros_like(x)
-                last = np.repeat(ends[1:], np.diff(ends))
-                for j, w in enumerate(WIDTHS):
-                    kernel, step = np.zeros_like(self.filters[j]), np.zeros(FILTERS, np.float32)
-                    for f in range(FILTERS):
-                        c = j * FILTERS + f
-                        got = np.flatnonzero(places[:, c] >= 0)
-                        at, g = places[got, c], back[got, c]
-                        step[f] = g.sum()
-                        for k in range(w):
-                            ok = at + k < last[at] if len(at) else np.zeros(0, bool)
-                            kernel[k * DIM : (k + 1) * DIM, f] = x[at[ok] + k].T @ g[ok]
-                            np.add.at(grad_x, at[ok] + k, g[ok, None] * self.filters[j][k * DIM : (k + 1) * DIM, f])
-                    move(self.filters[j], memory[2 + j], kernel)
-                    move(self.bias[j], memory[2 + len(WIDTHS) + j], step)
-                hit = np.flatnonzero(grad_x.any(axis=1))
-                for t in range(2):
-                    ids, inverse = np.unique(r[t][hit], return_inverse=True)
-                    g = np.zeros((len(ids), DIM), np.float32)
-                    np.add.at(g, inverse, grad_x[hit])
-                    g[ids == 0] = 0  # the row of unseen words stays
-                    move(self.tables[t], memory[t], g, ids)
+        order = rng.permutation(len(labels))
+        for a in range(0, len(order), BATCH):
+            own = order[a : a + BATCH]
+            span = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in own])
+            ends = np.concatenate(([0], np.cumsum(offsets[own + 1] - offsets[own])))
+            r = (rows[0][span], rows[1][span])
+            values, places, x = self.pooled(r, ends)
+            p = 1 / (1 + np.exp(-np.clip(values @ self.out + self.base, -30, 30)))
+            error = ((p - labels[own]) / len(own)).astype(np.float32)
+            back = error[:, None] * self.out[None, :]
+            move(self.out, memory[-1], values.T @ error)
+            self.base -= RATE * error.sum()
+            grad_x = np.zeros_like(x)
+            last = np.repeat(ends[1:], np.diff(ends))
+            for j, w in enumerate(WIDTHS):
+                kernel, step = np.zeros_like(self.filters[j]), np.zeros(FILTERS, np.float32)
+                for f in range(FILTERS):
+                    c = j * FILTERS + f
+                    got = np.flatnonzero(places[:, c] >= 0)
+                    at, g = places[got, c], back[got, c]
+                    step[f] = g.sum()
+                    for k in range(w):
+                        ok = at + k < last[at] if len(at) else np.zeros(0, bool)
+                        kernel[k * DIM : (k + 1) * DIM, f] = x[at[ok] + k].T @ g[ok]
+                        np.add.at(grad_x, at[ok] + k, g[ok, None] * self.filters[j][k * DIM : (k + 1) * DIM, f])
+                move(self.filters[j], memory[2 + j], kernel)
+                move(self.bias[j], memory[2 + len(WIDTHS) + j], step)
+            hit = np.flatnonzero(grad_x.any(axis=1))
+            for t in range(2):
+                ids, inverse = np.unique(r[t][hit], return_inverse=True)
+                g = np.zeros((len(ids), DIM), np.float32)
+                np.add.at(g, inverse, grad_x[hit])
+                g[ids == 0] = 0  # the row of unseen words stays
+                move(self.tables[t], memory[t], g, ids)
+                changed[t][ids] = True
         self.training = False
+        return changed
 
 
-def log_odds(buckets: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seen: np.ndarray, place: np.ndarray) -> np.ndarray:
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Smoothed log-odds of each seen bucket, by documents that have it."""
-    doc = np.repeat(np.arange(len(labels)), np.diff(offsets))
-    pairs = np.unique(doc * np.int64(BUCKETS) + buckets)
-    doc, row = pairs // BUCKETS, place[pairs % BUCKETS]
-    out = np.zeros(len(seen) + 1, np.float32)
-    toxic = np.bincount(row, weights=labels[doc], minlength=len(out))
-    clean = np.bincount(row, weights=1 - labels[doc], minlength=len(out))
-    n1, n0 = max(labels.sum(), 1), max((1 - labels).sum(), 1)
     # a bucket that few documents have stays near 0 or below
-    out[:] = np.log((toxic + 0.2) / n1) - np.log((clean + 2) / n0)
+    out = np.log((toxic + 0.2) / max(n1, 1)) - np.log((clean + 2) / max(n0, 1))
     out[toxic < 3] = np.minimum(out[toxic < 3], 0)
-    out[0] = 0
-    return np.clip(out, -1, 6)
+    return np.clip(np.concatenate(([0], out)).astype(np.float32), -1, 6)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, where: Column | None = None) -> Model | float:
-    """The fitted model, or a constant score if one class is missing. ``where`` keeps label rows, by the column ``id``."""
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, where: Column | None, shard_rows: int) -> DataFrame:
+    """(id, toxic, shard, tenth, k, whole, prefix) of every document with a label; ``k`` tells rows of one id apart."""
     known = labels.select(F.col(doc_id).alias("id"), F.col("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     if where is not None:
         known = known.where(where)
-    # rows of a hash order, so the choice does not depend on the layout; at most sample_rows are broadcast and collected
-    own = docs.select(F.col(doc_id).alias("id"))
-    chosen = settle(known.join(own, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample_rows))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "toxic", hashed("text").alias("h"))
-    table = rows.select("id", "toxic", "h.*").toArrow().sort_by("id").combine_chunks()
-    y = table["toxic"].to_numpy().astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
-    (whole, offsets), (prefix, _) = (flat(table[c].combine_chunks() if table[c].num_chunks != 1 else table[c].chunk(0)) for c in ("whole", "prefix"))
-    tenth = np.arange(len(y)) % 10  # six parts for log-odds, two for the network, two for the cuts
+    known = settle(known.join(docs.select(F.col(doc_id).alias("id")), "id", "left_semi"))
+    shards = max(1, -(-known.count() // shard_rows))
+    known = known.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    # a shard's rows here are ids and labels only, and of bounded number
+    place = F.row_number().over(W.partitionBy("shard").orderBy("id")) - 1
+    known = settle(known.withColumn("tenth", (place % 10).cast("int")))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(hinted(known), "id")
+    return rows.select("id", "toxic", "shard", "tenth", F.xxhash64("text").alias("k"), hashed("text").alias("h")).select("*", "h.*").drop("h")
+
+
+def _counted(rows: DataFrame) -> pa.Table:
+    """(side, bucket, toxic, clean): the documents of six tenths by bucket, for every bucket that occurs; bucket -1 of side 0 is in all."""
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.concat(F.array_distinct("whole"), F.array(F.lit(-1))).alias("buckets")),
+        F.struct(F.lit(1).alias("side"), F.array_distinct("prefix").alias("buckets")),
+    )
+    each = rows.select("toxic", (F.col("tenth") < 6).cast("int").alias("own"), F.explode(sides).alias("s"))
+    each = each.select("toxic", "own", "s.side", F.explode("s.buckets").alias("bucket"))
+    counts = each.groupBy("side", "bucket").agg(F.sum(F.col("own") * F.col("toxic")).alias("toxic"), F.sum(F.col("own") * (1 - F.col("toxic"))).alias("clean"))
+    return counts.toArrow().combine_chunks().sort_by([("side", "ascending"), ("bucket", "ascending")])
+
+
+_NUMBERS = [f"v{i}" for i in range(DIM)] + [f"m{i}" for i in range(DIM)]
+
+
+def _round(rows: DataFrame, model: Model, memory: list[np.ndarray], turn: int) -> None:
+    """Every shard trains from the same network; the means of what they end at become the network."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, memory))
+
+    def train_shard(table: pa.Table) -> pa.Table:
+        own, held = copy.deepcopy(shared.value)
+        table = table.sort_by([("id", "ascending"), ("k", "ascending")]).combine_chunks()
+        (whole, offsets), (prefix, _) = (flat(table[c].chunk(0)) for c in ("whole", "prefix"))
+        changed = own.fit(whole, prefix, offsets, table["toxic"].to_numpy().astype(np.float64), held, turn)
+        parts, at, numbers = [], [], []
+        for i, (value, m) in enumerate(zip(own.parameters(), held)):
+            ids = np.flatnonzero(changed[i]) if i < len(changed) else np.arange(len(value))
+            parts.append(np.full(len(ids), i, np.int32)), at.append(ids), numbers.append(np.hstack((value[ids], m.reshape(-1, DIM)[ids])))
+        base = np.zeros((1, 2 * DIM), np.float32)
+        base[0, 0] = own.base
+        parts.append(np.full(1, len(held), np.int32)), at.append(np.zeros(1, np.int64)), numbers.append(base)
+        numbers = np.concatenate(numbers)
+        return pa.table({"part": np.concatenate(parts), "row": np.concatenate(at), **{c: np.ascontiguousarray(numbers[:, i]) for i, c in enumerate(_NUMBERS)}})
+
+    out = rows.groupBy("shard").applyInArrow(train_shard, "part int, row long, " + ", ".join(f"{c} float" for c in _NUMBERS))
+    table = out.groupBy("part", "row").agg(*[F.avg(c).cast("float").alias(c) for c in _NUMBERS]).toArrow()
+    shared.unpersist()
+    part, row = table["part"].to_numpy(), table["row"].to_numpy()
+    numbers = np.stack([table[c].to_numpy() for c in _NUMBERS], axis=1)
+    for i, (value, m) in enumerate(zip(model.parameters(), memory)):
+        own = part == i
+        value[row[own]], m.reshape(-1, DIM)[row[own]] = numbers[own, :DIM], numbers[own, DIM:]
+    for b in numbers[part == len(memory), 0]:  # none where no row trains
+        model.base = b
+
+
+def _binned(rows: DataFrame, model: Model) -> pa.Table:
+    """(lang, bin, low, high, toxic, clean): the probabilities of the rows held back, counted in bins."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        for batch in batches:
+            whole, prefix = batch.column("whole"), batch.column("prefix")
+            (words, offsets), (firsts, _) = flat(whole), flat(prefix)
+            lang = shared.value.guess(words, offsets).astype(np.int32)
+            p = in_parts(lambda w, f, o: shared.value.probability(w, f, o), words, firsts, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(p), batch.column("toxic")], ["lang", "p", "toxic"])
+
+    told = rows.select("whole", "prefix", "toxic").mapInArrow(judge, "lang int, p double, toxic int")
+    told = told.groupBy("lang", F.floor(F.col("p") * BINS).cast("int").alias("bin"))
+    told = told.agg(F.min("p").alias("low"), F.max("p").alias("high"), F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    return told.toArrow().combine_chunks()
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS, where: Column | None = None) -> Model | float:
+    """The fitted model, or a constant score if one class is missing. ``where`` keeps label rows, by the column ``id``."""
+    rows = labelled(docs, labels, doc_id, text, where, shard_rows)
+    y = rows.select(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
+    if not y["n"] or y["toxic"] in (0, y["n"]):
+        return float(y["toxic"] / y["n"]) if y["n"] else 0.0
     spark = docs.sparkSession
     common = spark.range(1).select(*(F.array(*(F.pmod(F.xxhash64(F.lit(w)), F.lit(BUCKETS)).cast("int") for w in COMMON[k].split())).alias(k) for k in COMMON)).first()
-    model = Model(np.unique(whole), np.unique(prefix), {b: i for i, k in enumerate(COMMON) for b in common[k]}, len(COMMON))
-    part = lambda keep: (np.repeat(keep, np.diff(offsets)), np.concatenate(([0], np.cumsum(np.diff(offsets)[keep]))))
-    words, ends = part(tenth < 6)
-    for t, (buckets, table_) in enumerate(zip((whole, prefix), model.tables)):
-        seen = np.unique(buckets)
-        table_[:, 0] = log_odds(buckets[words], ends, y[tenth < 6], seen, model.place[t]) / 2
-    words, ends = part((tenth == 6) | (tenth == 7))
-    model.fit(whole[words], prefix[words], ends, y[(tenth == 6) | (tenth == 7)])
-    held = tenth > 7
-    words, ends = part(held)
-    p, lang = model.probability(whole[words], prefix[words], ends), model.guess(whole[words], ends)
-    overall = best_cut(p, y[held])
+    counts = _counted(rows)
+    side, bucket, toxic, clean = (counts[c].to_numpy() for c in ("side", "bucket", "toxic", "clean"))
+    every = bucket < 0
+    n1, n0 = int(toxic[every].sum()), int(clean[every].sum())
+    seen = [(side == s) & ~every for s in (0, 1)]
+    model = Model(bucket[seen[0]], bucket[seen[1]], {b: i for i, k in enumerate(COMMON) for b in common[k]}, len(COMMON))
+    for own, table in zip(seen, model.tables):
+        table[:, 0] = log_odds(toxic[own], clean[own], n1, n0) / 2
+    kept = settle(rows.where("tenth >= 6"))
+    memory = [np.full(v.shape, 1e-3, np.float32) for v in model.parameters()]
+    for turn in range(EPOCHS):
+        _round(kept.where("tenth < 8"), model, memory, turn)
+    bins = _binned(kept.where("tenth >= 8"), model)
+    lang, low, high, toxic, clean = (bins[c].to_numpy() for c in ("lang", "low", "high", "toxic", "clean"))
+    overall = best_cut(low, high, toxic, clean)
     for k in range(len(COMMON)):
         own = lang == k
-        enough = min(y[held][own].sum(), (1 - y[held][own]).sum()) >= 5
-        model.cuts[k] = best_cut(p[own], y[held][own]) if enough else overall
+        enough = min(toxic[own].sum(), clean[own].sum()) >= 5
+        model.cuts[k] = best_cut(low[own], high[own], toxic[own], clean[own]) if enough else overall
     return model
 
 
-def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at which fewest rows of a held-back part are judged wrongly."""
-    order = np.argsort(p)
-    p, y = p[order], y[order]
-    wrong = np.concatenate(([0], np.cumsum(y))) + np.concatenate((np.cumsum((1 - y)[::-1])[::-1], [0]))
-    edges = np.concatenate(([0.0], p, [1.0]))
+def best_cut(low: np.ndarray, high: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The middle of the gap between bins at which fewest rows of a held-back part are judged wrongly."""
+    order = np.lexsort((high, low))
+    low, high, toxic, clean = low[order], high[order], toxic[order], clean[order]
+    wrong = np.concatenate(([0], np.cumsum(toxic))) + np.concatenate((np.cumsum(clean[::-1])[::-1], [0]))
+    below, above = np.concatenate(([0.0], high)), np.concatenate((low, [1.0]))
     ties = np.flatnonzero(wrong == wrong.min())
-    gaps = edges[ties + 1] - edges[ties]
-    k = ties[np.argmax(gaps)]
-    return float(np.clip((edges[k] + edges[k + 1]) / 2, 0.05, 0.95))
+    k = ties[np.argmax(above[ties] - below[ties])]
+    return float(np.clip((below[k] + above[k]) / 2, 0.05, 0.95))
 
 
-def scores(model: Model, whole: pa.Array, prefix: pa.Array) -> np.ndarray:
-    """The score of each row of a batch, worked out on a bounded number of words at a time."""
-    (whole, offsets), (prefix, _) = flat(whole), flat(prefix)
+def in_parts(judge, whole: np.ndarray, prefix: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """What ``judge`` says of each row, for a bounded number of words at a time."""
     out, a = np.empty(len(offsets) - 1), 0
     while a < len(out):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + 500_000, side="right")) - 1)
         w = slice(offsets[a], offsets[b])
-        out[a:b] = model.score(whole[w], prefix[w], offsets[a : b + 1] - offsets[a])
+        out[a:b] = judge(whole[w], prefix[w], offsets[a : b + 1] - offsets[a])
         a = b
     return out
 
 
+def scores(model: Model, whole: pa.Array, prefix: pa.Array) -> np.ndarray:
+    """The score of each row of a batch."""
+    (whole, offsets), (prefix, _) = flat(whole), flat(prefix)
+    return in_parts(model.score, whole, prefix, offsets)
+
+
 def score(docs: DataFrame, model: Model | float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row."""
     if not isinstance(model, Model):

@@ -436,3 +436,19 @@ def test_pipeline(spark):
     given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert 0 < out.select("doc_id").distinct().count() < given.count()
     assert out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
+
+
+def test_toxicity_learns_from_every_label(spark):
+    """Several shards train one network; words of every labelled row are counted, and the scores tell the classes apart."""
+    data = [(i, " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(20)) + (f" vile{i % 3} word" if i % 4 == 0 else f" only{i}"), int(i % 4 == 0)) for i in range(900)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    shards = toxicity.labelled(docs, labels, "doc_id", "text", None, 60).groupBy("shard").count().collect()
+    assert len(shards) == 15 and sum(r["count"] for r in shards) == 900
+    model = toxicity.train(docs, labels, shard_rows=60)
+    words = {r["b"] for r in docs.select(toxicity.hashed("text").alias("h")).selectExpr("explode(h.whole) AS b").distinct().collect()}
+    assert len(model.tables[0]) == len(words) + 1 > 700
+    found = {r["doc_id"]: r["score"] >= toxicity.CUT for r in toxicity.score(docs, model).collect()}
+    assert sum(found[i] == bool(y) for i, _, y in data) >= 890
+    again = toxicity.train(docs.repartition(7), labels.repartition(3), shard_rows=60)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(model.tables, again.tables))
