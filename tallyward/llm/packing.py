@@ -33,6 +33,8 @@ CHUNK_ROWS = 200_000
 # Words encoded at a time, and bytes of text worked on at a time: they bound a worker's memory.
 BLOCK_WORDS = 8192
 SLICE_BYTES = 16 << 20
+# Words, and bytes of them, whose ids a worker remembers.
+KNOWN_WORDS, KNOWN_BYTES = 1 << 18, 8 << 20
 # White space around a space: there a word's ids can depend on its neighbours.
 BLANKS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANK = f"[{BLANKS}]"
@@ -54,6 +56,27 @@ class WordIds:
         shown = self.tokenizer.get_vocab()  # a character for each byte
         self.bytes_of = np.zeros(max(shown.values(), default=0) + 1, dtype=np.int64)
         self.bytes_of[list(shown.values())] = [len(t) for t in shown]
+        self.words, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.begin, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def remembered(self, words: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them those of each word begin and how many they are; only words not known are encoded, and those that come ``often`` become known."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words.cast(words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new))
+        ids, n = self.together(fresh)
+        begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(n) - n))
+        flat, sizes = np.concatenate([self.flat, *ids]), np.concatenate((self.sizes, n))
+        at[new] = len(self.words) + np.arange(len(new))
+        kept = np.flatnonzero(often[new])
+        added = fresh.take(pa.array(kept))
+        if len(kept) and len(self.words) + len(added) <= KNOWN_WORDS and self.words.nbytes + added.nbytes <= KNOWN_BYTES:
+            n, first = n[kept], begin[len(self.words) + kept]
+            places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(n) - n))
+            self.flat, self.sizes = np.concatenate((self.flat, flat[places])), np.concatenate((self.sizes, n))
+            self.words = pa.concat_arrays([self.words.cast(words.type), added])
+        return flat, begin[at], sizes[at]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -90,13 +113,15 @@ class WordIds:
             first, place = np.unique(codes[starts], return_inverse=True)
             codes[starts] = len(words) + place
             plain = pc.invert(pc.or_(pc.match_substring_regex(words, BLANK), pc.equal(pc.binary_length(words), 0))).to_numpy(zero_copy_only=False)
-            flat, n = self.together(words.filter(pa.array(plain)))
+            often = np.bincount(codes, minlength=len(words))[: len(words)] > 1
+            flat, starts, counts = self.remembered(words.filter(pa.array(plain)), often[plain])
             own = self.encode([" " + w for w in words.filter(pa.array(~plain)).to_pylist()] + words.take(pa.array(first)).to_pylist())
-            sizes, order = np.zeros(len(words) + len(first), np.int64), np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain), len(words) + np.arange(len(first))))
-            sizes[order] = np.concatenate((n, np.fromiter(map(len, own), dtype=np.int64, count=len(own))))
-            begin = np.zeros(len(sizes), np.int64)
-            begin[order] = np.cumsum(sizes[order]) - sizes[order]
-            flat = np.concatenate([*flat, *own, np.zeros(0, np.uint32)])
+            n = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+            # plain words, then others and the first words of texts
+            order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain), len(words) + np.arange(len(first))))
+            sizes, begin = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            sizes[order], begin[order] = np.concatenate((counts, n)), np.concatenate((starts, len(flat) + np.cumsum(n) - n))
+            flat = np.concatenate([flat, *own, np.zeros(0, np.uint32)])
             odd = pc.match_substring_regex(part, f"{BLANK} | {BLANK}").to_numpy(zero_copy_only=False)
             for i in range(len(part)):
                 if odd[i]:

@@ -452,3 +452,20 @@ def test_toxicity_learns_from_every_label(spark):
     assert sum(found[i] == bool(y) for i, _, y in data) >= 890
     again = toxicity.train(docs.repartition(7), labels.repartition(3), shard_rows=60)
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(model.tables, again.tables))
+
+
+def test_packing_remembers_words(monkeypatch):
+    """A word that an earlier slice had is not encoded again, and the ids are those of the whole text, also when no more can be known."""
+    import public_tokenizers
+
+    encoder = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    sent, together = [], encoder.together
+    monkeypatch.setattr(encoder, "together", lambda words: sent.append(len(words)) or together(words))
+    texts = ["one two three two", "", "two fouré  x one", "three two one two", "odd\tword two"]
+    whole = lambda t: encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    for _ in range(2):
+        assert [ids.tolist() for ids in encoder.batch(pa.array(texts))] == [whole(t) for t in texts]
+    assert sent[0] > sent[1] and encoder.words.to_pylist()
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 3)
+    for part in (texts, [" ".join(f"n{i} two" for i in range(9))], texts):
+        assert [ids.tolist() for ids in encoder.batch(pa.array(part))] == [whole(t) for t in part]
