@@ -24,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyward.llm.common import hinted, spaced_words
@@ -143,14 +144,16 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "do
     lead_home = placed.where(F.col("rep") == F.col("lead")).select("key", F.col("home").alias("lead_home"))
     placed = placed.join(lead_home, "key", "left")
     mixed = placed.where(~F.col("home").eqNullSafe(F.col("lead_home"))).select("key").distinct()
-    pool = settle(placed.join(mixed, "key").join(classes.select("rep", "bands"), "rep"))
+    pool = settle(placed.join(mixed, "key"))
     # the same bound among the members that have met one lead
     met = settle(pool.select("lead", "rep").distinct())
     seen = texts.join(hinted(met.select("rep").distinct()), "rep", "left_semi").dropDuplicates(["rep"]).select("rep", short.alias("all"))
     seen = seen.join(met, "rep").select("lead", "rep", F.explode("all").alias("s"))
     lonely = seen.groupBy("lead", "s").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("lead", "rep").agg(F.count(F.lit(1)).alias("u"))
-    pool = settle(pool.join(lonely, ["lead", "rep"], "left").withColumn("c", F.least(F.col("c"), F.col("n") - F.coalesce("u", F.lit(0)))).drop("u"))
-    side = lambda x, rest: pool.select("key", F.col("rep").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "c", "home", "shared", "bands")), *rest)
+    pool = pool.join(lonely, ["lead", "rep"], "left").withColumn("c", F.least(F.col("c"), F.col("n") - F.coalesce("u", F.lit(0)))).drop("u")
+    # the keys before this one that a member has here: at most one for each band
+    pool = settle(pool.withColumn("before", F.collect_list("key").over(W.partitionBy("rep").orderBy("key").rowsBetween(W.unboundedPreceding, -1))))
+    side = lambda x, rest: pool.select("key", F.col("rep").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "c", "home", "shared", "before")), *rest)
     apart = side("a", ["lead_home"]).where(~F.col("ha").eqNullSafe(F.col("lead_home")))
     others = side("b", ["lead"]).where(F.col("b") != F.col("lead"))  # each member has met the lead
     # what two sets share lies in the lead's set or outside of it; what only one candidate has is not shared
@@ -158,8 +161,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "do
     enough = (F.col("na") + F.col("nb")) * percent <= F.least(within, "ca", "cb") * (100 + percent)
     once = F.col("hb").eqNullSafe(F.col("lead_home")) | (F.col("a") < F.col("b"))
     # a pair counts in the first key that it shares
-    earlier = F.array_position("ba", F.col("key")).cast("int") - 1
-    first = ~F.arrays_overlap(F.slice("ba", F.lit(1), earlier), F.slice("bb", F.lit(1), earlier))
+    first = ~F.arrays_overlap("ba", "bb")
     more = apart.join(others, "key").where((F.col("ha") != F.col("hb")) & once & enough & first)
     more = settle(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = links.unionByName(_linked(_compared(more, docs, words, doc_id, text), percent))

@@ -469,3 +469,15 @@ def test_packing_remembers_words(monkeypatch):
     monkeypatch.setattr(packing, "KNOWN_WORDS", 3)
     for part in (texts, [" ".join(f"n{i} two" for i in range(9))], texts):
         assert [ids.tolist() for ids in encoder.batch(pa.array(part))] == [whole(t) for t in part]
+
+
+def test_near_duplicates_store_no_bands_by_bucket(spark, monkeypatch):
+    """Rows of a bucket do not carry the keys of all bands, which a hot group would multiply by its buckets; links stay those of all pairs."""
+    kept, settle = [], near_dups.settle
+    monkeypatch.setattr(near_dups, "settle", lambda df: kept.append(df.columns) or settle(df))
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base[:k] + [f"x{i}{k}"] + base[k + 1 :]) for i in range(3) for k in range(0, 40, 4)] + ["other words here", "none at all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs, 2, 80).collect()}
+    assert not [c for c in kept if "key" in c and "bands" in c]
+    assert set(list(got.values())[:30]) == {0} and got[30] == 30 and got[31] == 31
