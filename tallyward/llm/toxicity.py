@@ -205,13 +205,17 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, where:
     known = known.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     if where is not None:
         known = known.where(where)
-    known = settle(known.join(docs.select(F.col(doc_id).alias("id")), "id", "left_semi"))
-    shards = max(1, -(-known.count() // shard_rows))
-    known = known.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    own = docs.select(F.col(doc_id).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+    known = settle(known.join(own, "id"))
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.max("copies").alias("most")).first()
+    known = known.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size["n"] // shard_rows)))).cast("int"))
     # a shard's rows here are ids and labels only, and of bounded number
-    place = F.row_number().over(W.partitionBy("shard").orderBy("id")) - 1
-    known = settle(known.withColumn("tenth", (place % 10).cast("int")))
+    known = settle(known.withColumn("place", F.sum("copies").over(W.partitionBy("shard").orderBy("id")) - F.col("copies")))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(hinted(known), "id")
+    if (size["most"] or 1) > 1:  # rows of one id take places one after the other
+        copy = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("text"))) - 1
+        rows = rows.where("copies = 1").unionByName(rows.where("copies > 1").withColumn("place", F.col("place") + copy))
+    rows = rows.withColumn("tenth", (F.col("place") % 10).cast("int"))
     return rows.select("id", "toxic", "shard", "tenth", F.xxhash64("text").alias("k"), hashed("text").alias("h")).select("*", "h.*").drop("h")
 
 
