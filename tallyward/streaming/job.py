@@ -1,12 +1,12 @@
 """The online scorer as one Structured Streaming query.
 
 Transactions and labels (and, on the first start, device snapshots) are one keyed stream; every
-device owns a state row of constant size and its events are folded in the order (time, kind, id)
-within a micro-batch. Results and labels go to the log (``streaming.log``), written once per micro-batch under
+device has a state of constant size, kept with those of its group of devices, and its events are folded in the
+order (time, kind, id) within a micro-batch. Results and labels go to the log (``streaming.log``), written once per micro-batch under
 its batch id, so a repeated batch replaces itself. The mutable record of a transaction is a view: its
 result and its latest label.
 
-How much one device can bring to one task is bounded by the source's per-trigger limit.
+How much one group of devices can bring to one task is bounded by the source's per-trigger limit.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,11 +34,17 @@ __all__ = ["compact", "latest", "record", "records", "results", "run_stream", "s
 # How long the id of an event is kept to know a repeat by.
 REPEATS_WITHIN = "1 day"
 
-STATE = (
-    "txn_count bigint, purchase_sum double, last_us bigint, first_us bigint, ip double, ip_mixed boolean, "
-    "source string, source_mixed boolean, fraud_count bigint"
-)
-_EMPTY = (0, 0.0, None, None, None, False, None, False, 0)
+# Devices are dealt to this many groups by a hash. A frame to Python costs as much as the events of hundreds of devices, so a group of
+# them is folded at once; its state is one value, the devices' states in columns. Fixed for the life of a checkpoint.
+DEVICE_GROUPS = 1024
+
+STATE = "devices binary"
+_DEVICE_STATE = pa.schema(
+    [
+        ("device_id", pa.string()), ("txn_count", pa.int64()), ("purchase_sum", pa.float64()), ("met", pa.bool_()), ("last_us", pa.int64()), ("first_us", pa.int64()),
+        ("ip", pa.float64()), ("ip_mixed", pa.bool_()), ("source", pa.string()), ("source_mixed", pa.bool_()), ("fraud_count", pa.int64()),
+    ]
+)
 _OF_SEEDS = ("txn_count", "purchase_sum", "last_transaction", "first_seen", "ip_mixed", "source_mixed", "fraud_count")
 _NO_TIME = int(np.iinfo("int64").min)
 _COLUMNS = [c.split(" ")[0] for c in OUTPUT.split(", ")]
@@ -50,80 +57,139 @@ def _numbered(name: str, kind: str) -> Column:
     return F.coalesce(F.unix_micros(name), F.lit(_NO_TIME)).alias(name) if kind == "timestamp" else F.col(name)
 
 
-def _agrees(values: np.ndarray, first, mixed: bool, fresh: bool) -> tuple[np.ndarray, object, bool]:
-    """Whether all members up to each row are one and the same, a missing value being a member too."""
-    if fresh:
-        first = values[0]
-    gone = pd.isna(first)
-    same = pd.isna(values) if gone else np.asarray(values == first, dtype=bool)
-    same = np.logical_and.accumulate(same) & (not mixed)
-    return same, (None if gone else first), bool(not same[-1])
+def _opened(state: GroupState) -> dict[str, np.ndarray]:
+    """The columns of a group's state, to be written to; no rows at first."""
+    table = pa.ipc.open_stream(bytes(state.get[0])).read_all() if state.exists else _DEVICE_STATE.empty_table()
+    return {n: np.array(c.to_numpy()) for n, c in zip(table.column_names, table.columns)}
 
 
-def _in_order(kind: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Places of the rows by (snapshots first, time, kind, id), missing times and ids last."""
+def _closed(s: dict[str, np.ndarray]) -> bytes:
+    table, sink = pa.table([pa.array(s[f.name], f.type, from_pandas=f.name in ("device_id", "source")) for f in _DEVICE_STATE], schema=_DEVICE_STATE), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _DEVICE_STATE) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _placed(s: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """The place of each row's device in the state; devices not seen before are added to it, a missing id being one."""
+    codes, names = pd.factorize(ids)
+    names = np.append(np.asarray(names, dtype=object), None)
+    held = {None if pd.isna(d) else d: i for i, d in enumerate(s["device_id"])}
+    used = names if (codes < 0).any() else names[:-1]
+    fresh = [d for d in used if d not in held]
+    held.update(zip(fresh, range(len(held), len(held) + len(fresh))))
+    blank = {"device_id": np.array(fresh, dtype=object), "ip": np.full(len(fresh), np.nan), "source": np.full(len(fresh), None, dtype=object)}
+    for n, column in s.items():
+        s[n] = np.concatenate((column, blank.get(n, np.zeros(len(fresh), dtype=column.dtype))))
+    return np.array([held.get(d, -1) for d in names], dtype=np.int64)[codes]
+
+
+def _in_order(device: np.ndarray, kind: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the rows by device and (snapshots first, time, kind, id), missing times and ids last."""
     known = ~pd.isna(ids)
     order = np.flatnonzero(known)
     order = np.concatenate((order[np.argsort(ids[known], kind="stable")], np.flatnonzero(~known)))
-    return order[np.lexsort((kind[order], at[order], np.isnat(at[order]), kind[order] != SEED))]
+    return order[np.lexsort((kind[order], at[order], at[order] == _NO_TIME, kind[order] != SEED, device[order]))]
+
+
+def _take_seeds(s: dict[str, np.ndarray], rows: pd.DataFrame, device: np.ndarray, kind: np.ndarray, order: np.ndarray) -> None:
+    """Devices without transactions start from the last of their snapshots."""
+    seeds = np.flatnonzero(kind == SEED)
+    last = seeds[np.append(device[seeds][1:] != device[seeds][:-1], True)]
+    last = last[s["txn_count"][device[last]] == 0]
+    columns = {n: rows[n].to_numpy() for n in (*_OF_SEEDS, "ip_address", "source")}
+    for d, i in zip(device[last], order[last]):
+        of = {n: c[i] for n, c in columns.items()}
+        s["txn_count"][d], s["purchase_sum"][d] = int(of["txn_count"]), float(of["purchase_sum"])
+        s["fraud_count"][d] += int(of["fraud_count"])
+        s["met"][d], s["last_us"][d], s["first_us"][d] = True, int(of["last_transaction"]), int(of["first_seen"])
+        s["ip"][d], s["ip_mixed"][d] = (np.nan if pd.isna(of["ip_address"]) else of["ip_address"]), bool(of["ip_mixed"])
+        s["source"][d], s["source_mixed"][d] = (None if pd.isna(of["source"]) else of["source"]), bool(of["source_mixed"])
+
+
+def _so_far(values: np.ndarray, starts: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Running counts of a flag within each run."""
+    counts = np.cumsum(values)
+    return counts - np.repeat(counts[starts] - values[starts], runs)
+
+
+def _agrees(s: dict[str, np.ndarray], name: str, values: np.ndarray, starts: np.ndarray, runs: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Whether all members up to each row are one and the same, a missing value being a member too; the state follows."""
+    first = np.where(s["txn_count"][mine] == 0, values[starts], s[name][mine])
+    gone, each = np.repeat(pd.isna(first), runs), np.repeat(first, runs)
+    same = np.where(gone, pd.isna(values), np.asarray(values == each, dtype=bool))
+    same = (_so_far((~same).astype(np.int64), starts, runs) == 0) & ~np.repeat(s[f"{name}_mixed"][mine], runs)
+    s[name][mine] = first
+    s[f"{name}_mixed"][mine] = ~same[starts + runs - 1]
+    return same
+
+
+def _runs(device: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the rows of each device begin, and how many they are."""
+    starts = np.flatnonzero(np.append(True, device[1:] != device[:-1])) if len(device) else np.zeros(0, dtype=np.int64)
+    return starts, np.diff(np.append(starts, len(device)))
 
 
-def fold_device(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Features of a device's new transactions, and its state after all its new events."""
+def fold_devices(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Features of the new transactions of a group of devices, and the devices' states after all their new events."""
     frames = list(batches)
     rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    s = _opened(state)
+    device = _placed(s, rows["device_id"].to_numpy(object))
     kind, ids = rows["kind"].to_numpy(), rows["transaction_id"].to_numpy(object)
     when = rows["event_time"].to_numpy().view("datetime64[us]")
-    order = _in_order(kind, when, ids)
-    kind, ids, when = kind[order], ids[order], when[order]
-    micros = when.view("int64")
-    n, total, last, first, ip, ip_mixed, source, source_mixed, frauds = state.get if state.exists else _EMPTY
-    seeds = int(np.count_nonzero(kind == SEED))
-    if seeds and not n:
-        s = rows.iloc[order[seeds - 1]]
-        n, total, frauds = int(s["txn_count"]), float(s["purchase_sum"]), int(s["fraud_count"]) + frauds
-        last, first = int(s["last_transaction"]), int(s["first_seen"])
-        ip, ip_mixed = (None if pd.isna(s["ip_address"]) else float(s["ip_address"])), bool(s["ip_mixed"])
-        source, source_mixed = (None if pd.isna(s["source"]) else s["source"]), bool(s["source_mixed"])
+    order = _in_order(device, kind, when.view("int64"), ids)
+    device, kind, ids, when = device[order], kind[order], ids[order], when[order]
+    if (kind == SEED).any():
+        _take_seeds(s, rows, device, kind, order)
 
     said = rows["is_fraud"].to_numpy(float, na_value=np.nan)[order]
     # a label never precedes itself, so "up to" is "before" for transactions
-    known = frauds + np.cumsum((kind == LABELLED) & (said == 1))
+    starts, runs = _runs(device)
+    known = np.repeat(s["fraud_count"][device[starts]], runs) + _so_far(((kind == LABELLED) & (said == 1)).astype(np.int64), starts, runs)
+    s["fraud_count"][device[starts]] = known[starts + runs - 1]
     txns, labels = np.flatnonzero(kind == TXN), np.flatnonzero(kind == LABELLED)
     size, blank = len(txns), np.zeros(len(labels))
     made = [np.zeros(0)] * len(_FEATURE_COLUMNS)
     if size:
-        at, of = micros[txns], order[txns]
+        starts, runs = _runs(device[txns])
+        mine = device[txns][starts]
+        at, of, met = when.view("int64")[txns], order[txns], s["met"][mine]
         value = np.nan_to_num(rows["purchase_value"].to_numpy(float, na_value=np.nan)[of], nan=0.0, posinf=np.inf, neginf=-np.inf)
-        before = n + np.arange(size)
-        sums = total + np.concatenate([[0.0], np.cumsum(value)])
-        previous = np.concatenate([[at[0] if last is None else last], at[:-1]])
+        before = np.arange(size) + np.repeat(s["txn_count"][mine] - starts, runs)
+        sums = np.zeros(size + 1)
+        for a, b in zip(starts, starts + runs):  # each device's sum starts anew, so it does not depend on the others
+            np.cumsum(value[a:b], out=sums[a + 1 : b + 1])
+        sums, through = sums[:-1].copy(), sums[starts + runs]
+        sums[starts] = 0.0
+        sums += np.repeat(s["purchase_sum"][mine], runs)
+        previous = np.append(at[:1], at[:-1])
+        previous[starts] = np.where(met, s["last_us"][mine], at[starts])
         since = (at - previous) / 1e6
-        if last is None:
-            since[0] = NO_PREVIOUS_SECONDS
-        first = int(at[0]) if first is None else first
-        same_ip, ip, ip_mixed = _agrees(rows["ip_address"].to_numpy(float, na_value=np.nan)[of], ip, ip_mixed, not n)
-        same_source, source, source_mixed = _agrees(rows["source"].to_numpy(object)[of], source, source_mixed, not n)
+        since[starts[~met]] = NO_PREVIOUS_SECONDS
+        s["first_us"][mine] = np.where(met, s["first_us"][mine], at[starts])
         made = {
             "txn_count": before + 1,
-            "device_ip_consistency": same_ip,
-            "device_source_consistency": same_source,
+            "device_ip_consistency": _agrees(s, "ip", rows["ip_address"].to_numpy(float, na_value=np.nan)[of], starts, runs, mine),
+            "device_source_consistency": _agrees(s, "source", rows["source"].to_numpy(object)[of], starts, runs, mine),
             "time_setup_to_txn_seconds": (at - rows["signup_time"].to_numpy()[of]) / 1e6,
             "time_since_last_device_txn": since,
-            "purchase_deviation_from_device_mean": np.where(before > 0, np.abs(value - sums[:-1] / np.maximum(before, 1)), 0.0),
-            "device_lifespan": (at - first) / 1e6,
+            "purchase_deviation_from_device_mean": np.where(before > 0, np.abs(value - sums / np.maximum(before, 1)), 0.0),
+            "device_lifespan": (at - np.repeat(s["first_us"][mine], runs)) / 1e6,
             "device_fraud_rate": known[txns] / (before + 1),
         }
-        n, total, last = n + size, float(sums[-1]), int(at[-1])
+        s["txn_count"][mine] += runs
+        s["purchase_sum"][mine] += through
+        s["last_us"][mine], s["met"][mine] = at[starts + runs - 1], True
         made = [made[f] for f in _FEATURE_COLUMNS]
     if size or len(labels):
         both = np.concatenate((txns, labels))
         label = np.concatenate((np.full(size, NO_LABEL), np.nan_to_num(said[labels], nan=NO_LABEL)))
         # one frame of the columns of OUTPUT; a label's features are blank
-        columns = [kind[both].astype("int32"), ids[both], np.full(len(both), key[0], dtype=object), when[both], label.astype("int32")]
+        columns = [kind[both].astype("int32"), ids[both], s["device_id"][device[both]], when[both], label.astype("int32")]
         columns += [np.concatenate((m, blank)).astype(t) for m, t in zip(made, _FEATURE_TYPES)]
         yield pd.DataFrame(dict(zip(_COLUMNS, columns)), copy=False)
-    state.update((n, total, last, first, ip, ip_mixed, source, source_mixed, int(known[-1]) if len(known) else frauds))
+    state.update((_closed(s),))
 
 
 def stream_features(
@@ -140,9 +206,10 @@ def stream_features(
     """
     events = tagged_events(txns, labels, seeds).withColumn("arrived", F.current_timestamp()).withWatermark("arrived", delay)
     events = events.dropDuplicatesWithinWatermark(["transaction_id", "kind"]).drop("arrived")
-    # a device's frame is made column by column: times go as numbers, and columns of snapshots only where there are some
+    # a group's frame is made column by column: times go as numbers, and columns of snapshots only where there are some
     events = events.select(*[_numbered(c, t) for c, t in events.dtypes if seeds is not None or c not in _OF_SEEDS])
-    return events.groupBy("device_id").applyInPandasWithState(fold_device, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    events = events.withColumn("device_group", F.pmod(F.xxhash64("device_id"), F.lit(DEVICE_GROUPS)).cast("int"))
+    return events.groupBy("device_group").applyInPandasWithState(fold_devices, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 Scorer = Callable[[DataFrame], DataFrame]

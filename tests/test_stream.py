@@ -294,3 +294,46 @@ def test_devices_are_handed_over_as_numbers(spark, make, tmp_path, monkeypatch):
     monkeypatch.setattr(grouped, "applyInPandasWithState", lambda self, *args: seen.append(dict(self._df.dtypes)))
     job.stream_features(stream)
     assert "timestamp" not in seen[0].values() and "txn_count" not in seen[0]
+
+
+class HeldState:
+    """A state that a test keeps."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_devices_are_folded_many_at_a_time(spark, make):
+    """One call for all devices of a group, the missing one too: as each device by a call of its own."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice([0, 0, 1]), f"t{i:03d}", rnd.choice(["a", "b", "c", None]), i * 7 % 50, rnd.random(), rnd.choice(["web", "web", None]), rnd.choice([1.0, 1.0, None]), rnd.randrange(2)) for i in range(90)]
+    frame = spark.createDataFrame(rows, "kind int, transaction_id string, device_id string, at long, purchase_value double, source string, ip_address double, is_fraud int").withColumn(
+        "event_time", F.timestamp_micros(F.col("at") * 1_000_000)
+    ).withColumn("signup_time", F.lit(0).cast("long")).toPandas()
+
+    def fold(pick, parts):
+        state, out = HeldState(), []
+        for part in parts:
+            mine = part[pick(part["device_id"])].reset_index(drop=True)
+            out += [tuple(None if v != v else v for v in r) for got in job.fold_devices((0,), iter([mine]), state) for r in got.astype(object).itertuples(index=False)]
+        return sorted(out, key=str)
+
+    parts = [frame[:40], frame[40:]]
+    alone = [fold(lambda d, x=x: d.isna() if x is None else d == x, parts) for x in ("a", "b", "c", None)]
+    whole = fold(lambda d: d.notna() | d.isna(), parts)
+    assert len(whole) == 90 and whole == sorted(sum(alone, []), key=str)
+
+
+def test_state_rows_are_groups_of_devices(make, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(job, "DEVICE_GROUPS", 2)
+    txns = make([(f"t{i:03d}", f"d{i % 20}", 50 * i, 5.0 + i % 3, "web", 1, i % 2) for i in range(60)])
+    write(txns, TRANSACTION, f"{tmp_path}/txns")
+    write(label_events(txns), LABEL, f"{tmp_path}/labels")
+    stream = job.run_stream(transaction_files(spark, f"{tmp_path}/txns"), label_files(spark, f"{tmp_path}/labels"), SCORER, f"{tmp_path}/out", f"{tmp_path}/check")
+    stream.awaitTermination()
+    held = [s["numRowsTotal"] for s in stream.lastProgress["stateOperators"] if "dedupe" not in s["operatorName"].lower()]
+    assert held == [2]
+    got = rows_by(job.results(spark, f"{tmp_path}/out"), "transaction_id", *FEATURES)
+    same(got, rows_by(device_features(txns, "online", label_events(txns)), "transaction_id", *FEATURES))
