@@ -255,7 +255,7 @@ def _round(rows: DataFrame, model: Model, memory: list[np.ndarray], turn: int) -
 
     out = rows.groupBy("shard").applyInArrow(train_shard, "part int, row long, " + ", ".join(f"{c} float" for c in _NUMBERS))
     table = out.groupBy("part", "row").agg(*[F.avg(c).cast("float").alias(c) for c in _NUMBERS]).toArrow()
-    shared.unpersist()
+    shared.destroy()  # its file too, which the driver keeps otherwise
     part, row = table["part"].to_numpy(), table["row"].to_numpy()
     numbers = np.stack([table[c].to_numpy() for c in _NUMBERS], axis=1)
     for i, (value, m) in enumerate(zip(model.parameters(), memory)):
@@ -280,7 +280,9 @@ def _binned(rows: DataFrame, model: Model) -> pa.Table:
     told = rows.select("whole", "prefix", "toxic").mapInArrow(judge, "lang int, p double, toxic int")
     told = told.groupBy("lang", F.floor(F.col("p") * BINS).cast("int").alias("bin"))
     told = told.agg(F.min("p").alias("low"), F.max("p").alias("high"), F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-    return told.toArrow().combine_chunks()
+    out = told.toArrow().combine_chunks()
+    shared.destroy()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS, where: Column | None = None) -> Model | float:

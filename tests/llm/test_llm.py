@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, and the corner cases that their docstrings name."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -184,6 +185,18 @@ def test_toxicity(spark, corners, nothing):
     assert toxicity.judged(nothing, labels).count() == 0 and toxicity.judged(docs, labels.limit(0)).count() == 1200
 
 
+def test_toxicity_leaves_no_network_of_a_round(spark):
+    """The driver keeps a file for each network it has sent until that is destroyed."""
+    data = [(i, prose(i, 60) + (" vile7 rotten9" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(300)]
+    docs, labels = spark.createDataFrame([d[:2] for d in data], DOCS), spark.createDataFrame([(d[0], d[2]) for d in data], "doc_id long, toxic int")
+    held = spark.sparkContext._temp_dir
+    before = set(os.listdir(held))
+    model = toxicity.train(docs, labels)
+    left = sum(os.path.getsize(os.path.join(held, f)) for f in set(os.listdir(held)) - before)
+    assert isinstance(model, toxicity.Model) and left < sum(v.nbytes for v in model.parameters())
+
+
+
 def plain_groups(texts, k):
     sets = {}
     for i, t in texts.items():
