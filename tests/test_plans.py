@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tallyward.operators.entities import device_value_stats, summarize_entity
 from tallyward.operators.features import device_features
 from tallyward.operators.splits import row_slice, time_split
-from tallyward.plans import slices
+from tallyward.plans import components, slices
 from tallyward.plans.components import connected_components
 from tallyward.plans.joins import attach
 from tallyward.plans.slices import Over, cut_points, global_rank, quantile_of, quantiles, ranked_for, row_at, running
-from tallyward.session import GROUP_ROWS
+from tallyward.session import GROUP_ROWS, settle
 
 
 @pytest.fixture(params=[None, "5", "two levels"])
@@ -133,6 +133,32 @@ def test_components(spark, limit):
     assert rows_by(out, "node", "component") == {n: find(n) for n in nodes}
 
 
+def test_components_of_few_pairs_take_few_tasks(spark, monkeypatch):
+    """Whatever the number of shuffle partitions, a round over few pairs leaves few files."""
+    parts = []
+
+    def settled(df):
+        out = settle(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(components, "settle", settled)
+    held = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        edges, nodes = spark.createDataFrame([(i, i + 1) for i in range(20)], "a int, b int"), spark.range(30).selectExpr("cast(id as int) as node")
+        out = rows_by(connected_components(edges, nodes), "node", "component")
+        assert out == {i: 0 if i <= 20 else i for i in range(30)} and set(parts[1:]) == {1}
+        parts.clear()
+        monkeypatch.setattr(components, "PAIRS_PER_TASK", 5)
+        assert rows_by(connected_components(edges, nodes), "node", "component") == out and max(parts[1:]) == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_split_keeps_rows_without_a_time(spark, limit):
     df = spark.createDataFrame([(str(i), None if i < 4 else i) for i in range(12)], "transaction_id string, purchase_time int")
     ids = lambda d: sorted(int(r[0]) for r in d.select("transaction_id").collect())
