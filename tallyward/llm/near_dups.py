@@ -34,8 +34,8 @@ from tallyward.plans.joins import attach
 from tallyward.session import settle
 
 BANDS, ROWS = 36, 5
-# Elements that are sketched at a time.
-BLOCK = 2_000_000
+# Elements that are sketched at a time: what a worker holds for them is some 80 bytes each.
+BLOCK = 250_000
 
 
 def shingles(text: str, words: int) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import hinted, spare
+from tallyward.llm.common import hinted
 from tallyward.session import settle
 
 SHARD_ROWS = 12_000
@@ -38,6 +38,8 @@ PREFIX = 4
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 64, 0.05
 CUT = 0.7
+# Words that are judged at a time: what a worker holds for them is some hundred bytes each.
+PART = 125_000
 # Common words by which the language of a text is told; fixed values.
 COMMON = {
     "en": "the of and to that is with for was",
@@ -136,6 +138,12 @@ class Model:
         cut = self.cuts[self.guess(whole, offsets)]
         return np.clip(np.where(p < cut, p / cut * CUT, CUT + (p - cut) / (1 - cut) * (1 - CUT)), 0, 1)
 
+    def to_train(self) -> Model:
+        """A network of its own to train, over the same places of the buckets."""
+        own = copy.copy(self)
+        own.tables, own.filters, own.bias, own.out = copy.deepcopy((self.tables, self.filters, self.bias, self.out))
+        return own
+
     def parameters(self) -> list[np.ndarray]:
         """Everything that is trained, as views of rows of DIM numbers."""
         return [a.reshape(-1, DIM) for a in (*self.tables, *self.filters, *self.bias, self.out)]
@@ -239,7 +247,7 @@ def _round(rows: DataFrame, model: Model, memory: list[np.ndarray], turn: int) -
     shared = rows.sparkSession.sparkContext.broadcast((model, memory))
 
     def train_shard(table: pa.Table) -> pa.Table:
-        own, held = copy.deepcopy(shared.value)
+        own, held = shared.value[0].to_train(), copy.deepcopy(shared.value[1])
         table = table.sort_by([("id", "ascending"), ("k", "ascending")]).combine_chunks()
         (whole, offsets), (prefix, _) = (flat(table[c].chunk(0)) for c in ("whole", "prefix"))
         changed = own.fit(whole, prefix, offsets, table["toxic"].to_numpy().astype(np.float64), held, turn)
@@ -330,7 +338,7 @@ def in_parts(judge, whole: np.ndarray, prefix: np.ndarray, offsets: np.ndarray)
     """What ``judge`` says of each row, for a bounded number of words at a time."""
     out, a = np.empty(len(offsets) - 1), 0
     while a < len(out):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + 500_000, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PART, side="right")) - 1)
         w = slice(offsets[a], offsets[b])
         out[a:b] = judge(whole[w], prefix[w], offsets[a : b + 1] - offsets[a])
         a = b
@@ -376,13 +384,10 @@ def clean_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     model = train(docs, labels, doc_id, text)
     if not isinstance(model, Model):
         return docs if model < CUT else docs.limit(0)
-    shared, n = docs.sparkSession.sparkContext.broadcast(model), len(docs.columns)
-    h, whole, prefix = spare(docs, "h", "whole", "prefix")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(batches):
-        for batch in batches:
-            clean = scores(shared.value, batch.column(n), batch.column(n + 1)) < CUT
-            yield batch.select(list(range(n))).filter(pa.array(clean))
+    # the rows stay with Spark, only bucket numbers go to Python
+    def is_clean(h: pa.Array) -> pa.Array:
+        return pa.array(scores(shared.value, h.field("whole"), h.field("prefix")) < CUT)
 
-    rows = docs.withColumn(h, hashed(text)).select("*", F.col(h)["whole"].alias(whole), F.col(h)["prefix"].alias(prefix)).drop(h)
-    return rows.mapInArrow(keep, docs.schema)
+    return docs.where(F.arrow_udf(is_clean, "boolean")(hashed(text)))

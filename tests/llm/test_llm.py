@@ -1,9 +1,12 @@
 """The training-data operators against plain versions, and the corner cases that their docstrings name."""
 
+import contextlib
 import hashlib
+import io
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -194,6 +197,34 @@ def test_toxicity_leaves_no_network_of_a_round(spark):
     model = toxicity.train(docs, labels)
     left = sum(os.path.getsize(os.path.join(held, f)) for f in set(os.listdir(held)) - before)
     assert isinstance(model, toxicity.Model) and left < sum(v.nbytes for v in model.parameters())
+    # the stage hands bucket numbers to Python, not the rows
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        toxicity.clean_documents(docs, labels).explain()
+    assert "ArrowEvalPython" in plan.getvalue() and "MapInArrow" not in plan.getvalue()
+
+
+def peak_of(work):
+    tracemalloc.start()
+    out, peak = work(), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_a_worker_holds_little_for_a_batch():
+    """A batch of 2,000,000 shingles, and of 500,000 words: some MB at a time, and what it is worth row by row."""
+    sizes = np.full(5000, 400)
+    values = np.random.default_rng(1).integers(-(2**62), 2**62, sizes.sum())
+    batch = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
+    bands, peak = peak_of(lambda: near_dups._bands(batch))
+    assert peak < 60e6
+    some = near_dups._bands(batch.slice(4000, 3))
+    assert bands.slice(4000, 3).to_pylist() == some.to_pylist()
+
+    model = toxicity.Model(np.arange(0, 3000), np.arange(0, 3000), {}, 0)
+    words, offsets = (values[:500_000] % 4000).astype(np.int32), np.arange(0, 500_001, 250)
+    p, peak = peak_of(lambda: toxicity.in_parts(model.probability, words, words, offsets))
+    assert peak < 40e6
+    assert np.allclose(p[1500:1504], model.probability(words[375_000:376_000], words[375_000:376_000], offsets[:5]), atol=1e-6)
 
 
 
