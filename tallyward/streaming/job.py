@@ -12,11 +12,12 @@ How much one group of devices can bring to one task is bounded by the source's p
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,6 +26,7 @@ from tallyward.operators.features import NO_PREVIOUS_SECONDS
 from tallyward.operators.learn import RiskModel
 from tallyward.operators.prep import Preprocessor
 from tallyward.operators.scoring import linear_score
+from tallyward.session import ROCKSDB
 from tallyward.sources.schema import FEATURES
 from tallyward.streaming.log import NO_LABEL, OUTPUT, append, compact, latest, record, records, results
 from tallyward.streaming.sources import LABELLED, SEED, TXN, tagged_events
@@ -38,6 +40,13 @@ REPEATS_WITHIN = "1 day"
 # them is folded at once; its state is one value, the devices' states in columns. Fixed for the life of a checkpoint.
 DEVICE_GROUPS = 1024
 
+# The ids of all events are state. Spark's default store holds it in the executors' heap and copies it in every micro-batch; this one is on
+# disk, and a commit writes what has changed.
+_STORE = "spark.sql.streaming.stateStore"
+STORE = {f"{_STORE}.providerClass": ROCKSDB, f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true"}
+# A stream that ends at what is there needs no empty micro-batch after it, which would only forget old ids.
+NO_EMPTY_BATCH = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
 STATE = "devices binary"
 _DEVICE_STATE = pa.schema(
     [
@@ -244,6 +253,19 @@ def write_batch(batch: DataFrame, batch_id: int, path: str, scorer: Scorer) -> N
     append(scorer(batch), _run_of(batch), batch_id, path)
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while a stream starts, which takes a copy of them; then as they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_stream(
     txns: DataFrame,
     labels: DataFrame | None,
@@ -257,9 +279,11 @@ def run_stream(
     """Start the scorer; with ``every`` None it takes what is there and stops.
 
     A restart continues from ``checkpoint``: neither events nor state are applied twice. A new checkpoint
-    adds to the log of ``path`` and leaves what older ones wrote.
+    adds to the log of ``path`` and leaves what older ones wrote. State is kept on disk, whatever the session's
+    own state store is; a checkpoint continues with the store that it began with.
     """
     feats = stream_features(txns, labels, seeds, delay)
     writer = feats.writeStream.foreachBatch(lambda b, i: write_batch(b, i, path, scorer)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    with _settings(txns.sparkSession, STORE if every else STORE | NO_EMPTY_BATCH):
+        return writer.start()

@@ -337,3 +337,26 @@ def test_state_rows_are_groups_of_devices(make, spark, tmp_path, monkeypatch):
     assert held == [2]
     got = rows_by(job.results(spark, f"{tmp_path}/out"), "transaction_id", *FEATURES)
     same(got, rows_by(device_features(txns, "online", label_events(txns)), "transaction_id", *FEATURES))
+
+
+def test_state_is_on_disk_whatever_the_session_says(make, spark, tmp_path):
+    """The stream chooses its state store and makes no empty micro-batch; the session's settings stay."""
+    txns, store = random_txns(make), "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(store)
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    settings = {**job.STORE, **job.NO_EMPTY_BATCH}
+    try:
+        spark.conf.set(store, plain)
+        before = {k: spark.conf.get(k, None) for k in settings}
+        for low, high in ((0, 30), (30, 60)):
+            write(txns.where(f"transaction_id >= 't{low:03d}' AND transaction_id < 't{high:03d}'"), TRANSACTION, f"{tmp_path}/txns")
+            query = job.run_stream(transaction_files(spark, f"{tmp_path}/txns"), None, SCORER, f"{tmp_path}/out", f"{tmp_path}/check")
+            query.awaitTermination()
+            operators = query.lastProgress["stateOperators"]
+            assert len(operators) == 2 and all(any(m.startswith("rocksdb") for m in o["customMetrics"]) for o in operators)
+            assert {k: spark.conf.get(k, None) for k in settings} == before
+    finally:
+        spark.conf.set(store, held)
+    assert sorted(p.name for p in (tmp_path / "check" / "commits").iterdir() if p.name.isdigit()) == ["0", "1"]
+    want = rows_by(device_features(txns, "online"), "transaction_id", "txn_count")
+    assert rows_by(job.results(spark, f"{tmp_path}/out"), "transaction_id", "txn_count") == want
