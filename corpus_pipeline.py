@@ -11,17 +11,29 @@ from tallyward.llm import catalog, decontaminate, near_dups, substring_dedup, to
 from tallyward.llm.common import read
 from tallyward.session import checkpoint_dir
 
+# Rows that a batch for Python may have: a batch lies in an executor's memory several times, in Spark and in the worker.
+BATCH_ROWS = 2_000
+
 # The models have no SQL; tests compare the operators with plain versions.
 ORACLE_SQL = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """The session's batches for Python get at most BATCH_ROWS rows; fewer, if it says so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    small_batches(spark)
     return toxicity.clean_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, on shingles of five words."""
+    small_batches(spark)
     return near_dups.one_of_each(docs, words=5, percent=80)
 
 

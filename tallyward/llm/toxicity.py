@@ -138,19 +138,24 @@ class Model:
         cut = self.cuts[self.guess(whole, offsets)]
         return np.clip(np.where(p < cut, p / cut * CUT, CUT + (p - cut) / (1 - cut) * (1 - CUT)), 0, 1)
 
-    def to_train(self) -> Model:
-        """A network of its own to train, over the same places of the buckets."""
-        own = copy.copy(self)
-        own.tables, own.filters, own.bias, own.out = copy.deepcopy((self.tables, self.filters, self.bias, self.out))
-        return own
+    def to_train(self, memory: list[np.ndarray], whole: np.ndarray, prefix: np.ndarray) -> tuple[Model, list[np.ndarray], list, list]:
+        """A network of its own to train on some words and what it remembers: the tables hold those words' rows only. Also the words' rows in them, and which rows these are."""
+        own, kept, rows = copy.copy(self), [], []
+        for r in self.rows(whole, prefix):  # the row of unseen words stays the first
+            ids, at = np.unique(np.append(np.int32(0), r), return_inverse=True)
+            kept.append(ids), rows.append(at[1:].astype(np.int32))
+        own.tables = [t[ids] for t, ids in zip(self.tables, kept)]
+        own.filters, own.bias, own.out = copy.deepcopy((self.filters, self.bias, self.out))
+        held = [m.reshape(-1, DIM)[ids] for m, ids in zip(memory, kept)] + [m.copy() for m in memory[len(kept) :]]
+        return own, held, rows, kept
 
     def parameters(self) -> list[np.ndarray]:
         """Everything that is trained, as views of rows of DIM numbers."""
         return [a.reshape(-1, DIM) for a in (*self.tables, *self.filters, *self.bias, self.out)]
 
-    def fit(self, whole, prefix, offsets, labels, memory: list[np.ndarray], turn: int) -> list[np.ndarray]:
+    def fit(self, rows, offsets, labels, memory: list[np.ndarray], turn: int) -> list[np.ndarray]:
         """Take the network through the rows for the ``turn``-th time; returns the rows of the tables that have changed."""
-        self.training, rng, rows = True, np.random.default_rng(5), self.rows(whole, prefix)
+        self.training, rng = True, np.random.default_rng(5)
         for _ in range(turn):
             rng.permutation(len(labels))
         memory = [m.reshape(v.shape) for m, v in zip(memory, (*self.tables, *self.filters, *self.bias, self.out))]
@@ -247,14 +252,15 @@ def _round(rows: DataFrame, model: Model, memory: list[np.ndarray], turn: int) -
     shared = rows.sparkSession.sparkContext.broadcast((model, memory))
 
     def train_shard(table: pa.Table) -> pa.Table:
-        own, held = shared.value[0].to_train(), copy.deepcopy(shared.value[1])
         table = table.sort_by([("id", "ascending"), ("k", "ascending")]).combine_chunks()
         (whole, offsets), (prefix, _) = (flat(table[c].chunk(0)) for c in ("whole", "prefix"))
-        changed = own.fit(whole, prefix, offsets, table["toxic"].to_numpy().astype(np.float64), held, turn)
+        own, held, places, kept = shared.value[0].to_train(shared.value[1], whole, prefix)
+        changed = own.fit(places, offsets, table["toxic"].to_numpy().astype(np.float64), held, turn)
         parts, at, numbers = [], [], []
         for i, (value, m) in enumerate(zip(own.parameters(), held)):
             ids = np.flatnonzero(changed[i]) if i < len(changed) else np.arange(len(value))
-            parts.append(np.full(len(ids), i, np.int32)), at.append(ids), numbers.append(np.hstack((value[ids], m.reshape(-1, DIM)[ids])))
+            named = kept[i][ids].astype(np.int64) if i < len(changed) else ids
+            parts.append(np.full(len(ids), i, np.int32)), at.append(named), numbers.append(np.hstack((value[ids], m.reshape(-1, DIM)[ids])))
         base = np.zeros((1, 2 * DIM), np.float32)
         base[0, 0] = own.base
         parts.append(np.full(1, len(held), np.int32)), at.append(np.zeros(1, np.int64)), numbers.append(base)

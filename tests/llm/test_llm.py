@@ -224,6 +224,35 @@ def test_a_worker_holds_little_for_a_batch():
     words, offsets = (values[:500_000] % 4000).astype(np.int32), np.arange(0, 500_001, 250)
     p, peak = peak_of(lambda: toxicity.in_parts(model.probability, words, words, offsets))
     assert peak < 40e6
+    # a shard's training holds the rows of its own words, and moves those as if it held all
+    whole, ends, y = words[:2000] % 90, np.arange(0, 2001, 20), (np.arange(100) % 3 == 0).astype(float)
+    memory = [np.full(v.shape, 1e-3, np.float32) for v in model.parameters()]
+    own, held, places, kept = model.to_train(memory, whole, whole)
+    assert [len(t) for t in own.tables] == [91, 91] and [len(m) for m in held[:2]] == [91, 91]
+    changed = own.fit(places, ends, y, held, 1)
+    assert len(model.tables[0]) == 3001 and changed[0].any()
+    model.fit(model.rows(whole, whole), ends, y, memory, 1)
+    assert all(np.array_equal(t[ids], o) for t, ids, o in zip(model.tables, kept, own.tables)) and np.array_equal(model.out, own.out)
+    assert all(np.array_equal(m[ids], h) for m, ids, h in zip(memory, kept, held))
+
+
+def test_pipeline_takes_small_batches(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for held, wanted in (("10000", "2000"), ("0", "2000"), ("300", "300")):
+            spark.conf.set(name, held)
+            corpus_pipeline.small_batches(spark)
+            assert spark.conf.get(name) == wanted
+    finally:
+        spark.conf.unset(name)
+
+
+def test_parts_are_judged_as_the_whole():
+    model = toxicity.Model(np.arange(0, 3000), np.arange(0, 3000), {}, 0)
+    words, offsets = np.random.default_rng(2).integers(0, 4000, 500_000).astype(np.int32), np.arange(0, 500_001, 250)
+    p = toxicity.in_parts(model.probability, words, words, offsets)
     assert np.allclose(p[1500:1504], model.probability(words[375_000:376_000], words[375_000:376_000], offsets[:5]), atol=1e-6)
 
 
