@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import product
@@ -18,16 +19,19 @@ from pyspark.sql import functions as F
 
 from tallyward.operators.features import device_features, device_state
 from tallyward.operators.metrics import classification_report
-from tallyward.operators.prep import Preprocessor, with_class_weight
+from tallyward.operators.prep import Preprocessor, class_counts, with_class_weight
 from tallyward.operators.resample import resample
 from tallyward.operators.splits import TIME_ORDER, time_split
 from tallyward.plans.slices import Over, precedes, row_at, running
-from tallyward.session import settle
+from tallyward.session import kept, settle
 from tallyward.sources.files import write_predictions
 from tallyward.sources.schema import FEATURES
 
 MODELS = ("logistic_regression", "random_forest", "boosted_trees", "svc")
 
+# Rows of the folds in a partition: a pass of a fit is a task for each.
+PART_ROWS = 500_000
+
 # The grids to tune over.
 GRIDS = {
     "logistic_regression": {
@@ -115,13 +119,13 @@ def estimator(model: str, params: dict, rows: int, features: int, label: str = "
     )
 
 
-def _ready(df: DataFrame, features: Sequence[str], params: dict, label: str) -> DataFrame:
+def _ready(df: DataFrame, features: Sequence[str], params: dict, label: str, counts: dict[int, int] | None = None, assembled: bool = False) -> DataFrame:
     if params.get("class_weight") == "balanced":
-        df = with_class_weight(df, label, "__weight")
+        df = with_class_weight(df, label, "__weight", counts)
     else:
         heavy = float(params.get("scale_pos_weight", 1))
         df = df.withColumn("__weight", F.when(F.col(label) == 1, heavy).otherwise(1.0))
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+    return df if assembled else VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
 @dataclass
@@ -144,17 +148,29 @@ class RiskModel:
         rows = df if self.resampling is None else resample(df, self.resampling, self.features, self.label, self.id_col)
         return self.fit_prepared(settle(rows))
 
-    def fit_prepared(self, rows: DataFrame) -> RiskModel:
-        fit = estimator(self.model_type, self.params, rows.count(), len(self.features), self.label)
-        fitted = fit.fit(_ready(rows, self.features, self.params, self.label))
+    def fit_prepared(self, rows: DataFrame, size: int | None = None, counts: dict[int, int] | None = None, assembled: bool = False) -> RiskModel:
+        """``size`` and ``counts``, the rows in all and by class, are counted here unless the caller knows them.
+
+        ``assembled`` rows have their features as the vector ``features`` already.
+        """
+        fit = estimator(self.model_type, self.params, rows.count() if size is None else size, len(self.features), self.label)
+        fitted = fit.fit(_ready(rows, self.features, self.params, self.label, counts, assembled))
         self.model = PipelineModel([VectorAssembler(inputCols=self.features, outputCol="features"), fitted])
         return self
 
-    def predict(self, df: DataFrame) -> DataFrame:
+    def ended(self) -> bool:
+        """The fit is known to have stopped before ``max_iter``: with a higher one it would take the same passes to the same model."""
+        fitted = self.model.stages[-1]
+        if self.model_type != "logistic_regression" or not fitted.hasSummary:
+            return False
+        return len(fitted.summary.objectiveHistory) - 1 < fitted.getMaxIter()
+
+    def predict(self, df: DataFrame, assembled: bool = False) -> DataFrame:
         """``predicted_class`` and ``fraud_probability``; a margin classifier has ``fraud_margin`` instead."""
         if self.model is None:
             raise ValueError("there is no fitted model yet")
-        out = self.model.transform(df).withColumn("predicted_class", F.col("__prediction").cast("int"))
+        model = self.model.stages[-1] if assembled else self.model
+        out = model.transform(df).withColumn("predicted_class", F.col("__prediction").cast("int"))
         score = "fraud_margin" if self.model_type == "svc" else "fraud_probability"
         source = "rawPrediction" if self.model_type == "svc" else "probability"
         return out.withColumn(score, vector_to_array(source)[1]).select(*df.columns, "predicted_class", score)
@@ -197,6 +213,15 @@ def candidates(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
+def by_passes(options: list[dict]) -> list[list[int]]:
+    """Positions of the candidates, together where only ``max_iter`` differs, its lowest first."""
+    groups: dict[str, list[int]] = {}
+    for i, o in enumerate(options):
+        same = {**o, "max_iter": "any"} if "max_iter" in o else o
+        groups.setdefault(json.dumps(same, sort_keys=True, default=str), []).append(i)
+    return [sorted(g, key=lambda i: options[i].get("max_iter", 0)) for g in groups.values()]
+
+
 def grid_search(
     df: DataFrame,
     features: Sequence[str],
@@ -212,7 +237,8 @@ def grid_search(
     """Mean recall of every candidate over stratified folds; the best is refitted on all rows.
 
     Only the training part of a fold is resampled. ``leaky`` resamples before folding, so that
-    synthetic rows may sit on both sides. Returns the model and (params, recall), best first.
+    synthetic rows may sit on both sides. Returns the model and (params, recall), best first. Candidates
+    that differ in ``max_iter`` only share a fit that ends below the lower one.
     """
     options = candidates(grid or GRIDS[_kind(model_type)])
     features = list(features)
@@ -220,25 +246,44 @@ def grid_search(
     def rebalanced(rows: DataFrame) -> DataFrame:
         return rows if resampling is None else resample(rows, resampling, features, label, id_col)
 
-    folded = settle(with_fold(rebalanced(df) if leaky else df, folds, label, id_col))
-    score = MulticlassClassificationEvaluator(metricName="recallByLabel", metricLabel=1.0, labelCol=label, predictionCol="predicted_class")
+    base = rebalanced(df) if leaky else df
+    size = base.count()
+    parts = math.ceil(size / PART_ROWS) or 1
+    settled = settle(with_fold(base, folds, label, id_col, size).repartition(parts))
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    score = MulticlassClassificationEvaluator(metricName="recallByLabel", metricLabel=1.0, labelCol=label, predictionCol="predicted_class", weightCol="count")
+    groups = by_passes(options)
     totals = [0.0] * len(options)
-    for f in range(folds):
+
+    def recalls(job: tuple) -> list[tuple[int, float]]:
+        group, train, test, held, counts = job
+        out, model = [], None
+        for i in group:
+            if model is None or not model.ended():
+                model = RiskModel(model_type, None, options[i], label, id_col, features).fit_prepared(train, held, counts, assembled=True)
+                seen = model.predict(test, assembled=True).groupBy(F.col(label).cast("double").alias(label), F.col("predicted_class").cast("double").alias("predicted_class"))
+                recall = score.evaluate(seen.count().withColumn("count", F.col("count").cast("double")))
+            out.append((i, recall))
+        return out
+
+    def of_fold(f: int) -> list[tuple[int, float]]:
         rows = folded.where(F.col("fold") != f).drop("fold")
-        train = settle(rows if leaky else rebalanced(rows))
-        test = folded.where(F.col("fold") == f).drop("fold")
-
-        def recall(params: dict, train=train, test=test) -> float:
-            model = RiskModel(model_type, None, params, label, id_col, features).fit_prepared(train)
-            out = model.predict(test).withColumn("predicted_class", F.col("predicted_class").cast("double"))
-            return score.evaluate(out.withColumn(label, F.col(label).cast("double")))
-
-        with ThreadPool(parallelism) as pool:
-            for i, r in enumerate(pool.map(recall, options)):
-                totals[i] += r / folds
-    ranked = sorted(range(len(options)), key=lambda i: (-totals[i], i))
-    table = df.sparkSession.createDataFrame([(json.dumps(options[i], sort_keys=True), totals[i]) for i in ranked], "params string, recall double")
-    best = RiskModel(model_type, resampling, options[ranked[0]], label, id_col).fit(df, features)
+        train = assembler.transform(rows if leaky else rebalanced(rows)).select(label, "features")
+        test = assembler.transform(folded.where(F.col("fold") == f)).select(label, "features")
+        with kept(train) as train, kept(test) as test:
+            held = train.count()
+            counts = class_counts(train, label) if any(o.get("class_weight") == "balanced" for o in options) else None
+            return [x for found in fits.map(recalls, [(g, train, test, held, counts) for g in groups]) for x in found]
+
+    # Two folds at a time: while the rows of one are drawn, the other's fits have the executors.
+    with kept(settled) as folded:
+        with ThreadPool(2) as pair, ThreadPool(parallelism) as fits:
+            for found in pair.map(of_fold, range(folds)):
+                for i, recall in found:
+                    totals[i] += recall / folds
+        ranked = sorted(range(len(options)), key=lambda i: (-totals[i], i))
+        table = df.sparkSession.createDataFrame([(json.dumps(options[i], sort_keys=True), totals[i]) for i in ranked], "params string, recall double")
+        best = RiskModel(model_type, resampling, options[ranked[0]], label, id_col).fit(df if leaky else folded.drop("fold"), features)
     return best, table
 
 

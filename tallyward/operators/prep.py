@@ -101,9 +101,9 @@ def class_counts(df: DataFrame, label: str = "is_fraud") -> dict[int, int]:
     return {r[0]: r[1] for r in rows}
 
 
-def with_class_weight(df: DataFrame, label: str = "is_fraud", name: str = "weight") -> DataFrame:
-    """n / (classes * rows of the class) next to each row."""
-    counts = class_counts(df, label)
+def with_class_weight(df: DataFrame, label: str = "is_fraud", name: str = "weight", counts: dict[int, int] | None = None) -> DataFrame:
+    """n / (classes * rows of the class) next to each row. ``counts`` are the ``class_counts`` where they are known."""
+    counts = class_counts(df, label) if counts is None else counts
     total, k = sum(counts.values()), len(counts)
     weights = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(total / (k * n)))])
     return df.withColumn(name, F.try_element_at(weights, F.col(label)))

@@ -17,6 +17,16 @@ from tallyward.session import group_rows, settle
 METHODS = ("random_undersampling", "enn", "smote", "smoteenn")
 
 
+def _hash_cut(rows: DataFrame, id_col: str, position: int) -> tuple | None:
+    """``row_at`` in hash order. Hashes spread evenly, so their first digits tell the few rows to sort."""
+    start = F.substring("__h", 1, 3)
+    for held, n in sorted((tuple(r) for r in rows.groupBy(start).count().collect()), key=lambda r: r[0] or ""):  # a missing id has no hash and comes first
+        if position < n:
+            return row_at(rows.where(start.eqNullSafe(F.lit(held))), ["__h", id_col], position, n)
+        position -= n
+    return None
+
+
 def undersample(df: DataFrame, label: str = "is_fraud", id_col: str = "transaction_id", seed: int = 42) -> DataFrame:
     """Every class at the size of the smallest, drawn without replacement in a repeatable hash order.
 
@@ -30,7 +40,7 @@ def undersample(df: DataFrame, label: str = "is_fraud", id_col: str = "transacti
     for c, n in counts.items():
         mine = F.col(label) == c
         if n > least:
-            cut = row_at(marked.where(mine), ["__h", id_col], least, n)
+            cut = _hash_cut(marked.where(mine), id_col, least)
             mine = mine & precedes(marked, ["__h", id_col], cut)
         keep = keep | mine
     return marked.where(keep).drop("__h")

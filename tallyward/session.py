@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,3 +78,13 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut lineage, on reliable storage so that a lost executor costs nothing."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Rows that are read many times: as columns in memory, or on disk where it is full, until the block ends."""
+    rows = df.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()

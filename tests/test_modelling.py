@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -191,6 +192,44 @@ def test_grid_and_unknown_model(spark):
     assert {r["count"] for r in folds} == {6}
 
 
+def test_grid_repeats_no_fit_that_ended(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(str(i), rnd.gauss(i % 3 == 0, 1.0), rnd.gauss(i % 3 == 0, 2.0), int(i % 3 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "transaction_id string, x double, y double, is_fraud int")
+    grid = {"max_iter": [400, 2, 200], "C": [1.0], "penalty": ["l2"], "class_weight": ["balanced"]}
+    caps, fit = [], learn.RiskModel.fit_prepared
+
+    def counted(self, *args, **named):
+        caps.append(self.params["max_iter"])
+        return fit(self, *args, **named)
+
+    monkeypatch.setattr(learn, "PART_ROWS", 50)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    monkeypatch.setattr(learn.RiskModel, "fit_prepared", counted)
+    model, table = learn.grid_search(df, ["x", "y"], "logistic", grid=grid, folds=2)
+    got = {json.loads(r["params"])["max_iter"]: r["recall"] for r in table.collect()}
+    assert sorted(caps[:-1]) == [2, 2, 200, 200] and caps[-1] == model.params["max_iter"]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+    folded = learn.with_fold(df, 2).cache()
+    for cap in grid["max_iter"]:
+        want = 0
+        for f in range(2):
+            params = {**learn.candidates(grid)[0], "max_iter": cap}
+            one = learn.RiskModel("logistic", "random_undersampling", params).fit(folded.where(F.col("fold") != f).drop("fold"), ["x", "y"])
+            want += one.predict(folded.where((F.col("fold") == f) & (F.col("is_fraud") == 1))).agg(F.avg("predicted_class")).first()[0] / 2
+        assert got[cap] == pytest.approx(want)
+    folded.unpersist()
+
+
+def test_draws_with_ids_repeated_or_missing(spark, tiny_groups):
+    rows = [(None if i % 10 == 0 else str(i // 3), int(i % 4 == 0)) for i in range(200)] + [("same", 0)] * 9
+    df = spark.createDataFrame(rows, "id string, is_fraud int").withColumn("__h", F.md5(F.concat(F.lit("42-"), "id")))
+    most = df.where("is_fraud = 0")
+    n = most.count()
+    for at in (0, 7, 50, 120, n - 1, n):
+        assert resample._hash_cut(most, "id", at) == resample.row_at(most, ["__h", "id"], at, n)
+
+
 def test_clusters(spark):
     df, rows = cloud(spark)
     groups = cluster.kmeans(df, ["x", "y"], 3)
