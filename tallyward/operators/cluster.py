@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.columns import ratio
-from tallyward.operators.neighbours import Located, distance_in_lists, links_within, located, neighbour_distance, search
+from tallyward.operators.neighbours import Located, distances_of_places, located, neighbour_distance, parts_within, search
 from tallyward.operators.prep import Preprocessor
 from tallyward.plans.components import connected_components
 from tallyward.plans.joins import attach
-from tallyward.plans.slices import global_rank
+from tallyward.plans.slices import Over, global_rank, running
 from tallyward.session import settle
 
 NOISE = -1
@@ -85,12 +85,14 @@ def pca2(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return model.transform(rows).select(*df.columns, (pc[0] * turn[0]).alias("pc1"), (pc[1] * turn[1]).alias("pc2"))
 
 
-def knee(distances: DataFrame, col: str = "distance", id_col: str = "id") -> DataFrame:
+def knee(distances: DataFrame, col: str = "distance", rows: str | None = None) -> DataFrame:
     """Where the sorted curve bends away most from its chord, as one row (rank, eps).
 
-    The global maximum of normalised rank minus normalised distance, the lowest rank for ties.
+    The global maximum of normalised rank minus normalised distance, the lowest rank for ties. Of equal distances the last bends most, so
+    each distance is ranked once; column ``rows`` says how many rows one stands for.
     """
-    ranked = settle(global_rank(distances.where(F.col(col).isNotNull()), [col, id_col], "rank", derived=True))
+    counts = distances.where(F.col(col).isNotNull()).groupBy(col).agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("__n"))
+    ranked = settle(running(counts, [], [col], [Over("rank", "sum", F.col("__n"))], derived=True))
     ends = ranked.agg(F.min(col).alias("low"), F.max(col).alias("high"), F.max("rank").alias("n"))
     low, high, n = (ends.select(c).scalar() for c in ("low", "high", "n"))
     bend = F.coalesce(ratio(F.col("rank") - 1, n - 1), F.lit(0.0)) - F.coalesce(F.try_divide(F.col(col) - low, high - low), F.lit(0.0))
@@ -100,7 +102,7 @@ def knee(distances: DataFrame, col: str = "distance", id_col: str = "id") -> Dat
 
 def dbscan_eps(df: DataFrame, coords: Sequence[str], k: int = 5, id_col: str = "id") -> float | None:
     """The k-th neighbour distance (the row itself counted) at the knee of its sorted curve."""
-    row = knee(neighbour_distance(df, coords, k, id_col), id_col=id_col).first()
+    row = knee(neighbour_distance(df, coords, k, id_col)).first()
     return row["eps"] if row else None
 
 
@@ -108,36 +110,38 @@ def dbscan(df: DataFrame, coords: Sequence[str], eps: float, min_samples: int =
     """Density clusters, numbered by their smallest core id from 0; noise is -1.
 
     A core row has ``min_samples`` rows within ``eps``, itself included: one nearest-neighbour search. Rows at one location are core
-    together, so clusters are components of the core locations, each named by its first id. Chunks of core locations meet, and each meeting
-    gives a forest of those in reach, so neither pairs of rows nor cells of a grid are listed and any number of dimensions will do. A
+    together, so clusters are components of the core locations, each named by its first id. Core locations of a box are joined where they
+    are, and then the parts of boxes, so neither pairs of rows nor cells of a grid are listed and any number of dimensions will do. A
     border row takes the lowest cluster in its reach, found in its own neighbour list, which is complete because it is short.
     Rows that lack a coordinate are noise.
     """
     where = located(df, coords, id_col, None, min_samples + 1)
-    return _dbscan(df, where, settle(search(where, min_samples + 1)), eps, min_samples, id_col, name)
+    return _dbscan(df, where, search(where, min_samples + 1, True), eps, min_samples, id_col, name)
 
 
 def dbscan_at_knee(df: DataFrame, coords: Sequence[str], k: int = 5, min_samples: int = 8, id_col: str = "id", name: str = "cluster") -> DataFrame:
     """``dbscan`` at ``dbscan_eps``; one search serves both."""
     keep = max(k, min_samples + 1)
     where = located(df, coords, id_col, None, keep)
-    lists = settle(search(where, keep))
-    row = knee(distance_in_lists(where, lists, k, id_col), id_col=id_col).first()
+    lists = search(where, keep, True)
+    row = knee(distances_of_places(where, lists, k), rows="rows").first()
     return _dbscan(df, where, lists, row["eps"] if row else None, min_samples, id_col, name)
 
 
 def _dbscan(df: DataFrame, where: Located, lists: DataFrame, eps: float, min_samples: int, id_col: str, name: str) -> DataFrame:
-    is_core = F.coalesce(F.get("hits", F.lit(min_samples - 1))["dist"] <= eps, F.lit(False))
-    places = settle(where.places.select("loc", "id", "at").join(lists.select("loc", is_core.alias("core")), "loc"))
-    core = places.where("core")
-    parts = connected_components(links_within(core.select("id", "at"), where.dims, core.count(), eps), core.select(F.col("id").alias("node")))
-    parts = settle(parts)
+    is_core = F.coalesce(F.get("dists", F.lit(min_samples - 1)) <= eps, F.lit(False))
+    core = lists.where(is_core).select("id", "at", "loc")
+    placed, links = parts_within(core, where.dims, core.count(), eps)
+    again = settle(core.groupBy("id").agg(F.count(F.lit(1)).alias("__times")).where("__times > 1"))  # ids of several locations: they are one core row
+    same = placed.join(again, "id").select("id", "part")
+    links = links.unionByName(same.join(same.groupBy("id").agg(F.min("part").alias("a")), "id").select("a", F.col("part").alias("b")))
+    parts = settle(connected_components(links, placed.select(F.col("part").alias("node")).distinct()))
     number = global_rank(parts.select("component").distinct(), ["component"], "__rank", derived=True)
-    numbered = parts.join(number, "component").select(F.col("node").alias("first"), (F.col("__rank") - 1).alias(name))
-    of_core = settle(places.where("core").select("loc", F.col("id").alias("first")).join(numbered, "first"))
+    numbered = parts.join(number, "component").select(F.col("node").alias("part"), (F.col("__rank") - 1).alias(name))
+    of_core = attach(placed.select("id", "loc", "part"), numbered, ["part"], ["id"], "inner").join(again, "id", "left")
+    of_core = settle(of_core.select("loc", F.col("id").alias("first"), name, F.explode(F.sequence(F.lit(1), F.coalesce("__times", F.lit(1).cast("long"))))).drop("col"))
 
-    border = places.where(~F.col("core")).select("loc")
-    reach = lists.join(border, "loc").select("loc", F.explode("hits").alias("hit")).where(F.col("hit.dist") <= eps).select(F.col("hit.first").alias("first"), F.col("loc").alias("__of"))
+    reach = lists.where(~is_core).select("loc", F.inline(F.arrays_zip("dists", "firsts")).alias("dist", "first")).where(F.col("dist") <= eps).select("first", F.col("loc").alias("__of"))
     of_border = attach(reach, of_core.select("first", name), ["first"], ["__of"], "inner").groupBy(F.col("__of").alias("loc")).agg(F.min(name).alias(name))
     found = of_core.select("loc", name).unionByName(of_border)
     rows = attach(where.rows.select("id", "loc"), found, ["loc"], ["id"], size=where.total).select(F.col("id").alias(id_col), F.coalesce(name, F.lit(NOISE).cast("long")).alias(name))

@@ -196,3 +196,82 @@ def test_knee_and_clusters_from_one_search(spark, monkeypatch):
     monkeypatch.setattr(cluster, "search", lambda *args: calls.append(args) or search(*args))
     got = {r["id"]: r["cluster"] for r in cluster.dbscan_at_knee(df, ["x", "y"]).collect()}
     assert got == plain and len(calls) == 1 and len(set(got.values())) > 1
+
+
+def test_boxes_where_most_rows_share_a_value():
+    """A cut leaves rows on both sides, so boxes stay small where half the rows or more have one value of the widest axis."""
+    r = np.random.default_rng(5)
+    pts = np.column_stack([(r.uniform(0, 1, 4000) > 0.6) * 9.0, r.uniform(0, 1, 4000)])
+    boxes = Boxes.of(pts, 5, 2)
+    assert np.bincount(boxes.find(pts), minlength=32).max() <= 200
+
+
+def test_boxes_around_rows():
+    r = np.random.default_rng(6)
+    pts = r.integers(0, 4, (500, 3)).astype(float)
+    loose = Boxes.of(pts, 4, 3)
+    box = loose.find(pts)
+    held = np.unique(box)
+    boxes = loose.around(held, np.stack([pts[box == b].min(axis=0) for b in held]), np.stack([pts[box == b].max(axis=0) for b in held]))
+    point, met = boxes.within(pts, np.full(500, 0.5))
+    assert np.array_equal(point, np.arange(500)) and np.array_equal(met, box)  # rows of whole numbers reach no other box
+    assert len(loose.within(pts, np.full(500, 0.5))[0]) > 500
+
+
+@pytest.mark.parametrize("dims, whole", [(2, False), (2, True), (4, False), (4, True)])
+def test_a_box_is_searched_by_a_tree(monkeypatch, dims, whole):
+    """Rows of a box are measured against few others, and find the same: before, all pairs of a box were measured."""
+    r = np.random.default_rng(7)
+    pts = r.uniform(0, 1, (6000, dims))
+    pts = np.round(pts * 40) / 40 if whole else pts
+    measured = []
+    plain = neighbours.Leaves.measured
+    monkeypatch.setattr(neighbours.Leaves, "measured", lambda self, *args: measured.append(plain(self, *args)) or measured[-1])
+    limit = r.uniform(0, 0.1, 6000)
+    for most in (None, limit):
+        found = neighbours._best_pairs(pts, pts, 5, most, neighbours._near_in_leaves)
+        assert sum(d.size for d in measured) < len(pts) ** 2 / 5
+        assert all(np.array_equal(a, b) for a, b in zip(found, neighbours._best_pairs(pts, pts, 5, most, neighbours._near_pairs)))
+        measured.clear()
+
+
+@pytest.mark.parametrize("eps", [0.0, 0.02, 0.05, 0.3, 3.0])
+def test_parts_of_a_box(eps):
+    r = np.random.default_rng(8)
+    pts = np.round(r.uniform(0, 1, (900, 2)) ** 2, 3)
+    near, part = neighbours.distances(pts, pts) <= eps, np.arange(900)
+    while not np.array_equal(part, step := np.where(near, part, 900).min(axis=1)):
+        part = step
+    assert np.array_equal(neighbours._parts(pts, eps), part)
+
+
+def test_pairs_of_components_are_those_between_boxes(spark):
+    """Rows are joined in their box, so what is left to be joined is few: before, every row was a node of the components."""
+    r = np.random.default_rng(9)
+    pts = [(i, [float(x), float(y)]) for i, (x, y) in enumerate(r.uniform(0, 1, (3000, 2)))]
+    places = spark.createDataFrame(pts, "id long, at array<double>")
+    spark.conf.set(BOX_ROWS, "400")
+    try:
+        rows, links = neighbours.parts_within(places, 2, 3000, 0.05)
+        part = rows_by(rows, "id", "part")
+        assert len(part) == 3000 and len(set(part.values())) <= 16 and links.count() < 300
+        assert neighbours.links_within(places, 2, 3000, 0.05).count() < 3300
+    finally:
+        spark.conf.unset(BOX_ROWS)
+
+
+def test_knee_ranks_a_distance_once(spark):
+    far = [0.0] * 40 + [0.1] * 30 + [0.2, 0.3, 0.3, 0.9, 2.0]
+    one = spark.createDataFrame([(i, d) for i, d in enumerate(far)] + [(99, None)], "id int, distance double")
+    counted = spark.createDataFrame([(0.0, 25), (0.0, 15), (0.1, 30), (0.2, 1), (0.3, 2), (0.9, 1), (2.0, 1), (None, 1)], "distance double, rows long")
+    d = np.array(far)
+    rank = int((np.arange(75) / 74 - d / 2.0).round(12).argmax()) + 1
+    assert cluster.knee(one).collect() == cluster.knee(counted, rows="rows").collect() == [(rank, far[rank - 1])]
+
+
+def test_ids_at_several_places_are_one_core_row(spark):
+    """As in the components of ids: what an id links is one cluster."""
+    at = [(i, 0.01 * i, 0.0) for i in range(12)] + [(100 + i, 9 + 0.01 * i, 0.0) for i in range(12)] + [(200 + i, 50 + 0.01 * i, 0.0) for i in range(12)]
+    df = spark.createDataFrame([*at, (3, 9.005, 0.0)], "id long, x double, y double")
+    got = {(r["id"], r["cluster"]) for r in cluster.dbscan(df, ["x", "y"], 0.2).collect()}
+    assert got == {(i, 0 if i < 200 else 1) for i, _, _ in at}
